@@ -216,7 +216,7 @@ ecells AS (
   FROM effort WHERE lat_idx < 20 GROUP BY ALL)"""
 SOUNDINGS = """soundings AS (
   SELECT l_orderkey // 15000 AS region, CAST(l_partkey % 20 AS INT) AS lat_idx, CAST(l_suppkey % 20 AS INT) AS lon_idx,
-    CAST(round(l_extendedprice / 25) AS BIGINT) - 3900
+    CAST(round_even(l_extendedprice / 25, 0) AS BIGINT) - 3900
       + CASE WHEN l_partkey % 20 > l_suppkey % 20 + 3 THEN 4000 ELSE 0 END AS elevation FROM lineitem),
 seabed AS (
   SELECT region, lat_idx, lon_idx, CASE WHEN avg(elevation) < 0 THEN -avg(elevation) END AS depth,
@@ -227,7 +227,7 @@ COARSE = """coarse AS (
   SELECT o_orderkey // 15000 AS region, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
     CAST(o_custkey % 10 AS INT) AS ci, CAST(o_orderkey % 10 AS INT) AS cj,
     CASE WHEN (o_custkey % 10 + o_orderkey % 10 + month(o_orderdate)) % 7 = 0 THEN NULL
-      ELSE CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) END AS v
+      ELSE CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 97000) END AS v
   FROM orders GROUP BY region, CAST(date_trunc('month', o_orderdate) AS DATE), ci, cj,
     (o_custkey % 10 + o_orderkey % 10 + month(o_orderdate)) % 7)"""
 
@@ -438,7 +438,7 @@ SELECT region, lat_idx, lon_idx, {r('depth')} AS depth, {r('seabed_roughness')}
   {r('land_fraction')} AS land_fraction FROM seabed""")
 add("bathymetry_interpolated", with_(
     COARSE,
-    "nodes AS (SELECT region, ci, cj, min(v) / 97 - 400 AS elevation FROM coarse GROUP BY ALL)",
+    "nodes AS (SELECT region, ci, cj, min(v) * 10 - 400 AS elevation FROM coarse GROUP BY ALL)",
     bilinear("nodes", "region", "elevation"),
 ) + f"""
 SELECT region, lat_idx, lon_idx, CASE WHEN elevation < 0 THEN {r('-elevation')} END AS depth,

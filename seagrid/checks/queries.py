@@ -335,7 +335,7 @@ def bathymetry(spark, sf):
 def bathymetry_interpolated(spark, sf):
     """Elevation nodes coarser than the cells."""
     nodes = v.coarse_field(spark, sf).groupBy("region", "lat", "lon").agg(
-        (F.min("v") / 97 - 400).alias("elevation")
+        (F.min("v") * 10 - 400).alias("elevation")
     )
     out = op.seabed_interpolated(nodes, v.COARSE_LAT, v.COARSE_LON, G)
     return rounded(out, "depth", "land_fraction")

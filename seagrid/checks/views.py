@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def whole(x: Column, unit: int = 1) -> Column:
     """A number with few decimals as a whole number of 1/unit."""
-    return F.round(x * unit).cast("long")
+    return F.rint(x * unit).cast("long")
 
 
 def cell_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +159,7 @@ def coarse_field(spark: SparkSession, sf: str) -> DataFrame:
             (F.col("i") * 0.2 + 1.0).alias("lat"), (F.col("j") * 0.2 + 44.0).alias("lon"),
             F.when(
                 (F.col("i") + F.col("j") + F.month("date")) % 7 != 0,
-                F.col("p").cast("double") / (F.col("n") * 100),
+                F.col("p").cast("double") / (F.col("n") * 97_000),
             ).alias("v"),
         )
     )

@@ -17,7 +17,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     north = F.sin((p2 - p1) / 2)
     east = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     a = north * north + F.cos(p1) * F.cos(p2) * east * east
-    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
+    a = F.when(a > 1.0, 1.0).otherwise(a)
     return F.asin(F.sqrt(a)) * (2 * EARTH_RADIUS_KM)
 
 

@@ -129,4 +129,6 @@ def rating(score: Column) -> Column:
 
 def to_index(probability: Column) -> Column:
     """Probability as a 0-100 display index with one decimal."""
-    return half_even(F.least(F.greatest(probability * 100.0, F.lit(0.0)), F.lit(100.0)), 1)
+    clipped = F.least(F.greatest(probability * 100.0, F.lit(0.0)), F.lit(100.0))
+    # least and greatest skip nulls, which must stay unknown.
+    return F.when(probability.isNotNull(), half_even(clipped, 1))

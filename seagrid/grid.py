@@ -104,8 +104,14 @@ class Grid:
 
 
 def cell_id(lat_idx: Column, lon_idx: Column) -> Column:
-    """Text id of a cell, indices padded to four digits."""
-    return F.format_string("c_%04d_%04d", lat_idx, lon_idx)
+    """Text id of a cell, indices padded to at least four digits."""
+
+    def padded(idx: Column) -> Column:
+        # lpad is much cheaper than formatting but would cut longer numbers.
+        short = F.lpad(idx.cast("string"), 4, "0")
+        return F.when(idx.between(0, 9999), short).otherwise(F.format_string("%04d", idx))
+
+    return F.concat(F.lit("c_"), padded(lat_idx), F.lit("_"), padded(lon_idx))
 
 
 # The two study boxes.

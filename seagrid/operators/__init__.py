@@ -1,6 +1,8 @@
 """DataFrame to DataFrame operators."""
 
-from seagrid.operators.align import align_sources, drop_land, pick_source
+from seagrid.operators.align import (
+    align_sources, days_with_values, drop_land, pick_source,
+)
 from seagrid.operators.climatology import climatology
 from seagrid.operators.coast import distance_to_coast
 from seagrid.operators.confound import (
@@ -32,7 +34,9 @@ from seagrid.operators.sampling import (
 from seagrid.operators.seabed import (
     depth_report, join_static, seabed, seabed_interpolated,
 )
-from seagrid.operators.series import carry_forward, observed_days, trailing_mean
+from seagrid.operators.series import (
+    carry_forward, carry_planes, observed_days, trailing_mean,
+)
 from seagrid.operators.serving import (
     catalog_status, daily_payload, display_cells, latest_or_fallback,
     lookup_points, select_days,

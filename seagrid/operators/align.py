@@ -19,26 +19,42 @@ def pick_source(frames: Mapping[str, DataFrame], *preferred: str) -> DataFrame |
     return next((frames[name] for name in preferred if name in frames), None)
 
 
+def days_with_values(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """The days (region, date) on which any source has a value."""
+    day = [k for k in keys if k not in ("lat_idx", "lon_idx")]
+    found = []
+    for df in frames:
+        some = reduce(
+            lambda a, b: a | b, [F.col(c).isNotNull() for c in df.columns if c not in keys]
+        )
+        found.append(df.where(some).select(*day).distinct())
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def align_sources(
-    frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, drop_empty_days: bool = True,
+    frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, days: DataFrame | None = None,
 ) -> DataFrame:
     """Outer alignment of frames that share the key and differ in variables.
 
-    Stacked and grouped once, which is a single shuffle however many sources
-    there are, where a chain of outer joins would shuffle for each. Days on
-    which no source has any value are dropped as a whole.
+    Stacked and grouped once, where a chain of outer joins would shuffle for
+    every source. The one exchange is by day: it serves the grouping as well as
+    every operator after it that works on a day's plane. Days on which no
+    source has any value are dropped as a whole; `days` names the days to keep
+    if they are known already.
     """
+    day = [k for k in keys if k not in ("lat_idx", "lon_idx")]
+    if days is None:
+        days = days_with_values(frames, keys)
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), frames
     )
     variables = [c for c in stacked.columns if c not in keys]
-    if drop_empty_days:
-        day = [k for k in keys if k not in ("lat_idx", "lon_idx")]
-        some = F.coalesce(*[F.col(v).cast("string") for v in variables]).isNotNull()
-        stacked = stacked.join(
-            stacked.where(some).select(*day).distinct(), day, "left_semi"
-        )
-    return stacked.groupBy(*keys).agg(*[F.max(v).alias(v) for v in variables])
+    return (
+        stacked.join(days.select(*day), day, "left_semi")
+        .repartition(*day)
+        .groupBy(*keys)
+        .agg(*[F.max(v).alias(v) for v in variables])
+    )
 
 
 def drop_land(df: DataFrame, col: str = "sst") -> DataFrame:

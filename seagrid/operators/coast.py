@@ -26,12 +26,10 @@ def distance_to_coast(
     """
     keys = list(keys)
     ocean = cells.select(*keys, "lat_idx", "lon_idx").distinct()
-    ocean = _run_ends(ocean, [*keys, "lon_idx"], "lat_idx")
-    ocean = ocean.withColumn("up", _steps("lat_idx", grid.n_lat)).drop("first", "last")
-    ocean = _run_ends(ocean, [*keys, "lat_idx"], "lon_idx")
-    ocean = ocean.withColumn("side", _steps("lon_idx", grid.n_lon))
+    ocean = _along(ocean, [*keys, "lon_idx"], "lat_idx", grid.n_lat, "up")
+    ocean = _along(ocean, [*keys, "lat_idx"], "lon_idx", grid.n_lon, "side")
     dy, dx = grid.row_km, grid.col_km
-    runs = ocean.groupBy(*keys, "lat_idx", "first").agg(
+    runs = ocean.groupBy(*keys, "lat_idx", "_run").agg(
         F.collect_list(F.struct("lon_idx", "up", "side")).alias("run")
     )
 
@@ -55,20 +53,15 @@ def distance_to_coast(
     )
 
 
-def _run_ends(df: DataFrame, line: list[str], along: str) -> DataFrame:
-    """Add first and last position of the unbroken run each cell lies in."""
-    order = Window.partitionBy(*line).orderBy(along)
-    run = Window.partitionBy(*line, "_run")
-    return (
-        df.withColumn("_run", F.col(along) - F.row_number().over(order))
-        .withColumns({"first": F.min(along).over(run), "last": F.max(along).over(run)})
-        .drop("_run")
-    )
-
-
-def _steps(along: str, size: int) -> Column:
-    """Steps to the nearer end of the run, ignoring ends at the grid's edge."""
+def _along(df: DataFrame, line: list[str], along: str, size: int, out: str) -> DataFrame:
+    """Add `_run`, naming the unbroken run of cells each cell lies in, and the
+    steps from the cell to the nearer end of it. Ends at the grid's edge do not
+    count: beyond them nothing is known."""
     place = F.col(along)
-    back = F.when(F.col("first") > 0, place - F.col("first") + 1)
-    ahead = F.when(F.col("last") < size - 1, F.col("last") - place + 1)
-    return F.least(back, ahead)
+    number = F.row_number().over(Window.partitionBy(*line).orderBy(along))
+    run = Window.partitionBy(*line, "_run")
+    first, last = F.min(along).over(run), F.max(along).over(run)
+    back = F.when(first > 0, place - first + 1)
+    ahead = F.when(last < size - 1, last - place + 1)
+    # Position minus place in order is the same all along a run.
+    return df.withColumn("_run", place - number).withColumn(out, F.least(back, ahead))

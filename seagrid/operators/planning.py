@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seagrid.rules import EXPECTED_SOURCES, RULES, SUBDAILY_SOURCES, TRAINING_SOURCES
+from seagrid.session import small_table
 
 
 def expected_sources(spark: SparkSession, training_only: bool = False) -> DataFrame:
@@ -16,10 +17,7 @@ def expected_sources(spark: SparkSession, training_only: bool = False) -> DataFr
     rows = [
         r for r in EXPECTED_SOURCES if not training_only or r[1] in TRAINING_SOURCES
     ]
-    return spark.createDataFrame(
-        [(m, s, d, list(v), c) for m, s, d, v, c in rows],
-        "mode string, source string, dataset_id string, variables array<string>, cadence string",
-    )
+    return small_table(spark, "mode source dataset_id variables cadence", rows)
 
 
 def missing_sources(

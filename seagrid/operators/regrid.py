@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seagrid.grid import Grid
+from seagrid.session import small_table
 
 
 @dataclass(frozen=True)
@@ -52,18 +53,21 @@ def regrid_bilinear(
 
     The weights separate into one short table per axis (two entries per grid
     line), so they are broadcast safely whatever the amount of readings. Each
-    reading is sent to the cells it touches and summed there: one shuffle,
-    with partial sums before it.
+    reading is spread over the cells it touches and summed there. Readings are
+    laid out by day before they are spread, which is the one exchange here and
+    is reused by the operators that follow on the day's plane; a day holds at
+    most one reading per source node.
     """
     spark = readings.sparkSession
     # Coordinates are matched as whole microdegrees, never as floats.
     def micro(name: str):
         return F.rint(F.col(name) * 1e6).cast("long")
 
-    lat_w = _weights(spark, lat_axis, [_centre(grid.lat_min, grid.res, k) for k in range(grid.n_lat)], "lat")
-    lon_w = _weights(spark, lon_axis, [_centre(grid.lon_min, grid.res, k) for k in range(grid.n_lon)], "lon")
+    lat_w = _weights(spark, lat_axis, grid.lat_min, grid.res, grid.n_lat, "lat")
+    lon_w = _weights(spark, lon_axis, grid.lon_min, grid.res, grid.n_lon, "lon")
+    by_day = readings.repartition(*keys) if "date" in keys else readings
     spread = (
-        readings.withColumns({"lat_micro": micro("lat"), "lon_micro": micro("lon")})
+        by_day.withColumns({"lat_micro": micro("lat"), "lon_micro": micro("lon")})
         .join(F.broadcast(lat_w), "lat_micro")
         .join(F.broadcast(lon_w), "lon_micro")
         .withColumn("w", F.col("lat_w") * F.col("lon_w"))
@@ -75,14 +79,12 @@ def regrid_bilinear(
     ])
 
 
-def _centre(low: float, res: float, k: int) -> float:
-    return round(low + res * (k + 0.5), 4)
-
-
-def _weights(spark: SparkSession, axis: Axis, targets: list[float], side: str) -> DataFrame:
+def _weights(
+    spark: SparkSession, axis: Axis, low: float, res: float, size: int, side: str,
+) -> DataFrame:
+    centres = [round(low + res * (k + 0.5), 4) for k in range(size)]
     rows = [
-        (round(axis.values[s] * 1e6), t, w, n) for t, s, w, n in axis.weights(targets)
+        (round(axis.values[s] * 1e6), t, w, n) for t, s, w, n in axis.weights(centres)
     ]
-    return spark.createDataFrame(
-        rows, f"{side}_micro long, {side}_idx int, {side}_w double, {side}_n int"
-    )
+    table = small_table(spark, f"{side}_micro {side}_idx {side}_w {side}_n", rows)
+    return table.withColumn(f"{side}_idx", F.col(f"{side}_idx").cast("int"))

@@ -46,15 +46,20 @@ def trailing_mean(
     return df.withColumn(out, F.when(enough, F.avg(col).over(frame)))
 
 
-def observed_days(df: DataFrame, col: str, per_year: bool = False) -> DataFrame:
+def observed_days(
+    df: DataFrame, col: str, per_year: bool = False, calendar: DataFrame | None = None,
+) -> DataFrame:
     """For each day the latest day, up to it, on which any cell has `col`.
 
-    Returns region, date, src_date, age_days. Only the list of days is ever
-    put in order, never the cells.
+    Returns region, date, src_date, age_days. `calendar` (region, date) adds
+    days on which `df` has no rows. Only the list of days is ever put in order,
+    never the cells.
     """
     days = df.groupBy("region", "date").agg(
         F.max(F.col(col).isNotNull()).alias("seen")
     )
+    if calendar is not None:
+        days = calendar.select("region", "date").join(days, ["region", "date"], "left")
     part = ["region", F.year("date")] if per_year else ["region"]
     so_far = Window.partitionBy(*part).orderBy("date").rowsBetween(
         Window.unboundedPreceding, 0
@@ -67,6 +72,25 @@ def observed_days(df: DataFrame, col: str, per_year: bool = False) -> DataFrame:
     )
 
 
+def carry_planes(
+    df: DataFrame, cols: Sequence[str], calendar: DataFrame,
+    max_age: int = RULES.chl_max_age_days, age: str = "chl_age_days", per_year: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """`carry_forward` for a source that has no rows on the days it misses.
+
+    Returns the source's rows for every day of `calendar` they serve, and the
+    age of each day. An observed plane is pushed on to the days that use it, so
+    the source is joined to a list of days only and never to itself.
+    """
+    days = observed_days(df, cols[0], per_year, calendar)
+    fresh = days.where(F.col("age_days") <= max_age).select("region", "src_date", "date")
+    planes = df.select(
+        "region", F.col("date").alias("src_date"), "lat_idx", "lon_idx", *cols
+    ).join(fresh, ["region", "src_date"])
+    ages = days.select("region", "date", F.col("age_days").alias(age))
+    return planes.select("region", "date", "lat_idx", "lon_idx", *cols), ages
+
+
 def carry_forward(
     df: DataFrame, cols: Sequence[str], max_age: int = RULES.chl_max_age_days,
     age: str = "chl_age_days", per_cell: bool = False, per_year: bool = False,

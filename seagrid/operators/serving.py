@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seagrid.functions import half_even
 from seagrid.grid import Grid
-from seagrid.operators.safety import safety_summary, with_status_text
+from seagrid.operators.safety import state_counts, with_headline, with_status_text
 from seagrid.rules import RULES, Rules
 
 # What a daily document says about its score.
@@ -44,15 +44,16 @@ CELL_DECIMALS = {
 
 def display_cells(df: DataFrame, grid: Grid) -> DataFrame:
     """Cell values at display precision; missing stays null."""
-    names = {c: d for c, d in CELL_DECIMALS.items() if c in df.columns}
+    columns = set(df.columns)
+    names = {c: d for c, d in CELL_DECIMALS.items() if c in columns}
     return df.withColumns({
         "lat": half_even(grid.lat(F.col("lat_idx")), 3),
         "lon": half_even(grid.lon(F.col("lon_idx")), 3),
         **{c: half_even(F.col(c), d) for c, d in names.items()},
         **({"dist_coast_km": half_even(F.col("dist_coast_km"), 1)}
-           if "dist_coast_km" in df.columns else {}),
+           if "dist_coast_km" in columns else {}),
         **({"wave_estimated": F.coalesce(F.col("wave_estimated").cast("int"), F.lit(0))}
-           if "wave_estimated" in df.columns else {}),
+           if "wave_estimated" in columns else {}),
     })
 
 
@@ -67,32 +68,32 @@ def daily_payload(
     has; arrays are ordered by (lat_idx, lon_idx).
     """
     by = list(by)
+    columns = set(cells.columns)
     shown = display_cells(cells, grid)
     order = [
-        "lat_idx", "lon_idx", "lat", "lon", "safety", *[c for c in CELL_DECIMALS if c in cells.columns],
-        *[c for c in ("wave_estimated",) if c in cells.columns],
+        "lat_idx", "lon_idx", "lat", "lon", "safety", *[c for c in CELL_DECIMALS if c in columns],
+        *[c for c in ("wave_estimated",) if c in columns],
         "score", "reachable", "dist_coast_km",
     ]
     rows = F.array_sort(F.collect_list(F.struct(*order)))
-    has_flag = "wave_estimated" in cells.columns
-    has_age = "chl_age_days" in cells.columns
+    has_flag = "wave_estimated" in columns
+    has_age = "chl_age_days" in columns
+    # One pass over the cells gives the arrays, the headline and the shares.
     days = shown.groupBy(*by).agg(
         rows.alias("_rows"),
+        *state_counts(),
         F.count(F.lit(1)).alias("n_cells"),
         F.count_if("reachable").alias("_n_reachable"),
         F.max("score_source").alias("_source"),
         (half_even(F.avg("wave_estimated"), 3) if has_flag else F.lit(None).cast("double")).alias("_estimated"),
         (F.max("chl_age_days").cast("int") if has_age else F.lit(None).cast("int")).alias("_age"),
     )
-    headline = with_status_text(safety_summary(cells, by, rules)).select(
-        *by,
-        F.struct(
-            "status",
-            F.struct(F.col("label_so").alias("so"), F.col("label_en").alias("en"), "color").alias("label"),
-            F.struct(F.col("advice_so").alias("so"), F.col("advice_en").alias("en")).alias("advice"),
-            F.struct("n_safe", "n_caution", "n_danger", "n_unknown").alias("counts"),
-            "share_dangerous", "total",
-        ).alias("safety"),
+    headline = F.struct(
+        "status",
+        F.struct(F.col("label_so").alias("so"), F.col("label_en").alias("en"), "color").alias("label"),
+        F.struct(F.col("advice_so").alias("so"), F.col("advice_en").alias("en")).alias("advice"),
+        F.struct("n_safe", "n_caution", "n_danger", "n_unknown").alias("counts"),
+        "share_dangerous", "total",
     )
     # At most sites x bands zones a day.
     listed = zones.groupBy(*by).agg(
@@ -106,7 +107,7 @@ def daily_payload(
 
     arrays = F.struct(*[column_of(c) for c in order])
     return (
-        days.join(headline, by).join(listed, by, "left")
+        with_status_text(with_headline(days, rules)).join(listed, by, "left")
         .select(
             *by,
             F.struct(
@@ -114,7 +115,7 @@ def daily_payload(
                             lon_max=grid.lon_max, resolution=grid.res, n_lat=grid.n_lat,
                             n_lon=grid.n_lon, max_useful_zoom=MAX_USEFUL_ZOOM)
             ).alias("grid"),
-            "safety",
+            headline.alias("safety"),
             F.struct(*_constants(
                 wave_safe_m=rules.wave_safe_m, wave_danger_m=rules.wave_danger_m,
                 wind_safe_kmh=rules.wind_safe_kmh, wind_danger_kmh=rules.wind_danger_kmh,
@@ -199,7 +200,7 @@ def lookup_points(
     home_lat, home_lon = grid.lat_idx(F.col("lat")), grid.lon_idx(F.col("lon"))
     around = F.array(*[
         F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
-        for di in range(-2, 3) for dj in range(-2, 3)
+        for di in range(-2, 3) for dj in range(-2, 3) if abs(di) + abs(dj) <= 3
     ])
     candidates = (
         points.withColumn("_o", F.explode(around))
@@ -208,19 +209,30 @@ def lookup_points(
         })
         .where(grid.contains(F.col("lat_idx"), F.col("lon_idx")))
     )
-    # Nine decimals are far below any real difference and above float noise.
-    away = half_even(
+    # Whole billionths of a degree: below any real difference, above float noise.
+    away = F.rint(1e9 * (
         F.abs(grid.lat(F.col("lat_idx")) - F.col("lat"))
-        + F.abs(grid.lon(F.col("lon_idx")) - F.col("lon")), 9,
+        + F.abs(grid.lon(F.col("lon_idx")) - F.col("lon"))
+    )).cast("long")
+    # Distance, then indices, as one number: the nearest cell of a point is its
+    # smallest, found in a hash aggregate before anything is shuffled.
+    order = (away * 2**16 + F.col("lat_idx")) * 2**16 + F.col("lon_idx")
+    candidates = candidates.where(away <= round(2e9 * grid.res)).select(
+        point, *keys, "lat_idx", "lon_idx", order.alias("_order")
+    )
+    cell = [*keys, "lat_idx", "lon_idx"]
+    nearest = (
+        candidates.join(cells.select(*cell), cell, "left_semi")
+        .groupBy(point, *keys).agg(F.min("_order").alias("_order"))
+        .select(
+            point, *keys,
+            (F.shiftright("_order", 32) / 1e9).alias("distance_deg"),
+            F.pmod(F.shiftright("_order", 16), F.lit(2**16)).cast("int").alias("lat_idx"),
+            F.pmod(F.col("_order"), F.lit(2**16)).cast("int").alias("lon_idx"),
+        )
     )
-    candidates = candidates.withColumn("distance_deg", away).where(
-        F.col("distance_deg") <= 2 * grid.res
-    ).select(point, *keys, "lat_idx", "lon_idx", "distance_deg")
     values = [c for c in carry if c in cells.columns]
-    side = cells.select(*keys, "lat_idx", "lon_idx", *values)
-    found = candidates.join(side, [*keys, "lat_idx", "lon_idx"])
-    best = F.min(F.struct("distance_deg", "lat_idx", "lon_idx", *values))
-    return found.groupBy(point, *keys).agg(best.alias("_b")).select(point, *keys, "_b.*").withColumns({
+    return nearest.join(cells.select(*cell, *values), cell).withColumns({
         "cell_lat": grid.lat(F.col("lat_idx")), "cell_lon": grid.lon(F.col("lon_idx")),
     })
 

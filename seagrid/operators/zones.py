@@ -15,6 +15,7 @@ from seagrid.functions import (
 from seagrid.grid import Grid
 from seagrid.operators.coast import distance_to_coast
 from seagrid.rules import CAUTION, DANGER, RULES, SAFE, UNKNOWN, Rules
+from seagrid.session import small_table
 
 
 def zone_plane(
@@ -30,24 +31,30 @@ def zone_plane(
     site = nearest_site(
         grid.lat(F.col("lat_idx")), grid.lon(F.col("lon_idx")), rules
     )
-    plane = plane.withColumn("_site", site).select(*plane.columns, "_site.*").drop("place")
-    plane = plane.withColumns(coast_band(F.col("dist_coast_km"), rules))
-    return plane.withColumns({
-        "reachable": reachable(F.col("dist_coast_km"), F.col("site_km"), rules),
-        "zone_id": zone_id(F.col("site_id"), F.col("band")),
-    })
+    cell = [*keys, "lat_idx", "lon_idx"]
+    km, band = F.col("dist_coast_km"), coast_band(F.col("dist_coast_km"), rules)
+    return plane.withColumn("_site", site).select(
+        *cell, km, F.col("_site.site_id"), F.col("_site.site_km"),
+        reachable(km, F.col("_site.site_km"), rules).alias("reachable"),
+        *[b.alias(name) for name, b in band.items()],
+        zone_id(F.col("_site.site_id"), band["band"]).alias("zone_id"),
+    )
 
 
 def assign_zones(
     df: DataFrame, grid: Grid, per_day: bool = False, rules: Rules = RULES,
+    plane: DataFrame | None = None,
 ) -> DataFrame:
     """Attach coast distance, landing site, reach, band and zone to cell-days.
 
     Land is any cell never seen in the region; with `per_day` it is any cell
-    absent from that day's rows, so a missing reading reads as coast.
+    absent from that day's rows, so a missing reading reads as coast. A stored
+    `zone_plane` can be passed in and saves looking for the cells again.
     """
     keys = ["region", "date"] if per_day else ["region"]
-    return df.join(zone_plane(df, grid, keys, rules), [*keys, "lat_idx", "lon_idx"], "left")
+    if plane is None:
+        plane = zone_plane(df, grid, keys, rules)
+    return df.join(plane, [*keys, "lat_idx", "lon_idx"], "left")
 
 
 def zone_summary(
@@ -63,29 +70,29 @@ def zone_summary(
     wave, wind = F.col("wave_height_max"), F.col("wind_speed_max")
     lat, lon = grid.lat(F.col("lat_idx")), grid.lon(F.col("lon_idx"))
     half = grid.res / 2
+    columns = set(df.columns)
     usable = df.where(F.col("reachable") & F.col("zone_id").isNotNull())
     usable = usable.withColumns({"_state": safety_class(wave, wind, rules)})
     estimated = (
         half_even(exact_mean(F.col("wave_estimated").cast("double")), 2)
-        if "wave_estimated" in df.columns else F.lit(0.0)
+        if "wave_estimated" in columns else F.lit(0.0)
     )
 
     def mean(name: str, digits: int) -> Column:
-        if name not in df.columns:
+        if name not in columns:
             return F.lit(None).cast("double").alias(name)
         return half_even(exact_mean(F.col(name)), digits).alias(name)
 
     def is_state(code: str) -> Column:
         return share(F.col("_state") == code)
 
-    spark = df.sparkSession
-    sites = spark.createDataFrame(
-        [(s[0], s) for s in rules.sites],
-        "site_id string, site struct<id:string,so:string,en:string,lat:double,lon:double>",
+    names = ("id", "so", "en", "lat", "lon")
+    sites = small_table(
+        df.sparkSession, "site_id site", [(s[0], dict(zip(names, s))) for s in rules.sites]
     )
-    bands = spark.createDataFrame(
+    bands = small_table(
+        df.sparkSession, "band band_so band_en",
         [(f"{low}-{high}", so, en) for low, high, so, en in rules.bands],
-        "band string, band_so string, band_en string",
     )
     zones = usable.groupBy(*by, "zone_id", "site_id", "band").agg(
         F.count(F.lit(1)).alias("n_cells"),

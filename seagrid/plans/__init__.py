@@ -1,0 +1,7 @@
+"""The three end-to-end jobs: build features, score days, validate models."""
+
+from seagrid.plans.days import DayOutputs, score_days
+from seagrid.plans.features import build_features
+from seagrid.plans.validation import validate
+
+__all__ = ["DayOutputs", "build_features", "score_days", "validate"]

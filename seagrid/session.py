@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,10 +17,19 @@ def local_session(name: str = "seagrid", cores: str = "*") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording a Python call site per column makes building plans slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
 
+def small_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A fixed short table (a dimension, a set of weights) as a local relation,
+    so its size is known to the planner. `columns` are names in order."""
+    names = columns.replace(",", " ").split()
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r)) for r in rows]))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and read it from there.
 

@@ -53,7 +53,7 @@ def flatten_effort(raw: DataFrame, column: str = "json") -> DataFrame:
 def read_effort(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
     """Effort rows written under `year=/month=` folders; a year with none gives
     no rows and hence no labels."""
-    schema = effort_schema().add("year", "int").add("month", "int")
+    schema = effort_schema().add("year", T.IntegerType()).add("month", T.IntegerType())
     df = nan_to_null(spark.read.schema(schema).parquet(path))
     return df if year is None else df.where(F.col("year") == year)
 
