@@ -227,7 +227,7 @@ COARSE = """coarse AS (
   SELECT o_orderkey // 15000 AS region, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
     CAST(o_custkey % 10 AS INT) AS ci, CAST(o_orderkey % 10 AS INT) AS cj,
     CASE WHEN (o_custkey % 10 + o_orderkey % 10 + month(o_orderdate)) % 7 = 0 THEN NULL
-      ELSE CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 97000) END AS v
+      ELSE CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 99991) END AS v
   FROM orders GROUP BY region, CAST(date_trunc('month', o_orderdate) AS DATE), ci, cj,
     (o_custkey % 10 + o_orderkey % 10 + month(o_orderdate)) % 7)"""
 

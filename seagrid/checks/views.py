@@ -159,7 +159,7 @@ def coarse_field(spark: SparkSession, sf: str) -> DataFrame:
             (F.col("i") * 0.2 + 1.0).alias("lat"), (F.col("j") * 0.2 + 44.0).alias("lon"),
             F.when(
                 (F.col("i") + F.col("j") + F.month("date")) % 7 != 0,
-                F.col("p").cast("double") / (F.col("n") * 97_000),
+                F.col("p").cast("double") / (F.col("n") * 99_991),
             ).alias("v"),
         )
     )
