@@ -13,6 +13,7 @@ from seagrid.checks import views as v
 from seagrid.grid import Grid, cell_id
 from seagrid.operators.labels import snapped
 from seagrid.operators.models import FEATURES
+from seagrid.plans import score_days
 from seagrid.session import settle
 from seagrid.sources import file_listing, flatten_effort, source_inventory
 from seagrid.streaming import daily_updates, read_merged, run_daily
@@ -690,10 +691,7 @@ def catalog_status(spark, sf):
 
 def _payload(spark, sf):
     filled = op.fill_nearest(v.cell_day(spark, sf), "wave_height_max", G, flag="wave_estimated")
-    fronts = op.drop_land(op.sst_gradient(filled, G))
-    cells = op.classify(op.assign_zones(op.score_cells(fronts), G))
-    zones = op.rank_zones(op.zone_summary(cells, G, "score", "physics_index"))
-    return op.daily_payload(cells, zones, G)
+    return score_days(op.drop_land(op.sst_gradient(filled, G)), G).payload
 
 
 @query

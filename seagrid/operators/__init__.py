@@ -10,8 +10,8 @@ from seagrid.operators.confound import (
 )
 from seagrid.operators.daily import daily_stats, daily_wind
 from seagrid.operators.evaluate import evaluate, evaluate_within, ranking_metrics
-from seagrid.operators.fill import fill_nearest
-from seagrid.operators.front import sst_gradient
+from seagrid.operators.fill import fill_nearest, filled, swap_filled
+from seagrid.operators.front import gradient, sst_gradient
 from seagrid.operators.index import pct_rank, physics_index
 from seagrid.operators.labels import (
     build_report, effort_cells, effort_report, effort_shares, effort_totals,

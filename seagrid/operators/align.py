@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seagrid.grid import Grid
+from seagrid.operators.neighbours import whole_planes
+
 KEYS = ("region", "date", "lat_idx", "lon_idx")
 
 
@@ -33,6 +36,7 @@ def days_with_values(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS) ->
 
 def align_sources(
     frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, days: DataFrame | None = None,
+    fill_grid: Grid | None = None,
 ) -> DataFrame:
     """Outer alignment of frames that share the key and differ in variables.
 
@@ -40,7 +44,8 @@ def align_sources(
     every source. The one exchange is by day: it serves the grouping as well as
     every operator after it that works on a day's plane. Days on which no
     source has any value are dropped as a whole; `days` names the days to keep
-    if they are known already.
+    if they are known already. `fill_grid` adds the cells no source covers, so
+    that every day is a whole plane of that grid.
     """
     day = [k for k in keys if k not in ("lat_idx", "lon_idx")]
     if days is None:
@@ -49,9 +54,12 @@ def align_sources(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), frames
     )
     variables = [c for c in stacked.columns if c not in keys]
+    stacked = stacked.join(days.select(*day), day, "left_semi")
+    if fill_grid is not None:
+        planes = whole_planes(days.select(*day).repartition(*day), fill_grid)
+        stacked = stacked.unionByName(planes, allowMissingColumns=True)
     return (
-        stacked.join(days.select(*day), day, "left_semi")
-        .repartition(*day)
+        stacked.repartition(*day)
         .groupBy(*keys)
         .agg(*[F.max(v).alias(v) for v in variables])
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.grid import Grid
@@ -29,28 +29,41 @@ def offsets_within(grid: Grid, max_km: float) -> list[tuple[int, int]]:
     return [(di, dj) for _, di, dj in sorted(found)]
 
 
-def fill_nearest(
-    df: DataFrame, col: str, grid: Grid, max_km: float = RULES.wave_fill_max_km,
-    flag: str | None = None, keys: Sequence[str] = DAY_KEYS,
-) -> DataFrame:
-    """Replace nulls of `col` by the nearest value of the same day.
+def filled(
+    col: str, grid: Grid, max_km: float = RULES.wave_fill_max_km,
+    keys: Sequence[str] = DAY_KEYS, dense: bool = False,
+) -> Column:
+    """`col`, or where it is null the nearest value of the same day.
 
-    `flag` (default `<col>_estimated`) is 1 where a value was filled in. The
-    search radius is a handful of cells, so each offset is one window frame
-    over the day (see `neighbours`), not a join.
+    The search radius is a handful of cells, so each offset is one window frame
+    over the day (see `neighbours`), not a join. `dense` promises a row for
+    every cell of the grid, which is faster.
     """
-    flag = flag or f"{col}_estimated"
     near = [
-        neighbour(F.col(col), di, dj, grid, keys)
+        neighbour(F.col(col), di, dj, grid, keys, dense)
         for di, dj in offsets_within(grid, max_km)
     ]
-    filled = F.coalesce(F.col(col), *near)
-    return (
-        df.withColumn("_filled", filled)
-        .withColumn(
-            flag,
-            (F.col(col).isNull() & F.col("_filled").isNotNull()).cast("byte"),
-        )
-        .withColumn(col, F.col("_filled"))
-        .drop("_filled")
-    )
+    return F.coalesce(F.col(col), *near)
+
+
+def fill_nearest(
+    df: DataFrame, col: str, grid: Grid, max_km: float = RULES.wave_fill_max_km,
+    flag: str | None = None, keys: Sequence[str] = DAY_KEYS, dense: bool = False,
+) -> DataFrame:
+    """Replace nulls of `col` by the nearest value within `max_km`; `flag`
+    (default `<col>_estimated`) is 1 where a value was filled in."""
+    tagged = df.withColumn("_filled", filled(col, grid, max_km, keys, dense))
+    return swap_filled(tagged, {col: "_filled"}, {flag or f"{col}_estimated": col})
+
+
+def swap_filled(
+    df: DataFrame, replaced: dict[str, str], flags: dict[str, str],
+) -> DataFrame:
+    """Put filled columns in place of their originals, flagging the changes."""
+    return df.withColumns({
+        **{c: F.col(new) for c, new in replaced.items()},
+        **{
+            flag: (F.col(c).isNull() & F.col(replaced[c]).isNotNull()).cast("byte")
+            for flag, c in flags.items()
+        },
+    }).drop(*replaced.values())

@@ -75,7 +75,7 @@ def daily_payload(
         *[c for c in ("wave_estimated",) if c in columns],
         "score", "reachable", "dist_coast_km",
     ]
-    rows = F.array_sort(F.collect_list(F.struct(*order)))
+    rows = F.sort_array(F.collect_list(F.struct(*order)))
     has_flag = "wave_estimated" in columns
     has_age = "chl_age_days" in columns
     # One pass over the cells gives the arrays, the headline and the shares.
@@ -97,15 +97,13 @@ def daily_payload(
     )
     # At most sites x bands zones a day.
     listed = zones.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             "rank", *[c for c in zones.columns if c not in ("rank", *by)]
         ))).alias("zones")
     )
 
-    def column_of(name: str) -> Column:
-        return F.transform("_rows", lambda row: row[name]).alias(name)
-
-    arrays = F.struct(*[column_of(c) for c in order])
+    # A field of an array of structs is the array of that field.
+    arrays = F.struct(*[F.col("_rows").getField(c).alias(c) for c in order])
     return (
         with_status_text(with_headline(days, rules)).join(listed, by, "left")
         .select(

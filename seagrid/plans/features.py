@@ -11,8 +11,8 @@ from seagrid.functions import cyclic_month, speed, to_celsius, to_kmh
 from seagrid.grid import Grid, cell_id
 from seagrid.operators import (
     Axis, align_sources, carry_planes, days_with_values, drop_land,
-    effort_cells, fill_nearest, join_labels, join_static, pick_source,
-    regrid_bilinear, sst_gradient, trailing_mean,
+    effort_cells, filled, gradient, join_labels, join_static, pick_source,
+    regrid_bilinear, swap_filled, trailing_mean,
 )
 from seagrid.rules import RULES, Rules
 from seagrid.session import settle
@@ -95,16 +95,23 @@ def build_features(
             per_year=restart_each_year,
         )
         frames.append(carried)
-    df = align_sources(frames, days=calendar)
+    df = align_sources(frames, days=calendar, fill_grid=grid)
     present = set(df.columns)
     absent = {c: F.lit(None).cast("double") for c in MEASURED if c not in present}
     df = (df.withColumns(absent) if absent else df).join(ages, ["region", "date"], "left")
 
     # Within each day's plane.
-    df = sst_gradient(df, grid)
-    df = fill_nearest(df, "wave_height", grid, rules.wave_fill_max_km, flag="_mean_filled")
-    df = fill_nearest(df, "wave_height_max", grid, rules.wave_fill_max_km, flag="wave_estimated")
-    df = drop_land(df.drop("_mean_filled"))
+    reach = rules.wave_fill_max_km
+    # In one step, so that all neighbours are read in a single window pass.
+    df = df.withColumns({
+        "sst_gradient": gradient(grid, dense=True),
+        "_mean": filled("wave_height", grid, reach, dense=True),
+        "_max": filled("wave_height_max", grid, reach, dense=True),
+    })
+    df = drop_land(swap_filled(
+        df, {"wave_height": "_mean", "wave_height_max": "_max"},
+        {"wave_estimated": "wave_height_max"},
+    ))
 
     df = df.withColumns({
         "cell_id": cell_id(F.col("lat_idx"), F.col("lon_idx")),

@@ -13,6 +13,7 @@ def local_session(name: str = "seagrid", cores: str = "*") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

@@ -20,12 +20,13 @@ def write_features(df: DataFrame, path: str, mode: str = "historical") -> None:
     """Feature rows by region, mode and year; a rerun replaces the years it
     holds and leaves the others.
 
-    Rows are laid out by day within a year and sorted by cell, so a day's reader
-    touches few files and no task writes a whole year.
+    A task holds whole months of a region, so a year is at most twelve files of
+    bounded size, and rows are sorted by day and cell within them, so a reader
+    of some days skips most row groups.
     """
     out = _lead_first(df).withColumns({"mode": F.lit(mode), "year": F.year("date")})
     (
-        out.repartition("region", "year", "date")
+        out.repartition("region", "year", F.month("date"))
         .sortWithinPartitions("region", "year", "date", "lat_idx", "lon_idx")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

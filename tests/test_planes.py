@@ -73,6 +73,18 @@ def test_gradient_does_not_need_land_rows(spark):
     assert np.allclose(a, b, equal_nan=True)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.4])
+def test_dense_planes_give_the_same(spark, share):
+    values = masked(11, share)
+    df = plane(spark, values)
+    for name, f in {
+        "sst_gradient": lambda d: op.sst_gradient(df, G, dense=d),
+        "sst": lambda d: op.fill_nearest(df, "sst", G, 30.0, dense=d),
+    }.items():
+        a, b = (as_array(f(d), name, values.shape) for d in (False, True))
+        assert np.allclose(a, b, equal_nan=True)
+
+
 def nearest(values, max_km):
     out, flag = values.copy(), np.zeros(values.shape, int)
     near = offsets_within(G, max_km)
