@@ -656,3 +656,61 @@ LEFT JOIN (SELECT region, date, count(*) AS n_zones, arg_min(zone_id, rank) AS f
 add("stream_daily_stats", f"""
 SELECT user_id, CAST(ts AS DATE) AS date, {r('avg(value)')} AS value_mean, {r('max(value)')} AS value_max
 FROM events GROUP BY ALL""")
+
+# ------------------------------------------------------------- whole jobs
+
+add("surface_readings", with_(READINGS) + f"""
+SELECT time, user_id, {r('u')} AS u, {r('v')} AS v, {r('value')} AS value FROM readings
+WHERE v = (SELECT min(v) FROM readings)""")
+add("effort_round_trip", f"""
+SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, {r('(l_partkey % 22) * CAST(0.1 AS DOUBLE) + 1')} AS lat,
+  {r('(l_suppkey % 20) * CAST(0.1 AS DOUBLE) + 44')} AS lon, {r('l_quantity / 10')} AS hours,
+  CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, l_linestatus AS geartype,
+  CAST(1998 AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month FROM lineitem WHERE year(l_shipdate) = 1998""")
+add("features_round_trip", with_(SEA) + f"""
+SELECT date, lat_idx, lon_idx, {r('sst')} AS sst, 'r' || region AS region, CAST(year(date) AS INT) AS year
+FROM sea WHERE year(date) IN (1996, 1999)""")
+add("feature_table", with_(CELL_DAY, FILL, grad("filled"), EFFORT_MONTHS, """trail AS (
+  SELECT region, date, lat_idx, lon_idx, CASE WHEN count(chl) OVER w >= 3 THEN avg(chl) OVER w END AS chl_lag7
+  FROM cell_day WINDOW w AS (PARTITION BY region, lat_idx, lon_idx ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))""") + f"""
+SELECT {KEY}, printf('c_%04d_%04d', lat_idx, lon_idx) AS cell_id, {r('sst')} AS sst, {r('sst_gradient')} AS sst_gradient,
+  {r('chl')} AS chl, {r('chl_lag7')} AS chl_lag7, {r('wave_height_max')} AS wave_height, {r('wave_height_max')} AS wave_height_max,
+  {r('wind_speed_max / 2')} AS wind_speed, {r('wind_speed_max')} AS wind_speed_max, {r('coalesce(fishing_hours, 0)')} AS fishing_hours,
+  coalesce(n_vessels, 0) AS n_vessels, CAST(0 AS INT) AS chl_age_days, wave_estimated, CAST(month(date) AS INT) AS month,
+  CASE WHEN fishing_hours > 0.5 THEN 1 ELSE 0 END AS fished
+FROM grad JOIN trail USING ({KEY}) LEFT JOIN ecells USING ({KEY}) WHERE sst IS NOT NULL""")
+add("thin_whole", with_(ITEMS) + """
+SELECT pos, least(neg, pos * 2) AS neg
+FROM (SELECT count(*) FILTER (fished = 1) AS pos, count(*) FILTER (fished = 0) AS neg FROM items)""")
+
+
+def renamed_metrics(name: str, score: str) -> str:
+    cte = metrics("month", f"rows_{name}")
+    for part in ("per_score", "running", "metrics"):
+        cte = cte.replace(f"{part} AS", f"{part}_{name} AS").replace(f"FROM {part} ", f"FROM {part}_{name} ")
+    return f"rows_{name} AS (SELECT CAST(month(date) AS INT) AS month, fished AS y, {score} AS s FROM both_),\n{cte}"
+
+
+add("baseline_comparison", with_(
+    CELL_DAY, grad(), SCORED,
+    "train AS (SELECT * FROM scored WHERE year(date) <= 1999)",
+    "test AS (SELECT *, month(date) AS m FROM scored WHERE year(date) > 1999)",
+    "cm AS (SELECT region, lat_idx, lon_idx, month(date) AS m, avg(fished) AS cm_rate FROM train GROUP BY ALL)",
+    "ce AS (SELECT region, lat_idx, lon_idx, avg(fished) AS ce_rate FROM train GROUP BY ALL)",
+    "mo AS (SELECT month(date) AS m, avg(fished) AS mo_rate FROM train GROUP BY ALL)",
+    """both_ AS (SELECT *, coalesce(cm_rate, ce_rate, mo_rate, (SELECT avg(fished) FROM train)) AS clim
+  FROM test LEFT JOIN cm USING (region, lat_idx, lon_idx, m) LEFT JOIN ce USING (region, lat_idx, lon_idx) LEFT JOIN mo USING (m))""",
+    renamed_metrics("clim", "clim"), renamed_metrics("phys", "score"),
+    "lines AS (" + within("climatology").replace("FROM metrics ", "FROM metrics_clim ") + " UNION ALL "
+    + within("physics_index").replace("FROM metrics ", "FROM metrics_phys ") + ")",
+) + """SELECT *, (SELECT max(pr_auc_within_month) FILTER (model = 'climatology') > max(pr_auc_within_month) FILTER (model = 'physics_index')
+  FROM lines) AS beats_baselines FROM lines""")
+add("daily_payload_zones", with_(FILLED_CHAIN) + f"""
+SELECT r.region, r.date, CAST(rank AS INT) AS rank, r.zone_id, name_so, name_en, n_cells, score, safety, distance_km,
+  e.wave_estimated_share, {level('score')} AS level
+FROM ranks r JOIN (SELECT s.region, s.date, {ZONE_ID} AS zone_id, {r('avg(wave_estimated)', 2)} AS wave_estimated_share
+  FROM sea s JOIN plane p USING (region, lat_idx, lon_idx) WHERE reachable AND band IS NOT NULL GROUP BY ALL) e
+  USING (region, date, zone_id)""")
+add("daily_files", with_(SEA) + """
+SELECT 'r' || region AS region, date, count(*) AS n_cells, count(*) AS n_listed FROM sea s
+WHERE date = (SELECT max(date) FROM sea x WHERE x.region = s.region) GROUP BY ALL""")

@@ -13,9 +13,13 @@ from seagrid.checks import views as v
 from seagrid.grid import Grid, cell_id
 from seagrid.operators.labels import snapped
 from seagrid.operators.models import FEATURES
-from seagrid.plans import score_days
-from seagrid.session import settle
-from seagrid.sources import file_listing, flatten_effort, source_inventory
+from seagrid.plans import build_features, score_days
+from seagrid.session import settle, shared_folder
+from seagrid.sources import (
+    file_listing, flatten_effort, read_effort, read_features, source_inventory,
+    write_daily, write_features,
+)
+from seagrid.sources.readers import surface
 from seagrid.streaming import daily_updates, read_merged, run_daily
 
 QUERIES: dict = {}
@@ -28,6 +32,11 @@ def query(f):
     return f
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can see it."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(x):
     return fn.half_even(F.col(x) if isinstance(x, str) else x, 6)
 
@@ -236,6 +245,35 @@ def flatten_effort_rows(spark, sf):
     return rounded(flatten_effort(replies), "lat", "hours")
 
 
+@query
+def surface_readings(spark, sf):
+    """Only the shallowest level of a source with several."""
+    levels = v.readings(spark, sf).withColumn("depth", (F.col("v") / 60).cast("double"))
+    return rounded(surface(levels), "u", "v", "value")
+
+
+@query
+def effort_round_trip(spark, sf):
+    """Effort written by month, one year of it read back."""
+    path = scratch(spark, "effort")
+    rows = v.effort(spark, sf).drop("region").withColumns({
+        "vesselType": F.lit(None).cast("string"), "year": F.year("date"), "month": F.month("date"),
+        "date": F.col("date").cast("string"),
+    })
+    rows.write.partitionBy("year", "month").parquet(path)
+    return rounded(read_effort(spark, path, 1998).drop("vesselType"), "lat", "lon", "hours")
+
+
+@query
+def features_round_trip(spark, sf):
+    """Features written by year; two years and a few columns read back."""
+    path = scratch(spark, "features")
+    rows = v.sea_day(spark, sf).withColumn("region", F.concat(F.lit("r"), "region"))
+    write_features(rows, path)
+    back = read_features(spark, path, years=[1996, 1999], columns=["date", "lat_idx", "lon_idx", "sst"])
+    return rounded(back, "sst")
+
+
 # ------------------------------------------------------------------- features
 
 @query
@@ -362,6 +400,27 @@ def distance_to_coast(spark, sf):
     return rounded(op.distance_to_coast(v.sea_day(spark, sf), G), "dist_coast_km")
 
 
+@query
+def feature_table(spark, sf):
+    """The whole feature job on one set of gridded daily fields."""
+    plane = v.cell_day(spark, sf)
+    fields = {
+        "sst": plane.select(*KEY, (F.col("sst") + 273.15).alias("analysed_sst")),
+        "chl": plane.select(*KEY, F.col("chl").alias("CHL")),
+        "wav": plane.select(*KEY, F.col("wave_height_max").alias("VHM0_mean"),
+                            F.col("wave_height_max").alias("VHM0_max")),
+        "wnd": plane.select(*KEY, (F.col("wind_speed_max") / 2).alias("wind_speed"), "wind_speed_max"),
+    }
+    out = build_features(fields, G, effort=v.month_effort(spark, sf), wind_in_ms=False)
+    numbers = ["sst", "sst_gradient", "chl", "chl_lag7", "wave_height", "wave_height_max",
+               "wind_speed", "wind_speed_max", "fishing_hours"]
+    ints = ["wave_estimated", "month", "fished"]
+    return rounded(out.select(
+        *KEY, "cell_id", *numbers, "n_vessels", "chl_age_days",
+        *[F.col(c).cast("int").alias(c) for c in ints],
+    ), *numbers)
+
+
 # --------------------------------------------------------------------- labels
 
 @query
@@ -522,6 +581,13 @@ def thin_training_years(spark, sf):
     return _label_counts(kept, F.year("date").alias("year"))
 
 
+@query
+def thin_whole(spark, sf):
+    """Two negatives a positive over all rows, none without positives."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return _label_counts(op.subsample_negatives(_sampling_rows(spark, sf), 2, floor_one=False, key=key))
+
+
 @query
 def row_cap(spark, sf):
     kept = op.cap_rows(v.sea_day(spark, sf), 10_000)
@@ -569,6 +635,16 @@ def eval_physics_index(spark, sf):
     return op.evaluate(scored, "fished", "score", "physics_index")
 
 
+@query
+def baseline_comparison(spark, sf):
+    """Climatology against the physics index on later years, and the gate."""
+    train, test = op.temporal_split(v.scored_day(spark, sf).withColumn("month", F.month("date")), 1999)
+    scored = op.climatology(train, test.withColumnRenamed("score", "physics_index"))
+    metrics = op.compare_models(scored, ["climatology", "physics_index"])
+    gate = op.validation_gate(metrics, "climatology", ["physics_index"]).select("beats_baselines")
+    return metrics.withColumn("beats_baselines", gate.scalar())
+
+
 # ------------------------------------------------------------ index and zones
 
 @query
@@ -727,6 +803,29 @@ def daily_payload_headline(spark, sf):
     )
 
 
+@query
+def daily_payload_zones(spark, sf):
+    """The ranked zones listed in the daily documents."""
+    zones = _payload(spark, sf).select("region", "date", F.explode("zones").alias("z"))
+    return zones.select(
+        "region", "date", "z.rank", "z.zone_id", "z.name_so", "z.name_en", "z.n_cells", "z.score",
+        "z.safety", "z.distance_km", "z.wave_estimated_share", F.col("z.rating.level").alias("level"),
+    )
+
+
+@query
+def daily_files(spark, sf):
+    """Daily documents written out; the newest day of each region read back."""
+    path = scratch(spark, "daily")
+    write_daily(_payload(spark, sf).withColumn("region", F.concat(F.lit("r"), "region")), path)
+    doc = "region string, date string, n_cells long, cells struct<lat_idx: array<int>, sst: array<double>>"
+    latest = spark.read.text(f"{path}/latest").select(F.from_json("value", doc).alias("d")).select("d.*")
+    return latest.select(
+        "region", F.col("date").cast("date").alias("date"), "n_cells",
+        F.size("cells.lat_idx").cast("long").alias("n_listed"),
+    )
+
+
 # --------------------------------------------------------------------- models
 
 def _model_table(spark, sf) -> DataFrame:
@@ -825,7 +924,7 @@ def stream_daily_stats(spark, sf):
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
         .select(F.col("ts").alias("time"), "user_id", "value")
     )
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/seagrid')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     run_daily(
         daily_updates(stream, ["value"], ["user_id"]), f"{base}/out", f"{base}/state"
     ).awaitTermination()

@@ -31,19 +31,25 @@ def small_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFra
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r)) for r in rows]))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate files. Only a local
+    session without one gets a temporary folder instead."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="seagrid-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and read it from there.
 
     Used where a small reduced table is read by several later steps: its
     upstream then runs once, and a lost executor costs a re-read, not a rerun.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="seagrid-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
