@@ -660,7 +660,7 @@ FROM events GROUP BY ALL""")
 # ------------------------------------------------------------- whole jobs
 
 add("surface_readings", with_(READINGS) + f"""
-SELECT time, user_id, {r('u')} AS u, {r('v')} AS v, {r('value')} AS value FROM readings
+SELECT CAST(time AS DATE) AS date, user_id, {r('u')} AS u, {r('v')} AS v, {r('value')} AS value FROM readings
 WHERE v = (SELECT min(v) FROM readings)""")
 add("effort_round_trip", f"""
 SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, {r('(l_partkey % 22) * CAST(0.1 AS DOUBLE) + 1')} AS lat,

@@ -249,7 +249,8 @@ def flatten_effort_rows(spark, sf):
 def surface_readings(spark, sf):
     """Only the shallowest level of a source with several."""
     levels = v.readings(spark, sf).withColumn("depth", (F.col("v") / 60).cast("double"))
-    return rounded(surface(levels), "u", "v", "value")
+    top = surface(levels).withColumn("date", fn.to_day(F.col("time"))).drop("time")
+    return rounded(top, "u", "v", "value")
 
 
 @query
