@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _units(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per dimension: which vectors have it, and these scaled to length one."""
-    size = np.asarray(pa.compute.list_value_length(vectors))
+    size = np.asarray(pc.list_value_length(vectors))
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     first = np.cumsum(size) - size
     for d in np.unique(size):

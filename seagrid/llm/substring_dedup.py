@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +182,7 @@ def _cut(with_text: bool):
             spans = batch.column(at)
             flat = spans.flatten()
             starts, ends = flat.field("start").to_numpy(), flat.field("end").to_numpy()
-            bounds = np.append(0, np.cumsum(np.nan_to_num(pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            bounds = np.append(0, np.cumsum(np.nan_to_num(pc.list_value_length(spans).to_numpy(zero_copy_only=False)))).astype(np.int64)
             data, offsets = tx.column(batch, "text")
             data = data.tobytes() if len(data) else b""
             total, removed, out = [], [], []
