@@ -182,11 +182,10 @@ def _score(net: Net | None, least: float | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.full(batch.num_rows, 0.5)
-            for block in tx.blocks(batch, name=batch.schema.names[-1], size=1 << 19):
+            for block in tx.blocks(batch, size=1 << 19):
                 if net is not None:
                     found[block.first:block.first + len(block.starts)] = score_rows(net, _halves(net), block.data, block.starts, block.ends)
-            kept = batch.slice(0, batch.num_rows) if least is None else batch.filter(pa.array(found >= least))
-            kept = kept.select(kept.schema.names[:-1])
+            kept = batch if least is None else batch.filter(pa.array(found >= least))
             scores = found if least is None else found[found >= least]
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores)], [*kept.schema.names, "_score"])
     return score
@@ -198,7 +197,5 @@ def scored(docs: DataFrame, net: Net | None, least: float | None = None) -> Data
     Without a network (no labels to learn from) every score is 0.5. Nothing but
     the text is read, so other columns, repeated rows and missing ids do not
     matter."""
-    columns = docs.columns
-    rows = docs.withColumn("_bytes", F.col("text").cast("string"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_score double"])
-    return rows.select(*columns, "_bytes").mapInArrow(_score(net, least), schema)
+    return docs.mapInArrow(_score(net, least), schema)
