@@ -343,10 +343,10 @@ LEFT JOIN (SELECT mode, source, string_agg(variable, ',' ORDER BY variable) AS m
   WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.mode = w.mode AND f.source = w.source AND f.variable = w.variable)
   GROUP BY ALL) a USING (mode, source)""")
 add("clamp_windows", with_(WINDOWS) + """
-SELECT o_custkey, start_day, end_day, source,
-  CASE WHEN end_day > last_day THEN greatest(first_day, last_day - span)
+SELECT o_custkey, start_day, end_day, source, mode,
+  CASE WHEN mode = 'historical' THEN start_day WHEN end_day > last_day THEN greatest(first_day, last_day - span)
     WHEN source = 'chl' THEN end_day - span ELSE start_day END AS load_start,
-  CASE WHEN end_day > last_day THEN last_day ELSE end_day END AS load_end
+  CASE WHEN mode <> 'historical' AND end_day > last_day THEN last_day ELSE end_day END AS load_end
 FROM (SELECT w.*, first_day, last_day, CAST(CASE WHEN w.source = 'chl' THEN greatest(40, end_day - start_day)
     ELSE end_day - start_day END AS INT) AS span
   FROM windows w LEFT JOIN (SELECT source, min(start_day) AS first_day, max(end_day) - 400 AS last_day
@@ -368,6 +368,11 @@ add("source_inventories", with_(FOUND) + f"""
 SELECT mode, source, count(*) AS files, {r('sum(bytes) / CAST(1e6 AS DOUBLE)')} AS megabytes,
   CAST(min(year) AS VARCHAR) AS first_label, CAST(max(year) AS VARCHAR) AS last_label
 FROM (SELECT mode, source, year, CAST(sum(bytes) AS BIGINT) AS bytes FROM found GROUP BY ALL) GROUP BY mode, source""")
+add("source_inventory_unfit", with_(FOUND) + f"""
+SELECT CASE WHEN year % 2 = 0 THEN mode ELSE 'unmatched' END AS mode, CASE WHEN year % 2 = 0 THEN source ELSE 'unmatched' END AS source,
+  count(*) AS files, {r('sum(bytes) / CAST(1e6 AS DOUBLE)')} AS megabytes,
+  CAST(min(year) FILTER (year % 2 = 0) AS VARCHAR) AS first_label, CAST(max(year) FILTER (year % 2 = 0) AS VARCHAR) AS last_label
+FROM (SELECT mode, source, year, CAST(sum(bytes) AS BIGINT) AS bytes FROM found GROUP BY ALL) GROUP BY 1, 2""")
 add("file_rows", "SELECT 'lineitem.parquet' AS file, count(*) AS n_rows FROM lineitem")
 add("flatten_effort_rows", f"""
 SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, {r('(l_partkey % 22) * CAST(0.1 AS DOUBLE) + 1')} AS lat,
@@ -384,6 +389,9 @@ for _kind, _top in (("true", "max(sqrt(u * u + v * v))"), ("component", "sqrt(ma
 SELECT user_id, CAST(time AS DATE) AS date, {r('sqrt(avg(u) * avg(u) + avg(v) * avg(v)) * 3.6')} AS wind_speed,
   {r(_top + ' * 3.6')} AS wind_speed_max FROM readings GROUP BY ALL""")
 add("regrid_bilinear", with_(COARSE, bilinear("coarse", "region, date", "v")) + f"SELECT {KEY}, {r('v')} AS v FROM v_grid")
+add("regrid_float32", ORACLES["regrid_bilinear"])
+add("regrid_unmatched", with_(COARSE) + """
+SELECT region, count(*) AS readings, count(*) FILTER (ci % 3 = 0 OR cj = 9) AS unmatched FROM coarse GROUP BY region""")
 add("sst_gradient", with_(CELL_DAY, grad()) + f"SELECT {KEY}, {r('sst_gradient')} AS sst_gradient FROM grad")
 FILL = f"""near AS (
   SELECT m.region, m.date, m.lat_idx, m.lon_idx, x.wave_height_max, row_number() OVER (
@@ -403,15 +411,25 @@ add("fill_nearest", with_(CELL_DAY, FILL) + f"SELECT {KEY}, wave_height_max, wav
 def trailing(days: int, least: int, frame: str, source: str, part: str = "region, lat_idx, lon_idx") -> str:
     return f"""
 SELECT {KEY}, CASE WHEN count(chl) OVER w >= {least} THEN {r('avg(chl) OVER w')} END AS mean
-FROM {source} WINDOW w AS (PARTITION BY {part} ORDER BY date {frame})"""
+FROM {source} WINDOW w AS (PARTITION BY {part} ORDER BY {frame})"""
 
 
-add("trailing_mean_7", with_(PIXEL_DAY) + trailing(7, 3, "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW", "pixel_day"))
-add("trailing_mean_14", with_(PIXEL_DAY) + trailing(14, 5, "ROWS BETWEEN 13 PRECEDING AND CURRENT ROW", "pixel_day"))
+def numbered(source: str, part: str = "region") -> str:
+    """Rows with the number of their day among all days of the region."""
+    return f"numbered AS (SELECT *, dense_rank() OVER (PARTITION BY {part} ORDER BY date) AS day FROM {source})"
+
+
+add("trailing_mean_7", with_(PIXEL_DAY, numbered("pixel_day")) + trailing(
+    7, 3, "day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW", "numbered"))
+add("trailing_mean_14", with_(PIXEL_DAY, numbered("pixel_day")) + trailing(
+    14, 5, "day RANGE BETWEEN 13 PRECEDING AND CURRENT ROW", "numbered"))
+add("trailing_mean_gaps", with_(
+    PIXEL_DAY, "holed AS (SELECT * FROM pixel_day WHERE (lat_idx + lon_idx + day(date)) % 3 <> 0)", numbered("holed"),
+) + trailing(7, 3, "day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW", "numbered"))
 add("trailing_mean_calendar", with_(PIXEL_DAY) + trailing(
-    7, 3, "RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW", "pixel_day"))
-add("trailing_mean_per_year", with_(SEA) + trailing(
-    7, 3, "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW", "sea", "region, lat_idx, lon_idx, year(date)"))
+    7, 3, "date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW", "pixel_day"))
+add("trailing_mean_per_year", with_(SEA, numbered("sea", "region, year(date)")) + trailing(
+    7, 3, "day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW", "numbered", "region, lat_idx, lon_idx, year(date)"))
 add("carry_forward", with_(
     PIXEL_DAY,
     """seen AS (SELECT region, date FROM pixel_day WHERE plane IS NOT NULL GROUP BY ALL)""",
@@ -459,7 +477,8 @@ SELECT {KEY}, {r('CAST(sum(CAST(q AS BIGINT)) AS DOUBLE) / 10')} AS fishing_hour
 FROM effort WHERE lat_idx < 20 GROUP BY ALL""")
 add("effort_totals", with_(EFFORT) + f"""
 SELECT count(*) AS n_rows, {r('CAST(sum(CAST(q AS BIGINT)) AS DOUBLE) / 10')} AS hours, min(date) AS first_day,
-  max(date) AS last_day, count(DISTINCT (date, lat_idx, lon_idx)) AS cell_days, count(DISTINCT (lat_idx, lon_idx)) AS cells
+  max(date) AS last_day, count(DISTINCT (region, date, lat_idx, lon_idx)) AS cell_days,
+  count(DISTINCT (region, lat_idx, lon_idx)) AS cells
 FROM effort""")
 add("effort_report", with_(EFFORT) + f"""
 SELECT flag, {r('CAST(sum(CAST(q AS BIGINT)) AS DOUBLE) / 10')} AS hours,
@@ -578,6 +597,9 @@ add("eval_pooled", with_(SCORED_ITEMS, metrics()) + pooled("price"))
 add("eval_by_region", with_(SCORED_ITEMS, metrics("region")) + plain("region"))
 add("eval_within_month", with_(SCORED_ITEMS, metrics("month")) + within("price"))
 add("eval_split_ranges", with_(SCORED_ITEMS, metrics("month")) + plain("month"))
+add("eval_null_group", with_(
+    SCORED_ITEMS, "holes AS (SELECT CASE WHEN month <> 7 THEN month END AS month, y, s FROM rows_ WHERE month <> 3)",
+    metrics("month", "holes")) + plain("month"))
 add("eval_documents", with_(
     "rows_ AS (SELECT lang, quality AS y, CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id))",
     metrics("lang")) + within("length"))
@@ -670,9 +692,9 @@ SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, {r('(l_partkey % 22) *
 add("features_round_trip", with_(SEA) + f"""
 SELECT date, lat_idx, lon_idx, {r('sst')} AS sst, 'r' || region AS region, CAST(year(date) AS INT) AS year
 FROM sea WHERE year(date) IN (1996, 1999)""")
-add("feature_table", with_(CELL_DAY, FILL, grad("filled"), EFFORT_MONTHS, """trail AS (
+add("feature_table", with_(CELL_DAY, FILL, grad("filled"), EFFORT_MONTHS, numbered("cell_day"), """trail AS (
   SELECT region, date, lat_idx, lon_idx, CASE WHEN count(chl) OVER w >= 3 THEN avg(chl) OVER w END AS chl_lag7
-  FROM cell_day WINDOW w AS (PARTITION BY region, lat_idx, lon_idx ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))""") + f"""
+  FROM numbered WINDOW w AS (PARTITION BY region, lat_idx, lon_idx ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))""") + f"""
 SELECT {KEY}, printf('c_%04d_%04d', lat_idx, lon_idx) AS cell_id, {r('sst')} AS sst, {r('sst_gradient')} AS sst_gradient,
   {r('chl')} AS chl, {r('chl_lag7')} AS chl_lag7, {r('wave_height_max')} AS wave_height, {r('wave_height_max')} AS wave_height_max,
   {r('wind_speed_max / 2')} AS wind_speed, {r('wind_speed_max')} AS wind_speed_max, {r('coalesce(fishing_hours, 0)')} AS fishing_hours,

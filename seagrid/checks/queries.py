@@ -181,7 +181,7 @@ def clamp_windows(spark, sf):
         F.min("start_day").alias("first_day"),
         F.date_sub(F.max("end_day"), 400).alias("last_day"),
     ).where(F.col("source") != "wnd")
-    return op.clamp_windows(v.customer_windows(spark, sf).drop("mode"), bounds)
+    return op.clamp_windows(v.customer_windows(spark, sf), bounds)
 
 
 @query
@@ -209,12 +209,23 @@ def pending_chunks(spark, sf):
     return op.pending_chunks(calendar_chunks(spark, sf), done, by=["o_custkey", "chunk"])
 
 
+def _source_files(spark, sf):
+    return v.found_sources(spark, sf).groupBy(
+        "year", F.concat_ws("", F.lit("/raw/"), "mode", F.lit("/"), "source", F.lit("/"), "source",
+                            F.lit("_"), F.col("year").cast("string"), F.lit(".nc")).alias("path")
+    ).agg(F.sum("bytes").alias("bytes"))
+
+
 @query
 def source_inventories(spark, sf):
-    files = v.found_sources(spark, sf).groupBy(
-        F.concat_ws("", F.lit("/raw/"), "mode", F.lit("/"), "source", F.lit("/"), "source",
-                    F.lit("_"), F.col("year").cast("string"), F.lit(".nc")).alias("path")
-    ).agg(F.sum("bytes").alias("bytes"))
+    return rounded(source_inventory(_source_files(spark, sf).drop("year")), "megabytes")
+
+
+@query
+def source_inventory_unfit(spark, sf):
+    """Files of odd years lie elsewhere; they are listed all the same."""
+    odd = F.when(F.col("year") % 2 == 0, F.col("path")).otherwise(F.concat(F.col("path"), F.lit("/copy")))
+    files = _source_files(spark, sf).select(odd.alias("path"), "bytes")
     return rounded(source_inventory(files), "megabytes")
 
 
@@ -301,6 +312,24 @@ def regrid_bilinear(spark, sf):
     return rounded(op.regrid_bilinear(field, ["v"], v.COARSE_LAT, v.COARSE_LON, G), "v")
 
 
+@query
+def regrid_float32(spark, sf):
+    """Coordinates stored in single precision give the same cells."""
+    field = v.coarse_field(spark, sf).withColumns({c: F.col(c).cast("float") for c in ("lat", "lon")})
+    return rounded(op.regrid_bilinear(field, ["v"], v.COARSE_LAT, v.COARSE_LON, G), "v")
+
+
+@query
+def regrid_unmatched(spark, sf):
+    """Readings that are nowhere near a node are counted."""
+    i, j = (F.rint((F.col(c) - low) * 5) for c, low in (("lat", 1.0), ("lon", 44.0)))
+    field = v.coarse_field(spark, sf).withColumns({
+        "lat": F.col("lat") + F.when(i % 3 == 0, 0.07).otherwise(0.0),
+        "lon": F.col("lon") + F.when(j == 9, 0.3).otherwise(0.0),
+    })
+    return op.unmatched_readings(field, v.COARSE_LAT, v.COARSE_LON, ["region"])
+
+
 @query
 def sst_gradient(spark, sf):
     out = op.sst_gradient(v.cell_day(spark, sf), G)
@@ -328,6 +357,14 @@ def trailing_mean_14(spark, sf):
     return _trailing(spark, sf, 14, 5)
 
 
+@query
+def trailing_mean_gaps(spark, sf):
+    """Cells lack rows on days on which the source has others."""
+    holed = v.pixel_day(spark, sf).where((F.col("lat_idx") + F.col("lon_idx") + F.day("date")) % 3 != 0)
+    out = op.trailing_mean(holed, "chl", 7, 3, "mean")
+    return rounded(out.select(*KEY, "mean"), "mean")
+
+
 @query
 def trailing_mean_calendar(spark, sf):
     return _trailing(spark, sf, 7, 3, axis="calendar")
@@ -622,6 +659,16 @@ def eval_split_ranges(spark, sf):
     return rounded(m, "base_rate", "roc_auc", "average_precision")
 
 
+@query
+def eval_null_group(spark, sf):
+    """Rows without a group are a group; rows without a label do not count."""
+    month = F.col("month")
+    items = v.scored_items(spark, sf).withColumns({
+        "month": F.when(month != 7, month), "fished": F.when(month != 3, F.col("fished")),
+    })
+    return rounded(op.ranking_metrics(items, "fished", "score", ["month"]), "base_rate", "roc_auc", "average_precision")
+
+
 @query
 def eval_documents(spark, sf):
     """Quality labels ranked by document length, per language."""

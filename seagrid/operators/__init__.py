@@ -8,7 +8,7 @@ from seagrid.operators.coast import distance_to_coast
 from seagrid.operators.confound import (
     fleet_active_months, keep_months, navigable_days, seasonal_profile,
 )
-from seagrid.operators.daily import daily_stats, daily_wind
+from seagrid.operators.daily import daily_stats, daily_wind, daily_wind_components
 from seagrid.operators.evaluate import evaluate, evaluate_within, ranking_metrics
 from seagrid.operators.fill import fill_nearest, filled, swap_filled
 from seagrid.operators.front import gradient, sst_gradient
@@ -25,7 +25,7 @@ from seagrid.operators.planning import (
     calendar_chunks, clamp_windows, coverage_check, expected_sources,
     load_chunks, missing_by_year, missing_sources, pending_chunks,
 )
-from seagrid.operators.regrid import Axis, regrid_bilinear
+from seagrid.operators.regrid import Axis, regrid_bilinear, unmatched_readings
 from seagrid.operators.safety import classify, safety_summary, with_status_text
 from seagrid.operators.sampling import (
     calibration_split, cap_rows, exclude_box, holdout_band, period_chunks,

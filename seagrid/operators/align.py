@@ -44,8 +44,8 @@ def align_sources(
     every source. The one exchange is by day: it serves the grouping as well as
     every operator after it that works on a day's plane. Days on which no
     source has any value are dropped as a whole; `days` names the days to keep
-    if they are known already. `fill_grid` adds the cells no source covers, so
-    that every day is a whole plane of that grid.
+    if they are known already. `fill_grid` adds the cells no source covers and
+    leaves out rows off the grid, so that every day is one whole plane of it.
     """
     day = [k for k in keys if k not in ("lat_idx", "lon_idx")]
     if days is None:
@@ -56,6 +56,8 @@ def align_sources(
     variables = [c for c in stacked.columns if c not in keys]
     stacked = stacked.join(days.select(*day), day, "left_semi")
     if fill_grid is not None:
+        # Whole planes are read by row offset, so nothing may lie beside them.
+        stacked = stacked.where(fill_grid.contains(F.col("lat_idx"), F.col("lon_idx")))
         planes = whole_planes(days.select(*day).repartition(*day), fill_grid)
         stacked = stacked.unionByName(planes, allowMissingColumns=True)
     return (

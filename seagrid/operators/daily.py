@@ -25,6 +25,19 @@ def daily_stats(
     return readings.groupBy(*pixel, to_day(F.col(time)).alias("date")).agg(*aggs)
 
 
+def daily_wind_components(
+    readings: DataFrame, east: str, north: str,
+    pixel: Sequence[str] = ("lat", "lon"), time: str = "time",
+) -> DataFrame:
+    """Daily means `wind_east` and `wind_north` and the largest speed of any
+    reading, `wind_speed_max`, all in the unit of the components. Directions
+    survive regridding only as components, so this is what goes on a grid."""
+    u, v = F.col(east), F.col(north)
+    return readings.groupBy(*pixel, to_day(F.col(time)).alias("date")).agg(
+        F.avg(u).alias("wind_east"), F.avg(v).alias("wind_north"), F.max(speed(u, v)).alias("wind_speed_max"),
+    )
+
+
 def daily_wind(
     readings: DataFrame, east: str, north: str, highest: str = "true",
     pixel: Sequence[str] = ("lat", "lon"), time: str = "time",

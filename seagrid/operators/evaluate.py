@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from seagrid.functions import finite, half_even
 from seagrid.session import settle
 
 SCORES_PER_RANGE = 1_000_000
-MAX_RANGES = 4_096
+LEAST_RANGES = 8
 
 
 def ranking_metrics(
@@ -30,13 +31,13 @@ def ranking_metrics(
 ) -> DataFrame:
     """Per group: n, positives, roc_auc and average_precision, unrounded.
 
-    Rows with a null or infinite score are left out. Metrics are null where
-    only one class is present. Group keys must not be null.
+    Rows with a null or infinite score or without a label are left out. Metrics
+    are null where only one class is present. Rows without a group are a group.
     """
     by = list(by)
     counts = settle(
         df.select(*by, F.col(label).cast("long").alias("_y"), finite(F.col(score)).alias("_s"))
-        .where(F.col("_s").isNotNull())
+        .where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
         .groupBy(*by, "_s")
         .agg(F.sum("_y").alias("pos"), F.count(F.lit(1)).alias("n"))
     )
@@ -57,7 +58,9 @@ def ranking_metrics(
         Window.partitionBy(*by, "_range").orderBy(F.desc("_s"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    running = counts.join(totals, [*by, "_range"]).withColumns({
+    totals = totals.withColumnsRenamed({c: f"_at_{c}" for c in (*by, "_range")})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (*by, "_range")])
+    running = counts.join(totals, same).withColumns({
         "cpos": F.sum("pos").over(inside) + F.col("pos_above"),
         "cn": F.sum("n").over(inside) + F.col("n_above"),
     })
@@ -117,13 +120,11 @@ def evaluate_within(
 def _in_ranges(counts: DataFrame, per_range: int) -> DataFrame:
     """Add `_range`, rising with the score, with about `per_range` rows each.
 
-    Any cuts give the same metrics, so approximate quantiles will do; a few
-    thousand numbers at most reach the driver.
+    Any cuts give the same metrics, so approximate quantiles will do; one number
+    per `per_range` distinct scores reaches the driver.
     """
-    ranges = min(MAX_RANGES, math.ceil(counts.count() / per_range))
-    if ranges < 2:
-        return counts.withColumn("_range", F.lit(0.0))
+    ranges = max(LEAST_RANGES, math.ceil(counts.count() / per_range))
     at = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(counts.approxQuantile("_s", at, 0.25 / ranges)))
+    cuts = sorted(set(counts.approxQuantile("_s", at, 0.25 / ranges))) or [0.0]
     splits = [-math.inf, *cuts, math.inf]
     return Bucketizer(splits=splits, inputCol="_s", outputCol="_range").transform(counts)

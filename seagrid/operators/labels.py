@@ -89,9 +89,9 @@ def effort_totals(
     """
     per_cell = (
         snapped(effort, grid, anchor)
-        .groupBy(to_day(F.col("date")).alias("date"), "lat_idx", "lon_idx")
+        .groupBy("region", to_day(F.col("date")).alias("date"), "lat_idx", "lon_idx")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("hours").alias("hours"))
-        .groupBy("lat_idx", "lon_idx")
+        .groupBy("region", "lat_idx", "lon_idx")
         .agg(
             F.sum("rows").alias("rows"),
             F.sum("hours").alias("hours"),

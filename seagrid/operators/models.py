@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -11,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seagrid.functions import half_even, to_index
 from seagrid.grid import Grid
@@ -37,6 +39,8 @@ TRANSFER_FEATURES = [
 # missing rows on their own side of a split.
 MISSING = -9999.0
 LABEL = "fished"
+# Boosting rounds without gain on the calibration year before the search ends.
+PATIENCE = 30
 
 
 def feature_set(name: str = "default") -> list[str]:
@@ -83,9 +87,11 @@ def fit_hotspot(
 ) -> PipelineModel:
     """Boosted trees on cell-day features, calibrated on the last training year.
 
-    Positives are weighted by the class ratio (never below one). Boosting stops
-    early on the calibration year, which also fits the isotonic calibrator; the
-    returned pipeline includes it, so what is validated is what is served.
+    Positives are weighted by the class ratio (never below one). The calibration
+    year decides how many rounds to keep: the one with the least loss, looking
+    no further once PATIENCE rounds bring no gain. It also fits the isotonic
+    calibrator; the returned pipeline includes it, so what is validated is what
+    is served.
     """
     features = list(features or FEATURES)
     core, held = calibration_split(train, label)
@@ -94,28 +100,28 @@ def fit_hotspot(
     ).first()
     weight = max(1.0, sizes["neg"] / max(sizes["pos"], 1))
 
-    def weighted(df: DataFrame, is_held: bool) -> DataFrame:
+    def weighted(df: DataFrame) -> DataFrame:
         return df.withColumns({
             "_y": F.col(label).cast("double"),
             "_w": F.when(F.col(label) == 1, weight).otherwise(1.0),
-            "_held": F.lit(is_held),
         })
 
-    data = weighted(core, False)
-    if held is not None:
-        data = data.unionByName(weighted(held, True))
     stages = _vector_stages(features)
     boosting = _boosting(
         weightCol="_w", maxDepth=depth, stepSize=step, maxIter=rounds, seed=seed,
         featureSubsetStrategy="0.8", minInstancesPerNode=20,
     )
+    columns = ["_features", "_y", "_w"]
+    data = _apply(stages, weighted(core)).select(*columns)
+    trees = boosting.fit(data)
     if held is not None:
-        boosting.setValidationIndicatorCol("_held")
-    columns = ["_features", "_y", "_w", "_held"]
-    trees = boosting.fit(_apply(stages, data).select(*columns))
+        raw = _apply(stages, weighted(held)).select(*columns)
+        kept = best_round(trees.evaluateEachIteration(raw))
+        if kept < rounds:
+            trees = boosting.setMaxIter(kept).fit(data)
+        raw = trees.transform(raw)
     fitted = [*stages, trees]
     if held is not None:
-        raw = trees.transform(_apply(stages, weighted(held, True)).select(*columns))
         calibrator = IsotonicRegression(
             featuresCol="_probability", featureIndex=1, labelCol="_y", predictionCol="_calibrated",
         ).fit(raw)
@@ -123,6 +129,17 @@ def fit_hotspot(
     return PipelineModel(fitted)
 
 
+def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """How many rounds to keep, given the loss after each on data not fitted on."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
 def predict(model: PipelineModel, df: DataFrame, out: str = "probability") -> DataFrame:
     """Add the model's (calibrated, if fitted so) probability of a positive."""
     scored = model.transform(df)
@@ -200,15 +217,22 @@ def score_cells(
 ) -> DataFrame:
     """Add `score` (0-100) and `score_source`.
 
-    The model is used only if it passed validation and the table has all its
-    features; otherwise the physics index stands in. The source always says
-    which one it was.
+    The model is used only if it passed validation and the day's plane has all
+    its features; where a feature's column is missing, or null on a whole plane
+    because its source was absent, the physics index stands in. The source
+    always says which one it was.
     """
     usable = model is not None and (validated or allow_unvalidated)
     usable = usable and all(f in df.columns for f in features)
     if usable:
-        scored = predict(model, df, "_p").withColumn("score", to_index(F.col("_p")))
-        return scored.drop("_p").withColumn("score_source", F.lit("model"))
+        plane = Window.partitionBy(*by)
+        whole = reduce(lambda a, b: a & b, [F.max(F.col(f).isNotNull()).over(plane) for f in features], F.lit(True))
+        indexed = physics_index(df.withColumn("_whole", whole), by, out="_index")
+        scored = predict(model, indexed, "_p").withColumns({
+            "score": F.when(F.col("_whole"), to_index(F.col("_p"))).otherwise(F.col("_index")),
+            "score_source": F.when(F.col("_whole"), "model").otherwise("physics_index"),
+        })
+        return scored.select(*df.columns, "score", "score_source")
     scored = physics_index(df, by, out="score")
     return scored.withColumn("score_source", F.lit("physics_index"))
 

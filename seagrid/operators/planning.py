@@ -78,16 +78,18 @@ def clamp_windows(
     A window that ends after the last published day is moved to end on it,
     keeping its length; it never starts before the first. Chlorophyll windows
     are first stretched back to `lookback` days for its trailing means. Sources
-    without known bounds keep their request.
+    without known bounds keep their request, and so do historical windows;
+    requests without a `mode` are near real time.
     """
+    live = F.col("mode") != "historical" if "mode" in requests.columns else F.lit(True)
     span = F.datediff("end_day", "start_day")
-    is_chl = (F.col("source") == chl) & F.col("first_day").isNotNull()
+    is_chl = live & (F.col("source") == chl) & F.col("first_day").isNotNull()
     joined = requests.join(bounds, list(by), "left").withColumn(
         "_span", F.when(is_chl, F.greatest(span, F.lit(lookback))).otherwise(span)
     ).withColumn(
         "_start", F.when(is_chl, F.date_sub("end_day", F.col("_span"))).otherwise(F.col("start_day"))
     )
-    late = F.col("end_day") > F.col("last_day")
+    late = live & (F.col("end_day") > F.col("last_day"))
     return joined.select(
         *requests.columns,
         F.when(late, F.greatest("first_day", F.date_sub("last_day", F.col("_span"))))

@@ -8,6 +8,7 @@ history and grows with the number of days only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +26,18 @@ def trailing_mean(
 ) -> DataFrame:
     """Mean of the last `days` values, null below `min_count` non-null ones.
 
-    `axis="position"` counts rows of the cell (one per source day, nulls
-    included); `axis="calendar"` counts calendar days.
-    `restart_each_year` lets no window reach into the year before.
+    `axis="position"` counts the source's own days: those on which any cell of
+    the region has a row. A cell without a row on some of them has nothing
+    there, and its window reaches no further back for it. `axis="calendar"`
+    counts calendar days. `restart_each_year` lets no window reach into the
+    year before.
     """
     part = [F.col(k) for k in keys]
     if restart_each_year:
         part.append(F.year("date"))
     if axis == "position":
-        frame = Window.partitionBy(*part).orderBy("date").rowsBetween(1 - days, 0)
+        df = _numbered_days(df, [k for k in keys if k not in ("lat_idx", "lon_idx")], restart_each_year)
+        frame = Window.partitionBy(*part).orderBy("_day").rangeBetween(1 - days, 0)
     elif axis == "calendar":
         frame = (
             Window.partitionBy(*part)
@@ -43,7 +47,18 @@ def trailing_mean(
     else:
         raise ValueError(f"unknown axis {axis!r}")
     enough = F.count(col).over(frame) >= min_count
-    return df.withColumn(out, F.when(enough, F.avg(col).over(frame)))
+    return df.withColumn(out, F.when(enough, F.avg(col).over(frame))).drop("_day")
+
+
+def _numbered_days(df: DataFrame, place: Sequence[str], per_year: bool) -> DataFrame:
+    """Add `_day`, the number of each day among the days of its region. Only the
+    list of days is put in order."""
+    part = [*place, F.year("date")] if per_year else list(place)
+    days = df.select(*place, "date").distinct()
+    days = days.withColumn("_day", F.row_number().over(Window.partitionBy(*part).orderBy("date")))
+    days = days.withColumnsRenamed({c: f"_{c}" for c in (*place, "date")})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*place, "date")])
+    return df.join(days, same).drop(*[f"_{c}" for c in (*place, "date")])
 
 
 def observed_days(

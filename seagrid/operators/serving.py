@@ -214,7 +214,9 @@ def lookup_points(
     )).cast("long")
     # Distance, then indices, as one number: the nearest cell of a point is its
     # smallest, found in a hash aggregate before anything is shuffled.
-    order = (away * 2**16 + F.col("lat_idx")) * 2**16 + F.col("lon_idx")
+    if round(2e9 * grid.res + 1) * grid.n_cells >= 2**63:
+        raise ValueError(f"{grid.n_cells} cells of {grid.res} degrees are too many to be ordered")
+    order = away * grid.n_cells + F.col("lat_idx").cast("long") * grid.n_lon + F.col("lon_idx")
     candidates = candidates.where(away <= round(2e9 * grid.res)).select(
         point, *keys, "lat_idx", "lon_idx", order.alias("_order")
     )
@@ -224,9 +226,9 @@ def lookup_points(
         .groupBy(point, *keys).agg(F.min("_order").alias("_order"))
         .select(
             point, *keys,
-            (F.shiftright("_order", 32) / 1e9).alias("distance_deg"),
-            F.pmod(F.shiftright("_order", 16), F.lit(2**16)).cast("int").alias("lat_idx"),
-            F.pmod(F.col("_order"), F.lit(2**16)).cast("int").alias("lon_idx"),
+            (F.expr(f"_order div {grid.n_cells}L") / 1e9).alias("distance_deg"),
+            F.expr(f"(_order % {grid.n_cells}L) div {grid.n_lon}").cast("int").alias("lat_idx"),
+            F.expr(f"(_order % {grid.n_cells}L) % {grid.n_lon}").cast("int").alias("lon_idx"),
         )
     )
     values = [c for c in carry if c in cells.columns]

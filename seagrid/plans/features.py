@@ -16,12 +16,13 @@ from seagrid.operators import (
 )
 from seagrid.rules import RULES, Rules
 from seagrid.session import settle
+from seagrid.sources.readers import nan_to_null
 
 # Variables of each source's daily fields.
 FIELDS = {
     "sst": ["analysed_sst"], "thetao": ["thetao"], "phy": ["uo", "vo", "thetao"],
     "chl": ["CHL"], "cur": ["uo", "vo"], "wav": ["VHM0_mean", "VHM0_max"],
-    "wnd": ["wind_speed", "wind_speed_max"],
+    "wnd": ["wind_east", "wind_north", "wind_speed_max"],
 }
 # Every column is always there; a missing source leaves its columns null.
 MEASURED = [
@@ -34,7 +35,8 @@ def on_grid(
     daily: Mapping[str, DataFrame], axes: Mapping[str, tuple[Axis, Axis]], grid: Grid,
 ) -> dict[str, DataFrame]:
     """Regrid every source that is present. Inputs hold region, date, lat, lon
-    and the source's variables."""
+    and the source's variables. Mean wind is regridded by components: speeds of
+    opposed winds must not be averaged."""
     return {
         name: regrid_bilinear(df, FIELDS[name], *axes[name], grid)
         for name, df in daily.items()
@@ -47,7 +49,8 @@ def build_features(
     restart_each_year: bool = False, wind_in_ms: bool = True,
 ) -> DataFrame:
     """Cell-day features from gridded daily fields (keyed by region, date,
-    lat_idx, lon_idx), with labels from effort rows and seabed columns.
+    lat_idx, lon_idx), with labels from effort rows and seabed columns. Wind
+    comes as mean components, or as `wind_speed` where it never was regridded.
 
     Trailing means and carrying forward happen on the chlorophyll source alone,
     so only its few columns are ever laid out by cell. The wide table is moved
@@ -56,6 +59,7 @@ def build_features(
     both look at neighbouring cells.
     """
     key = ["region", "date", "lat_idx", "lon_idx"]
+    fields = {name: nan_to_null(df) for name, df in fields.items()}
     frames = []
 
     def take(name: str, **columns) -> None:
@@ -75,7 +79,8 @@ def build_features(
         take("wav", wave_height=F.col("VHM0_mean"), wave_height_max=F.col("VHM0_max"))
     if "wnd" in fields:
         unit = to_kmh if wind_in_ms else (lambda c: c)
-        take("wnd", wind_speed=unit(F.col("wind_speed")), wind_speed_max=unit(F.col("wind_speed_max")))
+        mean = F.col("wind_speed") if "wind_speed" in fields["wnd"].columns else speed(F.col("wind_east"), F.col("wind_north"))
+        take("wnd", wind_speed=unit(mean), wind_speed_max=unit(F.col("wind_speed_max")))
     chl = None
     if "chl" in fields:
         chl = fields["chl"].select(*key, F.col("CHL").alias("chl"))

@@ -93,14 +93,16 @@ def source_inventory(files: DataFrame) -> DataFrame:
     """Per mode and source: number of files, megabytes, first and last label.
 
     `files` has (path, bytes); a path ends in `<mode>/<source>/<source>_<label>.<ext>`.
+    Files with any other path are counted under mode and source `unmatched`.
     """
     shape = r"([^/]+)/([^/]+)/\2_([^/]+?)(?:\.daily)?\.[a-z0-9]+$"
     parts = files.select(
-        F.regexp_extract("path", shape, 1).alias("mode"),
-        F.regexp_extract("path", shape, 2).alias("source"),
-        F.regexp_extract("path", shape, 3).alias("label"),
+        *[
+            F.coalesce(F.nullif(F.regexp_extract("path", shape, k), F.lit("")), F.lit(other)).alias(name)
+            for k, name, other in ((1, "mode", "unmatched"), (2, "source", "unmatched"), (3, "label", None))
+        ],
         "bytes",
-    ).where(F.col("source") != "")
+    )
     return parts.groupBy("mode", "source").agg(
         F.count(F.lit(1)).alias("files"),
         (F.sum("bytes") / 1e6).alias("megabytes"),

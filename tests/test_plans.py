@@ -37,7 +37,7 @@ def daily_fields(spark, n=30):
         "phy": field(["uo", "vo", "thetao"], lambda k, a, b: 3.0),
         "chl": field(["CHL"], lambda k, a, b: 1.0 + k, skip=lambda k: k >= 5),
         "wav": field(["VHM0_mean", "VHM0_max"], lambda k, a, b: None if b > 44.4 and b < 44.6 else 1.5),
-        "wnd": field(["wind_speed", "wind_speed_max"], lambda k, a, b: 4.0),
+        "wnd": field(["wind_east", "wind_speed_max"], lambda k, a, b: 4.0).withColumn("wind_north", F.col("wind_east") * 0),
     }
     return fields, {name: (lat, lon) for name in fields}
 

@@ -77,7 +77,8 @@ def test_inventory_reads_paths(spark):
     got = {(r["mode"], r["source"]): (r["files"], r["megabytes"], r["first_label"], r["last_label"])
            for r in sources.source_inventory(files).collect()}
     assert got == {("historical", "sst"): (2, 2.5, "2019", "2020"),
-                   ("nrt", "wav"): (1, 1e-05, "2026-08-01_2026-08-04", "2026-08-01_2026-08-04")}
+                   ("nrt", "wav"): (1, 1e-05, "2026-08-01_2026-08-04", "2026-08-01_2026-08-04"),
+                   ("unmatched", "unmatched"): (1, 5e-06, None, None)}
 
 
 # -------------------------------------------------------------------- sources
