@@ -147,10 +147,14 @@ WITH d AS (
   SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS lines
   FROM d
+), t AS (
+  SELECT doc_id, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM w
 ), places AS (
-  SELECT doc_id, len(words) AS n, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8
+  SELECT doc_id, i, lead(x, 7) OVER p AS last, concat_ws(' ', x, lead(x, 1) OVER p, lead(x, 2) OVER p, lead(x, 3) OVER p,
+         lead(x, 4) OVER p, lead(x, 5) OVER p, lead(x, 6) OVER p, lead(x, 7) OVER p) AS run
+  FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)
 ), runs AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 7]) AS times FROM places
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS times FROM places WHERE last IS NOT NULL
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
   FROM runs, (SELECT unnest(range(8)) AS k) WHERE times > 1 GROUP BY doc_id
