@@ -12,7 +12,7 @@ from seagrid import operators as op
 from seagrid.checks import views as v
 from seagrid.grid import Grid, cell_id
 from seagrid.operators.labels import snapped
-from seagrid.operators.models import FEATURES
+from seagrid.operators.models import FEATURES, feature_set
 from seagrid.plans import build_features, score_days
 from seagrid.session import settle, shared_folder
 from seagrid.sources import (
@@ -879,13 +879,17 @@ def daily_files(spark, sf):
 def _model_table(spark, sf) -> DataFrame:
     """Feature rows for the models, written once and read by every fit."""
     fronts = op.sst_gradient(v.cell_day(spark, sf), G)
-    lagged = op.drop_land(op.trailing_mean(fronts, "chl", 7, 3, "chl_lag7"))
+    lagged = op.trailing_mean(op.trailing_mean(fronts, "chl", 7, 3, "chl_lag7"), "chl", 14, 5, "chl_lag14")
+    ages = op.observed_days(fronts, "chl").select("region", "date", F.col("age_days").alias("chl_age_days"))
+    lagged = op.drop_land(lagged).join(ages, ["region", "date"]).withColumn(
+        "current_speed", fn.speed(F.col("wind_speed_max") / 20, F.col("wave_height_max") / 4)
+    )
     rows = op.join_static(lagged, op.seabed(v.soundings(spark, sf), G))
     rows = op.join_static(rows, op.distance_to_coast(rows, G))
     return settle(_with_position(rows).withColumns(fn.cyclic_month(F.col("date"))))
 
 
-MODEL_FEATURES = [f for f in FEATURES if f not in ("chl_lag14", "chl_age_days", "current_speed")]
+MODEL_FEATURES = FEATURES
 ROUNDS = 10
 
 
@@ -946,7 +950,7 @@ def gated_score(spark, sf):
 @query
 def spatial_transfer(spark, sf):
     train, test = op.temporal_split(_model_table(spark, sf), 1999)
-    features = ["sst", "sst_gradient", "chl", "chl_lag7", "month_sin", "month_cos"]
+    features = feature_set("transfer")
     return op.spatial_transfer(train, test, features, rounds=5)
 
 
@@ -956,7 +960,7 @@ def box_transfer(spark, sf):
     box = Grid("box", 1.4, 2.4, 44.6, 45.4)
     train, test = op.temporal_split(_model_table(spark, sf), 1999)
     inside = box.in_box(F.col("lat"), F.col("lon"))
-    features = ["sst", "sst_gradient", "chl", "chl_lag7", "month_sin", "month_cos"]
+    features = feature_set("transfer")
     return op.spatial_transfer(
         train, test.where(inside), features, box, control=train.where(inside), rounds=5
     )

@@ -31,8 +31,9 @@ def subsample_negatives(
     """All positives, and up to `k` negatives for each positive of a group.
 
     `floor_one` treats a group without positives as having one; otherwise it
-    keeps no negatives. Without `group` the whole set is one group. `key` must
-    identify a row.
+    keeps no negatives. `group` names a part of the calendar (its cut-offs are
+    broadcast, one row each); without it the whole set is one group, and rows
+    with a null group are one too. `key` must identify a row.
     """
     pos = F.greatest(F.col("_pos"), F.lit(1)) if floor_one else F.col("_pos")
     return _keep_smallest(df, group, pos * k, seed, label, key)
@@ -79,15 +80,18 @@ def _keep_smallest(
     )
     order = Window.partitionBy("_group", "_slice").orderBy("_hash", *key)
     # First negative that no longer fits: rows before it in order stay.
+    ends = ends.withColumnsRenamed({"_group": "_of", "_slice": "_at"})
     cut = (
         tagged.where(~positive)
         .select("_group", "_slice", "_hash", *key)
-        .join(ends, ["_group", "_slice"])
+        .join(ends, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")))
         .withColumn("_nth", F.row_number().over(order))
         .where(F.col("_nth") == F.col("_take") + 1)
-        .select("_group", F.struct("_hash", *key).alias("_cut"))
+        .select(F.col("_group").alias("_of"), F.struct("_hash", *key).alias("_cut"))
     )
-    kept = tagged.join(cut, "_group", "left").where(
+    # One row per group. Groups are parts of the calendar (years, 15-day
+    # chunks) or the whole set, so their number does not grow with the rows.
+    kept = tagged.join(F.broadcast(cut), F.col("_group").eqNullSafe(F.col("_of")), "left").where(
         positive | F.col("_cut").isNull() | (F.struct("_hash", *key) < F.col("_cut"))
     )
     return kept.select(*df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,9 +60,10 @@ def display_cells(df: DataFrame, grid: Grid) -> DataFrame:
 
 def daily_payload(
     cells: DataFrame, zones: DataFrame, grid: Grid, rules: Rules = RULES,
-    by: Sequence[str] = ("region", "date"),
+    by: Sequence[str] = ("region", "date"), generated_at: dt.datetime | None = None,
 ) -> DataFrame:
     """One nested document per day: headline, cells as parallel arrays, zones.
+    `generated_at`, if given, is stated in every document.
 
     `cells` are scored, classified and zoned cell-days, `zones` ranked zones. A
     document holds one day of one region, hence never more cells than the grid
@@ -108,6 +110,7 @@ def daily_payload(
         with_status_text(with_headline(days, rules)).join(listed, by, "left")
         .select(
             *by,
+            *([] if generated_at is None else [F.lit(generated_at).cast("timestamp").alias("generated_at")]),
             F.struct(
                 *_constants(lat_min=grid.lat_min, lat_max=grid.lat_max, lon_min=grid.lon_min,
                             lon_max=grid.lon_max, resolution=grid.res, n_lat=grid.n_lat,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and read it from there.
+    """Write `df` once as Parquet to the shared checkpoint folder and read it from there.
 
-    Used where a small reduced table is read by several later steps: its
-    upstream then runs once, and a lost executor costs a re-read, not a rerun.
+    Used where a table is read by several later steps: its upstream then runs
+    once, a lost executor costs a re-read and not a rerun, and readers prune
+    columns and skip row groups. The folder is the cluster's to clean.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

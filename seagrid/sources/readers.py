@@ -61,14 +61,16 @@ def read_effort(spark: SparkSession, path: str, year: int | None = None) -> Data
 def read_features(
     spark: SparkSession, path: str, region: str | None = None,
     years: Sequence[int] | None = None, columns: Sequence[str] | None = None,
-    mode: str | None = None,
+    mode: str | None = None, schema: T.StructType | None = None,
 ) -> DataFrame:
     """Feature rows of some years with only the columns asked for.
 
-    Region, mode and year are folders, so unwanted ones are not even listed.
-    Columns that older files lack are null.
+    Region, mode and year are folders, so unwanted ones are not read. Columns
+    that older files lack are null. With `schema` (folders included) no footer
+    is read to find the columns; without it all of them are.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    read = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    df = read.parquet(path)
     for name, wanted in (("region", region), ("mode", mode)):
         if wanted is not None:
             df = df.where(F.col(name) == wanted)
