@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
 
     def with_sets(members: DataFrame) -> DataFrame:
+        # Dealt out by id at every size; members grow with the corpus and are never broadcast.
         rows = texts.join(members.hint("shuffle_hash"), "id")
         schema = ", ".join(f"{c} {t}" for c, t in rows.drop("text").dtypes) + ", shingles binary"
         return rows.mapInArrow(_sets(width), schema)
