@@ -1,5 +1,6 @@
 """Reading inputs and writing results."""
 
+from seagrid.sources.models import StoredModel, load_model, save_model
 from seagrid.sources.readers import (
     flatten_effort, file_listing, read_effort, read_features, read_readings,
     source_inventory,
