@@ -12,6 +12,10 @@ from seagrid.functions import finite
 from seagrid.sources.schemas import READINGS, effort_payload_schema, effort_schema
 
 
+# Depths closer than this, in metres, are one level.
+LEVEL_M = 0.001
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN marks missing values in gridded files; Spark sums and orders need
     null instead."""
@@ -33,11 +37,12 @@ def read_readings(
 
 
 def surface(df: DataFrame, depth: str = "depth") -> DataFrame:
-    """Only the shallowest level; the column goes with it."""
+    """Only the shallowest level; the column goes with it. Files may store the
+    same level with different precision: a millimetre is no other level."""
     if depth not in df.columns:
         return df
     top = df.agg(F.min(depth)).scalar()
-    return df.where(F.col(depth).isNull() | (F.col(depth) == top)).drop(depth)
+    return df.where(F.col(depth).isNull() | (F.col(depth) <= top + LEVEL_M)).drop(depth)
 
 
 def flatten_effort(raw: DataFrame, column: str = "json") -> DataFrame:

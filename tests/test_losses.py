@@ -130,3 +130,9 @@ def test_absent_sources_are_scored_by_the_index(spark):
     got = op.score_cells(holed, model, ["chl", "sst_gradient"], validated=True).collect()
     assert {(r.date.day == 3, r.score_source) for r in got} == {(True, "physics_index"), (False, "model")}
     assert all(r.score is not None for r in got)
+
+
+def test_one_level_stored_with_different_precision(spark):
+    rows = [(1, 0.49402499198913574), (2, 0.494025), (3, 1.541375), (4, None)]
+    df = spark.createDataFrame(rows, "k int, depth double")
+    assert sorted(r.k for r in readers.surface(df).collect()) == [1, 2, 4]
