@@ -736,3 +736,194 @@ FROM ranks r JOIN (SELECT s.region, s.date, {ZONE_ID} AS zone_id, {r('avg(wave_e
 add("daily_files", with_(SEA) + """
 SELECT 'r' || region AS region, date, count(*) AS n_cells, count(*) AS n_listed FROM sea s
 WHERE date = (SELECT max(date) FROM sea x WHERE x.region = s.region) GROUP BY ALL""")
+
+# -------------------------------------------- documents, models, whole jobs
+
+add("daily_payload", with_(FILLED_CHAIN, HEADLINE.replace("SOURCE_", "sea"), TEXT) + f"""
+SELECT h.region, h.date, h.total AS n_cells, h.total AS n_listed, h.status, n_safe, n_caution, n_danger, n_unknown,
+  h.share_dangerous, h.total, label_so, label_en, color, advice_so, advice_en, n_danger AS listed_danger,
+  n_unknown AS listed_unknown, c.* EXCLUDE (region, date), CAST(20 AS INT) AS n_lat, CAST(20 AS INT) AS n_lon,
+  CAST(0.1 AS DOUBLE) AS resolution, CAST(1.25 AS DOUBLE) AS wave_safe_m, CAST(2 AS DOUBLE) AS wave_danger_m,
+  CAST(20 AS DOUBLE) AS wind_safe_kmh, CAST(30 AS DOUBLE) AS wind_danger_kmh, h.total AS n_cells_total, FALSE AS trained,
+  'physics_index' AS score_source, coalesce(z.n_zones, 0) AS n_zones, CAST(coalesce(z.inside, 0) AS BIGINT) AS cells_in_zones
+FROM head h JOIN texts USING (status)
+JOIN (SELECT s.region, s.date, count(*) FILTER (reachable) AS n_reachable_cells,
+    CAST(sum(CAST(round_even(sst * 10, 0) AS BIGINT)) AS BIGINT) AS sst_total,
+    CAST(coalesce(sum(CAST(round_even(chl * 1000, 0) AS BIGINT)), 0) AS BIGINT) AS chl_total,
+    CAST(coalesce(sum(CAST(round_even(s.wave_height_max * 100, 0) AS BIGINT)), 0) AS BIGINT) AS wave_height_max_total,
+    CAST(coalesce(sum(CAST(round_even(score * 10, 0) AS BIGINT)), 0) AS BIGINT) AS score_total
+  FROM sea s JOIN plane p USING (region, lat_idx, lon_idx) GROUP BY ALL) c USING (region, date)
+LEFT JOIN (SELECT region, date, count(*) AS n_zones, sum(n_cells) AS inside FROM ranks GROUP BY ALL) z USING (region, date)""")
+
+FEATURE_NAMES = (
+    "sst", "sst_gradient", "chl", "chl_lag7", "chl_lag14", "chl_age_days", "current_speed", "depth", "seabed_roughness",
+    "dist_coast_km", "month_sin", "month_cos", "lat", "lon",
+)
+
+
+def lags(source: str) -> str:
+    def window(name: str, days: int) -> str:
+        return (f"{name} AS (PARTITION BY region, lat_idx, lon_idx ORDER BY day "
+                f"RANGE BETWEEN {days - 1} PRECEDING AND CURRENT ROW)")
+
+    return f"""lagged AS (SELECT *, CASE WHEN count(chl) OVER w7 >= 3 THEN avg(chl) OVER w7 END AS chl_lag7,
+    CASE WHEN count(chl) OVER w14 >= 5 THEN avg(chl) OVER w14 END AS chl_lag14
+  FROM {source} WINDOW {window('w7', 7)}, {window('w14', 14)})"""
+
+
+def ages(source: str) -> str:
+    return f"""ages AS (SELECT region, date,
+    CAST(date_diff('day', last_value(seen IGNORE NULLS) OVER (PARTITION BY region ORDER BY date), date) AS INT) AS chl_age_days
+  FROM (SELECT region, date, CASE WHEN count(chl) > 0 THEN date END AS seen FROM {source} GROUP BY region, date))"""
+
+
+MODEL_ROWS = ",\n".join([
+    CELL_DAY, "sea AS (SELECT * FROM cell_day WHERE sst IS NOT NULL)", grad(), SCORED, SOUNDINGS, coast(),
+    numbered("grad"), lags("numbered"), ages("cell_day"), f"""model_rows AS (
+  SELECT l.region, l.date, l.lat_idx, l.lon_idx, l.fished, l.sst, l.sst_gradient, l.chl, chl_lag7, chl_lag14, chl_age_days,
+    sqrt(pow(l.wind_speed_max / 20, 2) + pow(l.wave_height_max / 4, 2)) AS current_speed, depth, seabed_roughness,
+    dist_coast_km, 1 AS month_sin, 1 AS month_cos, {LAT} AS lat, {LON} AS lon, score
+  FROM lagged l JOIN ages USING (region, date) JOIN (SELECT {KEY}, score FROM scored) USING ({KEY})
+  LEFT JOIN seabed USING (region, lat_idx, lon_idx) LEFT JOIN coast USING (region, lat_idx, lon_idx))""",
+])
+TEST_ROWS = "tested AS (SELECT * FROM model_rows WHERE year(date) > 1999)"
+add("hotspot_gbt", with_(SEA) + f"SELECT {KEY}, fished, TRUE AS in_range FROM sea WHERE year(date) > 1999")
+add("depth_only_baseline", with_(SEA) + """
+SELECT region, lat_idx, lon_idx, count(*) AS n, CAST(sum(fished) AS BIGINT) AS positives, TRUE AS one_score, TRUE AS in_range
+FROM sea WHERE year(date) > 1999 GROUP BY ALL""")
+add("isotonic_calibration", with_(SEA) + """
+SELECT CAST(month(date) AS INT) AS month, count(*) AS n, CAST(sum(fished) AS BIGINT) AS positives, TRUE AS monotone
+FROM sea WHERE year(date) > 1999 GROUP BY ALL""")
+add("feature_importance", with_(MODEL_ROWS) + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, count({f}) AS known, TRUE AS in_range, TRUE AS adds_up FROM model_rows WHERE year(date) <= 1999"
+    for f in FEATURE_NAMES))
+WHOLE = " AND ".join(f"count({f}) OVER (PARTITION BY region, date) > 0" for f in FEATURE_NAMES)
+add("gated_score", with_(MODEL_ROWS, TEST_ROWS, f"marked AS (SELECT *, {WHOLE} AS whole FROM tested)") + f"""
+SELECT {KEY}, TRUE AS allowed, CASE WHEN whole THEN 'model' ELSE 'physics_index' END AS score_source,
+  CASE WHEN NOT whole THEN score END AS score, TRUE AS in_range FROM marked
+UNION ALL SELECT {KEY}, FALSE, 'physics_index', score, TRUE FROM marked""")
+add("gated_score_absent_source", with_(MODEL_ROWS, TEST_ROWS) + f"""
+SELECT {KEY}, score, 'physics_index' AS score_source FROM tested""")
+
+
+def baselines(train: str, test: str, models: dict[str, str | None], pooled_too: bool = True) -> tuple[str, str]:
+    """CTEs and one line of metrics per model: climatology fitted on `train` and
+    any score of `test`. Models without one are known by their rows alone."""
+    parts = [
+        f"cm AS (SELECT region, lat_idx, lon_idx, month(date) AS m, avg(fished) AS cm_rate FROM {train} GROUP BY ALL)",
+        f"ce AS (SELECT region, lat_idx, lon_idx, avg(fished) AS ce_rate FROM {train} GROUP BY ALL)",
+        f"mo AS (SELECT month(date) AS m, avg(fished) AS mo_rate FROM {train} GROUP BY ALL)",
+        f"""both_ AS (SELECT *, coalesce(cm_rate, ce_rate, mo_rate, (SELECT avg(fished) FROM {train})) AS clim
+  FROM (SELECT *, month(date) AS m FROM {test}) LEFT JOIN cm USING (region, lat_idx, lon_idx, m)
+  LEFT JOIN ce USING (region, lat_idx, lon_idx) LEFT JOIN mo USING (m))""",
+    ]
+    lines = []
+    for model, score in models.items():
+        source = f"rows_{model}"
+        parts.append(f"{source} AS (SELECT CAST(month(date) AS INT) AS month, fished AS y, CAST({score or 1} AS DOUBLE) AS s FROM both_)")
+        for kind, by in (("pool", ""), ("each", "month")):
+            cte = metrics(by, source)
+            for part in ("per_score", "running", "metrics"):
+                new = f"{part}_{kind}_{model}"
+                cte = cte.replace(f"{part} AS", f"{new} AS").replace(f"FROM {part} ", f"FROM {new} ")
+            parts.append(cte)
+        p = pooled(model).replace("FROM metrics", f"FROM metrics_pool_{model}")
+        w = within(model).replace("FROM metrics ", f"FROM metrics_each_{model} ")
+
+        def shown(*names: str) -> str:
+            return ", ".join(n if score else f"CAST(NULL AS DOUBLE) AS {n}" for n in names)
+
+        more = f", n, base_rate, {shown('roc_auc', 'pr_auc', 'pr_lift')}" if pooled_too else ""
+        lines.append(
+            f"SELECT model, months, {shown('pr_auc_within_month', 'lift_within_month')}, TRUE AS in_range{more} "
+            f"FROM ({w}) JOIN ({p}) USING (model)"
+        )
+    return ",\n".join(parts), " UNION ALL ".join(lines)
+
+
+BASIC = {"hotspot": None, "depth_only": None, "climatology": "clim", "physics_index": "score"}
+TRAIN_ROWS = "trained AS (SELECT * FROM model_rows WHERE year(date) <= 1999)"
+_parts, _lines = baselines("trained", "tested", BASIC, pooled_too=False)
+add("validation_gate", with_(MODEL_ROWS, TRAIN_ROWS, TEST_ROWS, _parts) + f"SELECT *, TRUE AS gate_agrees FROM ({_lines})")
+_parts, _lines = baselines("kept_train", "kept_test", BASIC)
+add("validate_models", with_(
+    MODEL_ROWS,
+    "quiet AS (SELECT * REPLACE (CASE WHEN month(date) IN (2, 11) THEN 0 ELSE fished END AS fished) FROM model_rows)",
+    "early AS (SELECT * FROM quiet WHERE year(date) <= 1999)", active("early"),
+    "kept_train AS (SELECT * FROM early WHERE month(date) IN (SELECT month FROM active))",
+    "kept_test AS (SELECT * FROM quiet WHERE year(date) > 1999 AND month(date) IN (SELECT month FROM active))", _parts,
+) + f"SELECT *, TRUE AS gate_agrees FROM ({_lines})")
+_parts, _lines = baselines("trained", "held", {"transfer": None, "physics_index": "score"})
+add("spatial_transfer", with_(
+    MODEL_ROWS, TRAIN_ROWS, "held AS (SELECT * FROM model_rows WHERE year(date) > 1999 AND lat BETWEEN -2.0 AND 1.5)", _parts,
+) + _lines)
+IN_BOX = "lat BETWEEN 1.4 AND 2.4 AND lon BETWEEN 44.6 AND 45.4"
+_parts, _lines = baselines("own", "held", {"transfer": None, "control": None, "climatology": "clim", "physics_index": "box_score"})
+add("box_transfer", with_(
+    MODEL_ROWS,
+    SCORED.replace("ranked AS", "box_ranked AS").replace("FROM ranked", "FROM box_ranked").replace("scored AS", "box_scored AS")
+    .replace("FROM grad WHERE sst IS NOT NULL", f"FROM model_rows WHERE year(date) > 1999 AND {IN_BOX}")
+    .replace("SELECT *,", "SELECT * EXCLUDE (score),", 1),
+    f"own AS (SELECT * FROM model_rows WHERE year(date) <= 1999 AND {IN_BOX} AND month(date) NOT IN (7, 8))",
+    "held AS (SELECT *, score AS box_score FROM box_scored WHERE month(date) NOT IN (7, 8))", _parts,
+) + f"""SELECT *, CASE WHEN model IN ('climatology', 'physics_index') THEN
+  pr_auc_within_month > max(pr_auc_within_month) FILTER (model = 'climatology') OVER () END AS beats_climatology FROM ({_lines})""")
+
+NODES = """nodes AS (
+  SELECT l_orderkey // 15000 AS region, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+    CAST(l_partkey % 10 AS INT) AS ci, CAST(l_suppkey % 10 AS INT) AS cj,
+    avg(CASE WHEN l_partkey % 10 <= l_suppkey % 10 + 3 THEN CAST(l_quantity AS DOUBLE) * CAST(0.2718281828 AS DOUBLE) + 290 END) AS kelvin,
+    avg(CASE WHEN (l_partkey % 10 * 7 + l_suppkey % 10 * 3 + month(l_shipdate)) % 11 <> 0
+      THEN CAST(CAST(round_even(l_extendedprice, 0) AS BIGINT) % 640 AS DOUBLE) * CAST(0.0157079633 AS DOUBLE) END) AS chl,
+    avg((CAST(l_linenumber AS DOUBLE) - 4) * CAST(0.1259921050 AS DOUBLE)) AS uo,
+    avg((CAST(l_quantity AS DOUBLE) - 25) * CAST(0.0316227766 AS DOUBLE)) AS vo,
+    avg(CASE WHEN (l_partkey % 10 + l_suppkey % 10) % 6 <> 0 THEN round(l_discount * 100) * CAST(0.2414213562 AS DOUBLE) END) AS wave,
+    max(CASE WHEN (l_partkey % 10 + l_suppkey % 10) % 6 <> 0 THEN round(l_discount * 100) * CAST(0.2414213562 AS DOUBLE) END) AS wave_top,
+    avg((round(l_tax * 100) - 4) * CAST(2.4494897428 AS DOUBLE)) AS east, avg(CAST(l_linenumber AS DOUBLE) * CAST(1.4422495703 AS DOUBLE) - 6) AS north,
+    max(sqrt(pow((round(l_tax * 100) - 4) * CAST(2.4494897428 AS DOUBLE), 2) + pow(CAST(l_linenumber AS DOUBLE) * CAST(1.4422495703 AS DOUBLE) - 6, 2))) AS top
+  FROM lineitem GROUP BY ALL)"""
+NODE_VALUES = ("kelvin", "chl", "uo", "vo", "wave", "wave_top", "east", "north", "top")
+SPREAD = ", ".join(
+    f"a.{x} * (1 - fi) * (1 - fj) + b.{x} * (1 - fi) * fj + c.{x} * fi * (1 - fj) + d.{x} * fi * fj AS {x}" for x in NODE_VALUES
+)
+
+
+def node(a: str, i: str, j: str) -> str:
+    return f"LEFT JOIN nodes {a} ON {a}.region = t.region AND {a}.date = t.date AND {a}.ci = {i} AND {a}.cj = {j}"
+
+
+WHOLE_PLANES = f"""axis AS (
+  SELECT CAST(range AS INT) AS t, CAST((range * 0.1 + 0.05) / 0.2 AS DOUBLE) AS x FROM range(20)),
+line AS (SELECT t, CAST(floor(x) AS INT) AS lo, x - floor(x) AS f FROM axis),
+targets AS (SELECT k.*, a.t AS lat_idx, a.lo AS il, a.f AS fi, z.t AS lon_idx, z.lo AS jl, z.f AS fj
+  FROM (SELECT DISTINCT region, date FROM nodes) k, line a, line z),
+gridded AS (SELECT t.region, t.date, t.lat_idx, t.lon_idx, {SPREAD}
+  FROM targets t {node('a', 'il', 'jl')} {node('b', 'il', 'jl + 1')} {node('c', 'il + 1', 'jl')} {node('d', 'il + 1', 'jl + 1')}),
+whole AS (SELECT * EXCLUDE (kelvin), kelvin - CAST(273.15 AS DOUBLE) AS sst FROM gridded)"""
+WAVES = f"""near AS (
+  SELECT m.region, m.date, m.lat_idx, m.lon_idx, x.wave, x.wave_top, row_number() OVER (
+      PARTITION BY m.region, m.date, m.lat_idx, m.lon_idx
+      ORDER BY sqrt(pow((x.lat_idx - m.lat_idx) * {DY}, 2) + pow((x.lon_idx - m.lon_idx) * {DX}, 2)),
+        x.lat_idx - m.lat_idx, x.lon_idx - m.lon_idx) AS rn
+  FROM whole m JOIN whole x ON m.region = x.region AND m.date = x.date
+  WHERE m.wave IS NULL AND x.wave IS NOT NULL
+    AND sqrt(pow((x.lat_idx - m.lat_idx) * {DY}, 2) + pow((x.lon_idx - m.lon_idx) * {DX}, 2)) <= 30)"""
+add("features_from_readings", with_(
+    NODES, WHOLE_PLANES, WAVES, grad("whole"), numbered("whole"), lags("numbered"), ages("whole"), EFFORT_MONTHS, SOUNDINGS,
+) + f"""
+SELECT {KEY}, printf('c_%04d_%04d', lat_idx, lon_idx) AS cell_id, {r(LAT)} AS lat, {r(LON)} AS lon, {r('g.sst')} AS sst,
+  CAST(NULL AS DOUBLE) AS sst_model, {r('sst_gradient')} AS sst_gradient,
+  CASE WHEN chl_age_days <= 21 THEN {r('g.chl')} END AS chl, CASE WHEN chl_age_days <= 21 THEN {r('chl_lag7')} END AS chl_lag7,
+  CASE WHEN chl_age_days <= 21 THEN {r('chl_lag14')} END AS chl_lag14, chl_age_days,
+  {r('sqrt(g.uo * g.uo + g.vo * g.vo)')} AS current_speed, {r('coalesce(g.wave, n.wave)')} AS wave_height,
+  {r('coalesce(g.wave_top, n.wave_top)')} AS wave_height_max,
+  CASE WHEN g.wave IS NULL AND n.wave IS NOT NULL THEN 1 ELSE 0 END AS wave_estimated,
+  {r('sqrt(g.east * g.east + g.north * g.north) * CAST(3.6 AS DOUBLE)')} AS wind_speed,
+  {r('g.top * CAST(3.6 AS DOUBLE)')} AS wind_speed_max, CAST(month(date) AS INT) AS month,
+  {r('sin((month(date) - 1) * 2 * pi() / 12)')} AS month_sin, {r('cos((month(date) - 1) * 2 * pi() / 12)')} AS month_cos,
+  {r('coalesce(fishing_hours, 0)')} AS fishing_hours, coalesce(n_vessels, 0) AS n_vessels,
+  CASE WHEN fishing_hours > 0.5 THEN 1 ELSE 0 END AS fished, {r('depth')} AS depth,
+  {r('seabed_roughness')} AS seabed_roughness, {r('land_fraction')} AS land_fraction
+FROM grad g JOIN (SELECT {KEY}, chl_lag7, chl_lag14 FROM lagged) USING ({KEY}) JOIN ages USING (region, date)
+LEFT JOIN (SELECT * FROM near WHERE rn = 1) n USING ({KEY}) LEFT JOIN ecells USING ({KEY})
+LEFT JOIN seabed USING (region, lat_idx, lon_idx) WHERE g.sst IS NOT NULL""")

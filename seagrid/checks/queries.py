@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seagrid import functions as fn
 from seagrid import operators as op
@@ -13,7 +15,8 @@ from seagrid.checks import views as v
 from seagrid.grid import Grid, cell_id
 from seagrid.operators.labels import snapped
 from seagrid.operators.models import FEATURES, feature_set
-from seagrid.plans import build_features, score_days
+from seagrid.plans import build_features, score_days, validate
+from seagrid.plans.features import on_grid
 from seagrid.session import settle, shared_folder
 from seagrid.sources import (
     file_listing, flatten_effort, read_effort, read_features, source_inventory,
@@ -459,6 +462,35 @@ def feature_table(spark, sf):
     ), *numbers)
 
 
+@query
+def features_from_readings(spark, sf):
+    """The whole feature job from sub-daily readings: daily fields, axes taken
+    from the data, regridding, features, labels and seabed."""
+    raw = v.node_readings(spark, sf)
+    pixel = ["region", "lat", "lon"]
+
+    def daily(source: str, *names: str) -> DataFrame:
+        stats = op.daily_stats(raw, names, pixel)
+        if source == "wav":
+            return stats
+        return stats.select(*pixel, "date", *[F.col(f"{n}_mean").alias(n) for n in names])
+
+    fields = {
+        "sst": daily("sst", "analysed_sst"), "chl": daily("chl", "CHL"), "cur": daily("cur", "uo", "vo"),
+        "wav": daily("wav", "VHM0"), "wnd": op.daily_wind_components(raw, "east", "north", pixel),
+    }
+    axes = (op.Axis.of(raw, "lat"), op.Axis.of(raw, "lon"))
+    gridded = on_grid(fields, {name: axes for name in fields}, G)
+    out = build_features(gridded, G, v.month_effort(spark, sf), op.seabed(v.soundings(spark, sf), G))
+    numbers = [
+        "lat", "lon", "sst", "sst_model", "sst_gradient", "chl", "chl_lag7", "chl_lag14", "current_speed", "wave_height",
+        "wave_height_max", "wind_speed", "wind_speed_max", "month_sin", "month_cos", "fishing_hours", "depth",
+        "seabed_roughness", "land_fraction",
+    ]
+    ints = ["wave_estimated", "month", "fished"]
+    return rounded(out.withColumns({c: F.col(c).cast("int") for c in ints}), *numbers)
+
+
 # --------------------------------------------------------------------- labels
 
 @query
@@ -820,9 +852,30 @@ def _payload(spark, sf):
 
 @query
 def daily_payload(spark, sf):
-    """The whole daily document, as written to disk."""
-    return _payload(spark, sf).select(
-        "region", "date", F.to_json(F.struct("*")).alias("document")
+    """The daily documents as written to disk, read back with their schema."""
+    payload = _payload(spark, sf)
+    text = payload.select(F.to_json(F.struct("*")).alias("document"))
+    d = text.select(F.from_json("document", payload.schema.simpleString()).alias("d")).select("d.*")
+
+    def listed(state: str):
+        return F.size(F.filter("cells.safety", lambda x: x == state)).cast("long")
+
+    def total(column: str, unit: int):
+        add = lambda acc, x: acc + F.coalesce(F.rint(x * unit).cast("long"), F.lit(0).cast("long"))
+        return F.aggregate(f"cells.{column}", F.lit(0).cast("long"), add).alias(f"{column}_total")
+
+    return d.select(
+        "region", "date", "n_cells", F.size("cells.lat_idx").cast("long").alias("n_listed"),
+        "safety.status", "safety.counts.*", "safety.share_dangerous", "safety.total",
+        F.col("safety.label.so").alias("label_so"), F.col("safety.label.en").alias("label_en"),
+        F.col("safety.advice.so").alias("advice_so"), F.col("safety.advice.en").alias("advice_en"), "safety.label.color",
+        listed("KHATAR").alias("listed_danger"), listed("LAMA_OGA").alias("listed_unknown"),
+        total("sst", 10), total("chl", 1000), total("wave_height_max", 100), total("score", 10),
+        "grid.n_lat", "grid.n_lon", "grid.resolution",
+        "thresholds.wave_safe_m", "thresholds.wave_danger_m", "thresholds.wind_safe_kmh", "thresholds.wind_danger_kmh",
+        "reach.n_reachable_cells", "reach.n_cells_total", "model.trained", "model.score_source",
+        F.size("zones").cast("long").alias("n_zones"),
+        F.aggregate("zones", F.lit(0).cast("long"), lambda acc, z: acc + z["n_cells"]).alias("cells_in_zones"),
     )
 
 
@@ -898,72 +951,154 @@ def _fitted(spark, sf):
     return op.fit_hotspot(train, MODEL_FEATURES, rounds=ROUNDS, depth=4, step=0.1), train, test
 
 
+TRAINED = ("hotspot", "depth_only", "transfer", "control")
+
+
+def _followed(metrics: DataFrame) -> DataFrame:
+    """Metrics of the baselines as they are; of trained models, which no SQL can
+    follow, whether they lie in their range."""
+    shares = [c for c in ("roc_auc", "pr_auc", "pr_auc_within_month") if c in metrics.columns]
+    hidden = [c for c in (*shares, "pr_lift", "lift_within_month") if c in metrics.columns]
+    ok = F.lit(True)
+    for c in shares:
+        ok = ok & F.col(c).between(0, 1)
+    trained = F.col("model").isin(*TRAINED)
+    return metrics.withColumn("in_range", ok).withColumns({c: F.when(~trained, F.col(c)) for c in hidden})
+
+
+def _gate_agrees(metrics: DataFrame, gate: DataFrame):
+    """Do the gate's flags follow from the metric rows?"""
+    ap = {
+        m: metrics.where(F.col("model") == m).select("pr_auc_within_month").scalar()
+        for m in ("hotspot", "depth_only", "climatology")
+    }
+    beats = {m: F.coalesce(ap["hotspot"] > ap[m], F.lit(False)) for m in ("depth_only", "climatology")}
+    agrees = gate.select("beats_baselines").scalar() == (beats["depth_only"] & beats["climatology"])
+    for m, flag in beats.items():
+        agrees = agrees & (gate.select(f"beats_{m}").scalar() == flag)
+    return agrees
+
+
 @query
 def depth_only_baseline(spark, sf):
+    """Test rows with their label; a cell's seabed gives it one score all year."""
     train, test = op.temporal_split(_model_table(spark, sf), 1999)
-    return op.depth_only(train, test, rounds=ROUNDS).select(*KEY, "depth_only")
+    scored = settle(op.depth_only(train, test, rounds=ROUNDS))
+    cells = scored.groupBy("region", "lat_idx", "lon_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("fished").alias("positives"),
+        (F.min("depth_only") == F.max("depth_only")).alias("one_score"),
+        F.bool_and(F.col("depth_only").between(0, 1)).alias("in_range"),
+    )
+    return cells
 
 
 @query
 def hotspot_gbt(spark, sf):
+    """Test rows with their label, and whether the score is a probability."""
     model, _, test = _fitted(spark, sf)
-    return op.predict(model, test).select(*KEY, "probability")
+    return op.predict(model, test).select(*KEY, "fished", F.col("probability").between(0, 1).alias("in_range"))
 
 
 @query
 def isotonic_calibration(spark, sf):
-    """Calibrated probability and label rate by raw-score decile range."""
+    """Per month: rows, positives, and whether the calibrated probability never
+    falls as the raw one rises."""
     model, _, test = _fitted(spark, sf)
-    scored = op.predict(model, test)
-    return scored.groupBy(F.floor(F.col("probability") * 10).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("probability").alias("mean_probability"),
-        F.avg("fished").alias("label_rate"),
+    raw = vector_to_array("_probability")[1]
+    # At most a thousand steps a month are put in order.
+    steps = model.transform(test).groupBy(F.month("date").alias("month"), F.floor(raw * 1000).alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("fished").alias("positives"),
+        F.min("_calibrated").alias("low"), F.max("_calibrated").alias("high"),
+    )
+    before = F.lag("high").over(Window.partitionBy("month").orderBy("step"))
+    steps = steps.withColumn("rises", F.coalesce(before <= F.col("low") + 1e-12, F.lit(True)))
+    return steps.groupBy("month").agg(
+        F.sum("n").alias("n"), F.sum("positives").alias("positives"), F.bool_and("rises").alias("monotone")
     )
 
 
 @query
 def feature_importance(spark, sf):
-    model, _, _ = _fitted(spark, sf)
-    return op.feature_importance(model, MODEL_FEATURES)
+    """Every feature with the training rows that know it; shares of the gain
+    add up to one."""
+    model, train, _ = _fitted(spark, sf)
+    shares = op.feature_importance(model, MODEL_FEATURES)
+    known = train.agg(*[F.count(f).alias(f) for f in MODEL_FEATURES]).unpivot([], MODEL_FEATURES, "feature", "known")
+    total = shares.agg(F.sum("gain_share")).scalar()
+    return shares.join(known, "feature").select(
+        "feature", "known", F.col("gain_share").between(0, 1).alias("in_range"),
+        (F.abs(total - 1) < 0.001).alias("adds_up"),
+    )
 
 
 @query
 def validation_gate(spark, sf):
+    """Within-month metrics of the baselines, and a gate that follows from all."""
     model, train, test = _fitted(spark, sf)
     scored = op.climatology(train, op.physics_index(op.predict(model, test, "hotspot")))
-    scored = op.depth_only(train, scored, rounds=ROUNDS)
-    metrics = op.compare_models(scored, ["hotspot", "depth_only", "climatology", "physics_index"])
-    return op.validation_gate(metrics)
+    scored = settle(op.depth_only(train, scored, rounds=ROUNDS))
+    metrics = settle(op.compare_models(scored, ["hotspot", "depth_only", "climatology", "physics_index"]))
+    return _followed(metrics).withColumn("gate_agrees", _gate_agrees(metrics, op.validation_gate(metrics)))
+
+
+@query
+def validate_models(spark, sf):
+    """The whole validation: months with the fleet present, split, models,
+    baselines, metrics and gate. Two months have no labels here."""
+    quiet = F.month("date").isin(2, 11)
+    rows = _model_table(spark, sf).withColumn("fished", F.when(quiet, 0).otherwise(F.col("fished")))
+    out = validate(rows, MODEL_FEATURES, neg_per_pos=None, end_year=1999, rounds=ROUNDS)
+    metrics = _followed(out.within.join(out.pooled, "model"))
+    return metrics.withColumn("gate_agrees", _gate_agrees(out.within, out.gate))
 
 
 @query
 def gated_score(spark, sf):
-    """A model that has not passed validation is not used."""
+    """A model that has not passed validation is not used, nor is any on a day
+    that lacks one of its features; both halves come out of one model."""
     model, _, test = _fitted(spark, sf)
     kept = op.score_cells(test, model, MODEL_FEATURES, allow_unvalidated=True)
     gated = op.score_cells(test, model, MODEL_FEATURES, validated=False)
-    return kept.select(*KEY, "score", "score_source").unionByName(
-        gated.select(*KEY, "score", "score_source")
-    )
+    modelled = F.col("score_source") == "model"
+
+    def shown(df: DataFrame, allowed: bool) -> DataFrame:
+        return df.select(
+            *KEY, F.lit(allowed).alias("allowed"), "score_source", F.when(~modelled, F.col("score")).alias("score"),
+            F.when(modelled, F.coalesce(F.col("score").between(0, 100), F.lit(False))).otherwise(True).alias("in_range"),
+        )
+
+    return shown(kept, True).unionByName(shown(gated, False))
+
+
+@query
+def gated_score_absent_source(spark, sf):
+    """Without currents no day has all features, so the index scores them all,
+    whatever the gate says."""
+    model, _, test = _fitted(spark, sf)
+    lacking = test.withColumn("current_speed", F.lit(None).cast("double"))
+    return op.score_cells(lacking, model, MODEL_FEATURES, validated=True).select(*KEY, "score", "score_source")
 
 
 @query
 def spatial_transfer(spark, sf):
     train, test = op.temporal_split(_model_table(spark, sf), 1999)
     features = feature_set("transfer")
-    return op.spatial_transfer(train, test, features, rounds=5)
+    return _followed(op.spatial_transfer(train, test, features, rounds=5)).drop("beats_climatology", "beats_control")
 
 
 @query
 def box_transfer(spark, sf):
-    """Trained on the water around a box, tested inside, with a local control."""
+    """Trained on the water around a box, tested inside, with a local control,
+    in the months not known as dormant."""
     box = Grid("box", 1.4, 2.4, 44.6, 45.4)
     train, test = op.temporal_split(_model_table(spark, sf), 1999)
     inside = box.in_box(F.col("lat"), F.col("lon"))
     features = feature_set("transfer")
-    return op.spatial_transfer(
+    out = op.spatial_transfer(
         train, test.where(inside), features, box, control=train.where(inside), rounds=5
     )
+    shown = ~F.col("model").isin(*TRAINED)
+    return _followed(out.withColumn("beats_climatology", F.when(shown, F.col("beats_climatology")))).drop("beats_control")
 
 
 # ------------------------------------------------------------------ streaming

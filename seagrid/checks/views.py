@@ -165,6 +165,24 @@ def coarse_field(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def node_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of every source at the nodes of a 0.2 degree grid, several a day
+    and node. Factors of many digits keep results off the ties of rounding."""
+    i, j = F.col("l_partkey") % 10, F.col("l_suppkey") % 10
+    month = F.trunc(F.col("l_shipdate").cast("date"), "month")
+    q, line = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
+    return table(spark, sf, "lineitem").select(
+        F.expr(f"l_orderkey div {BLOCK}").alias("region"),
+        (month.cast("timestamp_ntz") + F.expr("make_dt_interval(0, cast(l_linenumber as int))")).alias("time"),
+        (i * 0.2 + 1.0).alias("lat"), (j * 0.2 + 44.0).alias("lon"),
+        F.when(i <= j + 3, q * 0.2718281828 + 290).alias("analysed_sst"),
+        F.when((i * 7 + j * 3 + F.month(month)) % 11 != 0, (F.rint("l_extendedprice") % 640) * 0.0157079633).alias("CHL"),
+        ((line - 4) * 0.1259921050).alias("uo"), ((q - 25) * 0.0316227766).alias("vo"),
+        F.when((i + j) % 6 != 0, whole(F.col("l_discount"), 100) * 0.2414213562).alias("VHM0"),
+        ((whole(F.col("l_tax"), 100) - 4) * 2.4494897428).alias("east"), (line * 1.4422495703 - 6).alias("north"),
+    )
+
+
 def scored_items(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled, scored rows: one per order line."""
     return table(spark, sf, "lineitem").select(

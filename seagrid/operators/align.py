@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seagrid.grid import Grid
 from seagrid.operators.neighbours import whole_planes
@@ -43,28 +44,37 @@ def align_sources(
     Stacked and grouped once, where a chain of outer joins would shuffle for
     every source. The one exchange is by day: it serves the grouping as well as
     every operator after it that works on a day's plane. Days on which no
-    source has any value are dropped as a whole; `days` names the days to keep
-    if they are known already. `fill_grid` adds the cells no source covers and
+    source has any value are dropped as a whole, within the same layout, so
+    every source is read once; `days` names the days to keep if they are known
+    already. `fill_grid` needs that list, and works it out if it is not given:
+    then sources are read twice and should be tables. It adds the cells no source covers and
     leaves out rows off the grid, so that every day is one whole plane of it.
     """
     day = [k for k in keys if k not in ("lat_idx", "lon_idx")]
-    if days is None:
+    if days is None and fill_grid is not None:
         days = days_with_values(frames, keys)
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), frames
     )
     variables = [c for c in stacked.columns if c not in keys]
-    stacked = stacked.join(days.select(*day), day, "left_semi")
+    if days is None:
+        stacked = stacked.dropna(subset=day)
+    else:
+        stacked = stacked.join(days.select(*day), day, "left_semi")
     if fill_grid is not None:
         # Whole planes are read by row offset, so nothing may lie beside them.
         stacked = stacked.where(fill_grid.contains(F.col("lat_idx"), F.col("lon_idx")))
         planes = whole_planes(days.select(*day).repartition(*day), fill_grid)
         stacked = stacked.unionByName(planes, allowMissingColumns=True)
-    return (
+    aligned = (
         stacked.repartition(*day)
         .groupBy(*keys)
         .agg(*[F.max(v).alias(v) for v in variables])
     )
+    if days is not None:
+        return aligned
+    some = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in variables])
+    return aligned.withColumn("_some", F.max(some).over(Window.partitionBy(*day))).where("_some").drop("_some")
 
 
 def drop_land(df: DataFrame, col: str = "sst") -> DataFrame:

@@ -41,7 +41,7 @@ def ranking_metrics(
         .groupBy(*by, "_s")
         .agg(F.sum("_y").alias("pos"), F.count(F.lit(1)).alias("n"))
     )
-    counts = _in_ranges(counts, scores_per_range)
+    counts = in_ranges(counts, scores_per_range)
 
     # At most (groups x ranges) rows; higher ranges come first.
     totals = counts.groupBy(*by, "_range").agg(
@@ -117,10 +117,10 @@ def evaluate_within(
     ).select(F.lit(name or score).alias("model"), "*")
 
 
-def _in_ranges(counts: DataFrame, per_range: int) -> DataFrame:
-    """Add `_range`, rising with the score, with about `per_range` rows each.
+def in_ranges(counts: DataFrame, per_range: int) -> DataFrame:
+    """Add `_range`, rising with `_s`, with about `per_range` rows each.
 
-    Any cuts give the same metrics, so approximate quantiles will do; one number
+    Any cuts give the same results, so approximate quantiles will do; one number
     per `per_range` distinct scores reaches the driver.
     """
     ranges = max(LEAST_RANGES, math.ceil(counts.count() / per_range))

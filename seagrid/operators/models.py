@@ -17,10 +17,11 @@ from pyspark.sql.window import Window
 from seagrid.functions import half_even, to_index
 from seagrid.grid import Grid
 from seagrid.operators.climatology import climatology
-from seagrid.operators.evaluate import evaluate_within
+from seagrid.operators.evaluate import evaluate, evaluate_within
 from seagrid.operators.index import physics_index
 from seagrid.operators.sampling import calibration_split, exclude_box, holdout_band
 from seagrid.rules import RULES
+from seagrid.session import settle
 
 # The feature sets.
 FEATURES = [
@@ -241,25 +242,41 @@ def spatial_transfer(
     train: DataFrame, test: DataFrame, features: Sequence[str], box: Grid | None = None,
     band: tuple[float, float] = RULES.holdout_lat, control: DataFrame | None = None,
     label: str = LABEL, seed: int = 42, rounds: int = 400, by: Sequence[str] = ("region", "date"),
+    skip_months: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Metrics on water the model has not seen.
+    """Metrics on water the model has not seen, one row per model: pooled and
+    within months, and whether it beats the climatology and the control.
 
     With `box`, the box is cut out of `train` and `test` lies inside it;
     `control`, if given, is the same water's own training set and adds the
     control model, climatology and the physics index for comparison. Without
     `box` a latitude band is withheld from `train` and tested on.
+    `skip_months` are left out on all sides; with a box, whose training rows may
+    be thinned to equal rates, these are the known dormant ones by default.
     """
+    # The index ranks each day's whole plane, so it comes before any subset.
+    test = physics_index(test, by)
     if box is None:
         train, _ = holdout_band(train, band)
         _, test = holdout_band(test, band)
     else:
         train = exclude_box(train, box)
-    # The index ranks each day's whole plane, so it comes before any subset.
-    test = physics_index(test, by)
+        skip_months = RULES.dormant_months if skip_months is None else skip_months
+    if skip_months:
+        here = ~F.month("date").isin(*skip_months)
+        train, test = train.where(here), test.where(here)
+        control = None if control is None else control.where(here)
     scored = predict(fit_hotspot(train, features, seed, label, rounds), test, "transfer")
     models = ["transfer", "physics_index"]
     if control is not None:
         own = fit_hotspot(control, features, seed, label, rounds)
         scored = climatology(control, predict(own, scored, "control"), label)
         models = ["transfer", "control", "climatology", "physics_index"]
-    return compare_models(scored, models, label)
+    # Every model's metrics read the scores.
+    scored = settle(scored)
+    within = compare_models(scored, models, label)
+    pooled = reduce(DataFrame.unionByName, [evaluate(scored, label, m, m) for m in models])
+    ap = F.col("pr_auc_within_month")
+    every = Window.partitionBy()  # one row per model
+    beats = {f"beats_{m}": ap > F.max(F.when(F.col("model") == m, ap)).over(every) for m in ("climatology", "control")}
+    return within.join(pooled, "model").withColumns(beats)

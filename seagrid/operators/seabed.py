@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seagrid.functions import share
 from seagrid.grid import Grid
+from seagrid.operators.evaluate import SCORES_PER_RANGE, in_ranges
 from seagrid.operators.regrid import Axis, regrid_bilinear
+from seagrid.session import settle
 
 
 def seabed(
@@ -67,10 +71,37 @@ def join_static(
 
 
 def depth_report(static: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Median, least and greatest depth, and cells at or above sea level."""
-    return static.groupBy(*keys).agg(
-        F.percentile("depth", F.lit(0.5)).alias("median_depth"),
+    """Median, least and greatest depth, and cells at or above sea level.
+
+    The median is exact: equal depths are counted, counts are added up inside
+    depth ranges, and the ranges' totals tell which one holds the middle.
+    """
+    keys = list(keys)
+    plain = static.groupBy(*keys).agg(
         F.min("depth").alias("min_depth"),
         F.max("depth").alias("max_depth"),
         F.count_if(F.col("depth").isNull()).alias("cells_above_sea"),
     )
+    counts = static.where(F.col("depth").isNotNull()).groupBy(*keys, F.col("depth").alias("_s"))
+    counts = in_ranges(settle(counts.agg(F.count(F.lit(1)).alias("n"))), SCORES_PER_RANGE)
+    totals = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("range_n"))
+    group = Window.partitionBy(*keys)
+    below = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *[F.col(c).alias(f"_at_{c}") for c in (*keys, "_range")],
+        F.coalesce(F.sum("range_n").over(below), F.lit(0)).alias("below"), F.sum("range_n").over(group).alias("total"),
+    )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (*keys, "_range")])
+    inside = Window.partitionBy(*keys, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.join(totals, same).withColumn("upto", F.sum("n").over(inside) + F.col("below"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col("_s")))
+
+    middle = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
+    medians = running.groupBy(*keys).agg(middle.alias("median_depth"))
+    # One row per group on either side.
+    both = plain.unionByName(medians, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[
+        F.max(c).alias(c) for c in ("median_depth", "min_depth", "max_depth", "cells_above_sea")
+    ])

@@ -195,49 +195,45 @@ def lookup_points(
     """The nearest cell of each point, none further than two cell widths.
 
     Distance is |dlat| + |dlon| in degrees; ties go to the lower indices.
-    `cells` hold one day. Every point looks at the few cells around it, which
-    makes the search an equi-join on integer keys whatever the number of points.
+    `cells` hold one day, one row per cell. Each cell is offered to the cells
+    around it, which then hold at most 21 candidates. Points move once, are
+    never multiplied, and take the best of their home cell's candidates; points
+    crowding into one cell may be split over tasks, since nothing is grouped.
     """
-    home_lat, home_lon = grid.lat_idx(F.col("lat")), grid.lon_idx(F.col("lon"))
     around = F.array(*[
         F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
         for di in range(-2, 3) for dj in range(-2, 3) if abs(di) + abs(dj) <= 3
     ])
-    candidates = (
-        points.withColumn("_o", F.explode(around))
-        .withColumns({
-            "lat_idx": home_lat + F.col("_o.di"), "lon_idx": home_lon + F.col("_o.dj"),
-        })
-        .where(grid.contains(F.col("lat_idx"), F.col("lon_idx")))
-    )
-    # Whole billionths of a degree: below any real difference, above float noise.
-    away = F.rint(1e9 * (
-        F.abs(grid.lat(F.col("lat_idx")) - F.col("lat"))
-        + F.abs(grid.lon(F.col("lon_idx")) - F.col("lon"))
-    )).cast("long")
-    # Distance, then indices, as one number: the nearest cell of a point is its
-    # smallest, found in a hash aggregate before anything is shuffled.
-    if round(2e9 * grid.res + 1) * grid.n_cells >= 2**63:
-        raise ValueError(f"{grid.n_cells} cells of {grid.res} degrees are too many to be ordered")
-    order = away * grid.n_cells + F.col("lat_idx").cast("long") * grid.n_lon + F.col("lon_idx")
-    candidates = candidates.where(away <= round(2e9 * grid.res)).select(
-        point, *keys, "lat_idx", "lon_idx", order.alias("_order")
+    values = [c for c in carry if c in cells.columns]
+    lat_idx, lon_idx = F.col("lat_idx").cast("int"), F.col("lon_idx").cast("int")
+    offered = (
+        cells.where(grid.contains(F.col("lat_idx"), F.col("lon_idx")))
+        .withColumn("_o", F.explode(around))
+        .groupBy(*keys, (lat_idx - F.col("_o.di")).alias("_home_lat"), (lon_idx - F.col("_o.dj")).alias("_home_lon"))
+        .agg(F.collect_list(F.struct(
+            lat_idx.alias("lat_idx"), lon_idx.alias("lon_idx"),
+            grid.lat(F.col("lat_idx")).alias("cell_lat"), grid.lon(F.col("lon_idx")).alias("cell_lon"), *values,
+        )).alias("_offers"))
     )
-    cell = [*keys, "lat_idx", "lon_idx"]
-    nearest = (
-        candidates.join(cells.select(*cell), cell, "left_semi")
-        .groupBy(point, *keys).agg(F.min("_order").alias("_order"))
-        .select(
-            point, *keys,
-            (F.expr(f"_order div {grid.n_cells}L") / 1e9).alias("distance_deg"),
-            F.expr(f"(_order % {grid.n_cells}L) div {grid.n_lon}").cast("int").alias("lat_idx"),
-            F.expr(f"(_order % {grid.n_cells}L) % {grid.n_lon}").cast("int").alias("lon_idx"),
+
+    def measured(cell: Column) -> Column:
+        # Whole billionths of a degree: below any real difference, above float noise.
+        away = F.rint(1e9 * (F.abs(cell["cell_lat"] - F.col("lat")) + F.abs(cell["cell_lon"] - F.col("lon")))).cast("long")
+        return F.struct(
+            away.alias("away"), cell["lat_idx"].alias("lat_idx"), cell["lon_idx"].alias("lon_idx"), cell.alias("cell"),
         )
+
+    best = F.array_min(F.transform("_offers", measured))
+    found = (
+        points.withColumns({"_home_lat": grid.lat_idx(F.col("lat")), "_home_lon": grid.lon_idx(F.col("lon"))})
+        .join(offered, [*keys, "_home_lat", "_home_lon"])
+        .withColumn("_best", best)
+        .where(F.col("_best.away") <= round(2e9 * grid.res))
+    )
+    picked = ("lat_idx", "lon_idx", *values, "cell_lat", "cell_lon")
+    return found.select(
+        point, *keys, (F.col("_best.away") / 1e9).alias("distance_deg"), *[F.col(f"_best.cell.{c}").alias(c) for c in picked],
     )
-    values = [c for c in carry if c in cells.columns]
-    return nearest.join(cells.select(*cell, *values), cell).withColumns({
-        "cell_lat": grid.lat(F.col("lat_idx")), "cell_lon": grid.lon(F.col("lon_idx")),
-    })
 
 
 def catalog_status(

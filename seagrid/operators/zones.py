@@ -65,7 +65,9 @@ def zone_summary(
 
     One hash aggregation over the cell-days computes every figure of a zone;
     there are at most sites x bands zones per day. Names are looked up
-    afterwards, so the aggregated rows stay narrow.
+    afterwards, so the aggregated rows stay narrow. `source` says where scores
+    come from; without it a column `score_source` does, which is the same for
+    all cells of a day.
     """
     wave, wind = F.col("wave_height_max"), F.col("wind_speed_max")
     lat, lon = grid.lat(F.col("lat_idx")), grid.lon(F.col("lon_idx"))
@@ -116,6 +118,8 @@ def zone_summary(
         is_state(SAFE).alias("_safe"),
         is_state(UNKNOWN).alias("_unknown"),
         estimated.alias("wave_estimated_share"),
+        (F.max("score_source") if source is None and "score_source" in columns else F.lit(source).cast("string"))
+        .alias("score_source"),
     )
     state = (
         F.when(F.col("_danger") >= rules.zone_danger_share, DANGER)
@@ -132,7 +136,7 @@ def zone_summary(
         half_even(F.col("_km"), 1).alias("distance_km"),
         half_even(F.col("_km") / rules.boat_speed_kmh, 1).alias("travel_hours"),
         "score",
-        F.lit(source).cast("string").alias("score_source"),
+        "score_source",
         state.alias("safety"),
         half_even(F.col("_danger"), 2).alias("share_dangerous"),
         "conditions", "wave_estimated_share",

@@ -29,16 +29,11 @@ def score_days(
     plane: DataFrame | None = None,
 ) -> DayOutputs:
     """Zones come before scores, so a model that uses the coast distance finds
-    it. The scored cells are written once and feed both zones and documents."""
+    it. The scored cells are written once and feed both zones and documents.
+    Days that lack one of the model's sources are scored by the physics index;
+    cells, zones and documents of each day say which it was."""
     zoned = assign_zones(features.drop("dist_coast_km"), grid, rules=rules, plane=plane)
     scored = score_cells(zoned, model, model_features, validated)
     cells = settle(classify(scored, rules))
-    source = "model" if _uses_model(cells) else "physics_index"
-    zones = rank_zones(zone_summary(cells, grid, "score", source, rules=rules))
+    zones = rank_zones(zone_summary(cells, grid, rules=rules))
     return DayOutputs(cells, zones, daily_payload(cells, zones, grid, rules))
-
-
-def _uses_model(cells: DataFrame) -> bool:
-    """The source is the same for every row."""
-    first = cells.select("score_source").first()
-    return first is not None and first["score_source"] == "model"

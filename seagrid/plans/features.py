@@ -36,9 +36,11 @@ def on_grid(
 ) -> dict[str, DataFrame]:
     """Regrid every source that is present. Inputs hold region, date, lat, lon
     and the source's variables. Mean wind is regridded by components: speeds of
-    opposed winds must not be averaged."""
+    opposed winds must not be averaged. The gridded fields are written once, as
+    Parquet: what follows looks at them more than once, the readings are far
+    larger and are read a single time."""
     return {
-        name: regrid_bilinear(df, FIELDS[name], *axes[name], grid)
+        name: settle(regrid_bilinear(df, FIELDS[name], *axes[name], grid))
         for name, df in daily.items()
     }
 
@@ -49,7 +51,8 @@ def build_features(
     restart_each_year: bool = False, wind_in_ms: bool = True,
 ) -> DataFrame:
     """Cell-day features from gridded daily fields (keyed by region, date,
-    lat_idx, lon_idx), with labels from effort rows and seabed columns. Wind
+    lat_idx, lon_idx), with labels from effort rows and seabed columns. Fields
+    are read more than once and should be tables, as `on_grid` makes them. Wind
     comes as mean components, or as `wind_speed` where it never was regridded.
 
     Trailing means and carrying forward happen on the chlorophyll source alone,
@@ -88,6 +91,8 @@ def build_features(
             chl = trailing_mean(
                 chl, "chl", days, least, f"chl_lag{days}", restart_each_year=restart_each_year
             )
+        # Read for the list of days, for its own planes, and to carry them.
+        chl = settle(chl)
     if chl is None and not frames:
         raise ValueError("no source present")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.operators.serving import select_days
+from seagrid.session import settle
 
 # Fixed value: leading column order of the feature table.
 LEAD_COLUMNS = ("cell_id", "date", "lat", "lon", "lat_idx", "lon_idx")
@@ -20,13 +21,14 @@ def write_features(df: DataFrame, path: str, mode: str = "historical") -> None:
     """Feature rows by region, mode and year; a rerun replaces the years it
     holds and leaves the others.
 
-    A task holds whole months of a region, so a year is at most twelve files of
-    bounded size, and rows are sorted by day and cell within them, so a reader
-    of some days skips most row groups.
+    Rows are gathered by month of a region, and adaptive execution splits
+    months above its advisory partition size and joins small ones, so files are
+    of bounded size however large a region is. Rows are sorted by day and cell
+    within them, so a reader of some days skips most row groups.
     """
-    out = _lead_first(df).withColumns({"mode": F.lit(mode), "year": F.year("date")})
+    out = _lead_first(df).withColumns({"mode": F.lit(mode), "year": F.year("date"), "_month": F.month("date")})
     (
-        out.repartition("region", "year", F.month("date"))
+        out.hint("rebalance", "region", "year", "_month").drop("_month")
         .sortWithinPartitions("region", "year", "date", "lat_idx", "lon_idx")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -37,9 +39,9 @@ def write_features(df: DataFrame, path: str, mode: str = "historical") -> None:
 
 def write_daily(payload: DataFrame, path: str) -> None:
     """One compact JSON document per region and day, and the newest day of each
-    region again under `latest`."""
+    region again under `latest`. Documents are worked out once."""
     body = F.to_json(F.struct(*[c for c in payload.columns])).alias("value")
-    days = payload.select("region", "date", body)
+    days = settle(payload.select("region", "date", body))
     (
         days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("region", "date").text(f"{path}/days")

@@ -136,3 +136,37 @@ def test_one_level_stored_with_different_precision(spark):
     rows = [(1, 0.49402499198913574), (2, 0.494025), (3, 1.541375), (4, None)]
     df = spark.createDataFrame(rows, "k int, depth double")
     assert sorted(r.k for r in readers.surface(df).collect()) == [1, 2, 4]
+
+
+def test_alignment_reads_every_source_once(spark, tmp_path):
+    frames = []
+    for k, name in enumerate(("a", "b", "c")):
+        rows = [("g", day(1 + d), 0, j, None if d == 2 else float(k + j)) for d in range(3) for j in range(4)]
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, f"region string, date date, lat_idx int, lon_idx int, {name} double").write.parquet(path)
+        frames.append(spark.read.parquet(path))
+    out = op.align_sources(frames)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 3
+    assert {r["date"] for r in out.collect()} == {day(1), day(2)} and out.count() == 8
+
+
+def test_zones_say_where_each_day_has_its_scores_from(spark):
+    schema = ("region string, date date, lat_idx int, lon_idx int, reachable boolean, zone_id string, site_id string, "
+              "band string, site_km double, score double, wave_height_max double, wind_speed_max double, score_source string")
+    rows = [("r", day(d), 0, j, True, "hobyo_0-15", "hobyo", "0-15", 9.0, 50.0, 1.0, 10.0, source)
+            for d, source in ((1, "model"), (2, "physics_index")) for j in range(3)]
+    zones = op.zone_summary(spark.createDataFrame(rows, schema), Grid("g", 1.0, 3.0, 44.0, 46.0))
+    assert {r["date"]: r["score_source"] for r in zones.collect()} == {day(1): "model", day(2): "physics_index"}
+
+
+@pytest.mark.parametrize("keys", [[], ["region"]])
+def test_median_depth_is_exact_and_keeps_rows_without_a_region(spark, keys):
+    rows = [(None if k % 3 == 0 else f"r{k % 3}", float((k * 7919) % 503) if k % 5 else None) for k in range(1200)]
+    static = spark.createDataFrame([*rows, ("land", None)], "region string, depth double")
+    got = {tuple(r[c] for c in keys): r for r in op.depth_report(static, keys).collect()}
+    want = static.groupBy(*keys).agg(F.percentile("depth", F.lit(0.5)).alias("m"), F.min("depth").alias("low"),
+                                     F.count_if(F.col("depth").isNull()).alias("dry")).collect()
+    assert len(got) == len(want)
+    for r in want:
+        own = got[tuple(r[c] for c in keys)]
+        assert (own["median_depth"], own["min_depth"], own["cells_above_sea"]) == (r["m"], r["low"], r["dry"])
