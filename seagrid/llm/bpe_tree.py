@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from seagrid.llm import text as tx
 from seagrid.llm.pieces import Memo, pieces
+from seagrid.llm.store import plainly_named
 
 Ids = tuple[int, ...]
 
@@ -124,12 +125,14 @@ def _encode(file: str):
 
 def encoded(docs: DataFrame, file: str | None = None) -> DataFrame:
     """`docs` with `ids` (array of int) in place of text. Null and empty texts
-    have no ids. All other columns and all rows stay as they are."""
+    have no ids. All other columns and all rows stay as they are; a column `ids`
+    gives way."""
     file = file or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = docs.drop("ids")
-    others = [f"`{c}` {t}" for c, t in rows.dtypes if c != "text"]
+    names = [c for c in docs.drop("ids").columns if c != "text"]
+    rows = plainly_named(docs.drop("ids"), "text")
+    others = [f"{c} {t}" for c, t in rows.dtypes if c != "text"]
     rows = rows.withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(_encode(file), ", ".join([*others, "ids array<int>"]))
+    return rows.mapInArrow(_encode(file), ", ".join([*others, "ids array<int>"])).toDF(*names, "ids")
 
 
 def _decode(file: str):
@@ -145,11 +148,13 @@ def _decode(file: str):
 
 
 def decoded(rows: DataFrame, file: str | None = None) -> DataFrame:
-    """`rows` with `bytes` in place of `ids`; null ids give null."""
+    """`rows` with `bytes` in place of `ids`; null ids give null. A column
+    `bytes` gives way."""
     file = file or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = rows.drop("bytes")
-    others = [f"`{c}` {t}" for c, t in rows.dtypes if c != "ids"]
-    return rows.mapInArrow(_decode(file), ", ".join([*others, "bytes binary"]))
+    names = [c for c in rows.drop("bytes").columns if c != "ids"]
+    rows = plainly_named(rows.drop("bytes"), "ids")
+    others = [f"{c} {t}" for c, t in rows.dtypes if c != "ids"]
+    return rows.mapInArrow(_decode(file), ", ".join([*others, "bytes binary"])).toDF(*names, "bytes")
 
 
 def _digest(file: str):

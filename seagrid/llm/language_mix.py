@@ -4,7 +4,7 @@ Each language has a trigram model over bytes. The words of a document are draws
 from a mixture of languages; a word's likelihood under a language is the product
 of its trigrams' probabilities. Expectation-maximisation estimates the
 proportions, once over all languages and then over the likeliest one, two and so
-on; the language set with the best penalised likelihood is taken.
+on up to all; the language set with the best penalised likelihood is taken.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from seagrid.llm import text as tx
 BUCKETS = 1 << 16
 #: Pseudo-count of every bucket.
 PRIOR = 0.1
-#: Rounds of expectation-maximisation per language set, and languages in a set at most.
-ROUNDS, MOST = 6, 4
+#: Rounds of expectation-maximisation per language set.
+ROUNDS = 6
 #: Log-likelihood that a further language must bring, per logarithm of the number of words.
 PENALTY = 3.0
 UNDETERMINED = "und"
@@ -114,7 +114,7 @@ def mixtures(likely: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.n
     every, _ = run(np.full((docs, langs), 1 / langs))
     order = np.argsort(-every, axis=1, kind="stable")
     best, best_score = np.zeros_like(every), np.full(docs, -np.inf)
-    for size in range(1, min(MOST, langs) + 1):
+    for size in range(1, langs + 1):
         allowed = np.zeros((docs, langs), bool)
         np.put_along_axis(allowed, order[:, :size], True, 1)
         start = np.where(allowed, np.maximum(every, 1e-3), 0)

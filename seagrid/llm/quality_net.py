@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm import text as tx
+from seagrid.llm.store import plainly_named
 
 DIMS, WIDTH, FILTERS, UNITS, HOP = 8, 4, 16, 48, 64
 STEPS = HOP // 2
@@ -151,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     """Fit on a sample of labelled documents: per class the `sample` with the
     smallest hashed ids among those of at most `longest` bytes. That bounds what
     the driver gets (2 * sample * longest bytes) at any corpus size. Of several
-    labels for one id the smallest counts. None if a class is missing."""
+    labels for one id the smallest counts, of several texts the first in byte
+    order. None if a class is missing."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     marks = marks.select(F.col("doc_id").cast("long").alias("_id"), "quality").hint("shuffle_hash")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -161,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     order = (F.xxhash64(F.col("_id"), F.lit(11)), F.col("_id"))
     chosen = [ids.where(f"quality = {q}").distinct().orderBy(*order).limit(sample) for q in (0, 1)]
     chosen = chosen[0].union(chosen[1])
-    got = rows.join(F.broadcast(chosen), "_id").select("_id", "text", "quality").toArrow().sort_by([("_id", "ascending"), ("text", "ascending")])
+    got = rows.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    got = got.toArrow().sort_by([("_id", "ascending")])
     y = got["quality"].to_numpy()
     return train(got["text"].to_pylist(), y) if len(np.unique(y)) == 2 else None
 
@@ -196,6 +199,8 @@ def scored(docs: DataFrame, net: Net | None, least: float | None = None) -> Data
     rows that reach it. Null and empty texts are scored as one chunk of padding.
     Without a network (no labels to learn from) every score is 0.5. Nothing but
     the text is read, so other columns, repeated rows and missing ids do not
-    matter."""
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_score double"])
-    return docs.mapInArrow(_score(net, least), schema)
+    matter; a column `_score` gives way."""
+    docs = docs.drop("_score")
+    rows = plainly_named(docs, "text")
+    schema = ", ".join([*(f"{c} {t}" for c, t in rows.dtypes), "_score double"])
+    return rows.mapInArrow(_score(net, least), schema).toDF(*docs.columns, "_score")

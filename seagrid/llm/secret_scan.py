@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm import text as tx
-from seagrid.llm.store import written
+from seagrid.llm.store import plainly_named, written
 
 #: Longest distance between the starts of parts that belong together.
 SCOPE = 300
@@ -203,10 +203,11 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with every reported span masked in text; all rows and other columns stay."""
+    names, docs = docs.columns, plainly_named(docs, "doc_id", "text")
     columns = docs.columns
     found = secrets(docs).where(F.size("spans") > 0).dropDuplicates(["row_key"])
     found = found.select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans"))
     rows = docs.withColumn("_key", row_key(docs)).join(found.hint("shuffle_hash"), F.col("_key") == F.col("_row_key"), "left")
     rows = rows.drop("_key", "_row_key")
-    others = [f"`{c}` {t}" for c, t in rows.dtypes if c not in ("text", "_spans")]
-    return rows.mapInArrow(_mask, ", ".join([*others, "text string"])).select(*columns)
+    others = [f"{c} {t}" for c, t in rows.dtypes if c not in ("text", "_spans")]
+    return rows.mapInArrow(_mask, ", ".join([*others, "text string"])).select(*columns).toDF(*names)

@@ -38,6 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plainly_named(docs: DataFrame, *own: str) -> DataFrame:
+    """`docs` with every column but `own` renamed by its position, so that no
+    column an operator adds on the way can clash with it."""
+    return docs.toDF(*(c if c in own else f"c{k}" for k, c in enumerate(docs.columns)))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut sorted batches so that all rows of a key come together; what is held
     back is one batch and the rows of one key."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm import text as tx
-from seagrid.llm.store import edges_of, whole_groups, written
+from seagrid.llm.store import edges_of, plainly_named, whole_groups, written
 
 U = np.uint64
 SEED = 8
@@ -215,10 +215,16 @@ def without_repeats(docs: DataFrame, length: int = 20, with_text: bool = True) -
     Null and empty texts have no words. Rows without a doc_id stay whole and
     remove nothing elsewhere. Rows that share a doc_id are read as one document:
     equal windows at the same place of them do not remove each other, and what
-    is removed from one is removed at the same places of the others.
+    is removed from one is removed at the same places of the others. Columns
+    with the name of a result give way.
     """
+    results = ("_words", "_removed", "_kept")
+    docs = docs.drop(*results)
+    names = [c for c in docs.columns if c != "text"]
+    docs = plainly_named(docs, "doc_id", "text")
     spans = repeats(docs, length).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
     rows = docs.withColumn("_at", F.col("doc_id").cast("long"))
     rows = rows.join(spans.hint("shuffle_hash"), F.col("_at") == F.col("_id"), "left").drop("_at", "_id")
-    others = [f"`{c}` {t}" for c, t in rows.dtypes if c not in ("text", "_spans")]
-    return rows.mapInArrow(_cut(with_text), ", ".join([*others, "_words long, _removed long, _kept string"]))
+    others = [f"{c} {t}" for c, t in rows.dtypes if c not in ("text", "_spans")]
+    cut = rows.mapInArrow(_cut(with_text), ", ".join([*others, "_words long, _removed long, _kept string"]))
+    return cut.toDF(*names, *results)

@@ -3,11 +3,13 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from seagrid.llm import quality_net, secret_scan
+from seagrid.llm import bpe_tree, quality_net, secret_scan
 from seagrid.llm.store import table, written
+from seagrid.llm.substring_dedup import without_repeats
 
 from corpus import nothing, odd
 from test_dedup import parts, passages, word_sets
@@ -60,6 +62,30 @@ def test_odd_and_empty_tables_pass_every_stage(spark):
         assert corpus_pipeline.STAGES[0][1](spark, docs, FOLDER).dtypes == docs.dtypes
 
 
+#: Names that operators use on the way or give their results, and one that needs quoting.
+INNER = ["_score", "_words", "_removed", "_kept", "_spans", "_gone", "_id", "_at", "_key", "_row_key", "_SCORE2", "c0", "c7", "a.b"]
+
+
+def test_columns_named_like_inner_ones_stay_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(quality_net, "ROUNDS", 20)
+    docs = table(spark, FOLDER, "documents").withColumns({c: F.concat(F.lit(c), "doc_id") for c in INNER})
+    for step, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, FOLDER), step)
+    rows = docs.collect()
+    assert docs.columns == [*table(spark, FOLDER, "documents").columns, *INNER] and rows
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in INNER)
+
+
+def test_columns_named_like_results_give_way(spark):
+    docs = odd(spark).withColumns({c: F.lit("old") for c in ("_score", "_words", "_removed", "_kept", "bytes", "ids", "a.b")})
+    found = without_repeats(docs)
+    assert {r._removed for r in found.collect()} > {0} and found.columns.count("_kept") == 1
+    assert {r._score for r in quality_net.scored(docs, None).collect()} == {0.5}
+    back = bpe_tree.decoded(bpe_tree.encoded(docs)).collect()
+    want = sorted((t or "").encode() for t in (r.text for r in docs.collect()))
+    assert sorted(bytes(r.bytes) for r in back) == want and all(r["a.b"] == "old" for r in back)
+
+
 def test_registered():
     names = list(queries())
     for n in range(1, 11):
