@@ -8,6 +8,7 @@ linked when their sets' similarity is at least `percent` per cent.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,8 +212,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
     component_id is the smallest doc_id reachable over links, kept whether that
-    is the row's own. Equal sets are first folded into their smallest doc_id, so
-    any number of copies costs one aggregate. Candidates come from bands of
+    is the row's own. Equal sets are first folded into their smallest doc_id, in
+    shares whose number is the square root of that of the documents, so no task
+    meets all copies of one set. Candidates come from bands of
     minima; packed low bits then estimate the similarity, and what stays
     connected forms candidate clusters, inside which full sets are compared.
     A null or blank text has an empty set. Rows without a doc_id are linked with
@@ -222,9 +224,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sign = written(signed(docs, width), "signed")
     named = sign.where("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "print_a", "print_b"]
-    first = named.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    copies = written(named.select("doc_id", *same).join(first, same).select("doc_id", "rep"), "copies")
-    reps = named.join(copies.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    # a set's copies are dealt out in shares; each links to the first of its share, and these to the first of all
+    shares = math.isqrt(sign.count()) + 1
+    dealt = named.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(shares)).alias("share"))
+    near = written(dealt.groupBy(*same, "share").agg(F.min("doc_id").alias("near")), "near")
+    first = written(near.groupBy(*same).agg(F.min("near").alias("rep")), "first")
+    copies = dealt.join(near, [*same, "share"]).select(F.col("near").alias("a"), F.col("doc_id").alias("b")).union(
+        near.join(first, same).select(F.col("rep").alias("a"), F.col("near").alias("b"))
+    )
+    reps = named.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     reps = reps.dropDuplicates(["doc_id", *same])
     pairs = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     pairs = written(pairs.distinct(), "bands")
@@ -243,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     clusters = candidates.select(F.col("component").alias("key"), "id")
     confirmed = linked_within(clusters, with_sets, _sets_link(percent), CELL)
-    links = confirmed.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a < b"))
+    links = confirmed.union(copies.where("a < b"))
     found = components(links)
     return (
         sign.select("doc_id", "n_shingles")
