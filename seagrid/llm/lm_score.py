@@ -1,12 +1,16 @@
 """Cross-entropy difference of two matched language models.
 
 The target model is counted on the documents of a chosen set, the background
-model on all documents. Both are bigram models over one vocabulary, the most
-frequent words of the whole corpus (all others are one unknown word), with the
-same interpolation, and the background counts are scaled to the target's number
-of tokens, so smoothing weighs alike. A document's score is the mean over its
-tokens of the difference of the two losses: the higher, the likelier the
-document is under the target.
+model on all documents. Both are bigram models over one vocabulary, all words of
+the whole corpus (a word outside it is unknown), with the same interpolation, and
+the background counts are scaled to the target's number of tokens, so smoothing
+weighs alike. A document's score is the mean over its tokens of the difference
+of the two losses: the higher, the likelier the document is under the target.
+
+Pairs of two frequent words are counted in one square, which every task gets.
+All other tokens are dealt out with their history, those of a rare word by the
+word and those of a frequent word by both, so a task has all there is to count
+of its words and pairs. It sums their losses per document.
 """
 
 from __future__ import annotations
@@ -16,14 +20,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm import text as tx
+from seagrid.llm.store import dropped, edges_of, whole_groups, written
 
 U = np.uint64
-#: Words of the vocabulary. The models are (WORDS + 2) * (WORDS + 1) numbers at any corpus size.
+#: Frequent words, whose pairs are counted in one square.
 WORDS = 1024
+#: Tokens that a task holds together, on average, and slices in which it counts them.
+SHARE = 1 << 21
+SLICES = 8
 #: Weight, in tokens, of the lower order in a smoothed estimate.
 BACK = 16.0
 
@@ -37,6 +46,20 @@ class Models(NamedTuple):
     background: np.ndarray
 
 
+class Corpus(NamedTuple):
+    """Models over all words: the counted rows (uid, doc_id, text, flags) of `docs`,
+    sorted keys of the frequent words, their counts by history and word in the target
+    and the background as in Models, the number of words and one unknown, and what the
+    counts of the two models are multiplied with."""
+
+    docs: DataFrame
+    rows: DataFrame
+    keys: np.ndarray
+    counts: np.ndarray
+    classes: int
+    scales: tuple[float, float]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -59,19 +82,34 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
-def vocabulary(docs: DataFrame, size: int = WORDS) -> np.ndarray:
-    """Keys of the `size` most frequent words of all documents, sorted."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, n) of all words of all documents."""
     counts = docs.select(F.col("text").cast("string")).mapInArrow(_count_words, "key long, n long")
-    top = counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size)
+    return counts.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame, size: int) -> np.ndarray:
+    """Keys of the `size` most frequent words, sorted."""
+    top = counts.orderBy(F.desc("n"), "key").limit(size)
     return np.sort(np.array([r["key"] for r in top.collect()], np.int64).view(U))
 
 
 def cells(keys: np.ndarray, block: tx.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every word: its row, the cell of history and word in the models, and the word's index."""
     found = tx.words(block)
-    own = tx.word_keys(block.data, found)
+    return _cells(keys, found, tx.word_keys(block.data, found))
+
+
+def _known(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where each word is in `keys`, or len(keys)."""
+    if not len(keys):
+        return np.zeros(len(own), int)
     at = np.searchsorted(keys, own)
-    word = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own), at, len(keys)) if len(keys) else np.zeros(len(own), int)
+    return np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own), at, len(keys))
+
+
+def _cells(keys: np.ndarray, found: tx.Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    word = _known(keys, own)
     history = np.append(np.int64(0), word[:-1])[:len(word)]
     first = np.ones(len(word), bool)
     first[1:] = found.row[1:] != found.row[:-1]
@@ -104,23 +142,204 @@ def losses(counts: np.ndarray, scale: float) -> np.ndarray:
     return -np.log((n + BACK * lower) / (n.sum(1, keepdims=True) + BACK))
 
 
-def fit(docs: DataFrame, target: DataFrame, size: int = WORDS) -> Models:
-    """Both models, counted over all of `docs`; `target` has the doc_id of the
-    documents wanted. The driver gets one number per history and word."""
-    keys = vocabulary(docs, size)
+def _with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     wanted = target.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
     wanted = wanted.withColumn("wanted", F.lit(True)).hint("shuffle_hash")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(wanted, "_id", "left")
-    rows = rows.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counted = rows.mapInArrow(_count_pairs(keys), "cell long, target long, background long")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string"))
+    return rows.join(wanted, "_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+
+
+def _square(rows: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """Counts by history and word, over the documents wanted and over all."""
+    counted = rows.select("text", "wanted").mapInArrow(_count_pairs(keys), "cell long, target long, background long")
     got = counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
     n = np.zeros((2, (len(keys) + 2) * (len(keys) + 1)))
     for k, name in enumerate(("target", "background")):
         n[k, got["cell"].to_numpy()] = got[name].to_numpy()
-    n = n.reshape(2, len(keys) + 2, len(keys) + 1)
+    return n.reshape(2, len(keys) + 2, len(keys) + 1)
+
+
+def fit(docs: DataFrame, target: DataFrame, size: int | None = None) -> Models | Corpus:
+    """Both models, counted over all of `docs`; `target` has the doc_id of the
+    documents wanted. Every word is one of the vocabulary, and the driver gets the
+    counts of frequent pairs only. With `size` the vocabulary is that many words,
+    all others are one unknown word, and the driver gets the whole models."""
+    if size is not None:
+        keys = vocabulary(word_counts(docs), size)
+        n = _square(_with_target(docs, target), keys)
+    else:
+        counts = written(word_counts(docs), "words")
+        keys = vocabulary(counts, WORDS)
+        rows = _with_target(docs, target)
+        rows = written(rows.select("uid", F.col("_id").alias("doc_id"), "text", "wanted"), "texts")
+        n = _square(rows, keys)
     tokens = n.sum((1, 2))
     scale = tokens[0] / tokens[1] if tokens[1] else 0.0
-    return Models(keys, losses(n[0], 1.0), losses(n[1], scale))
+    if size is not None:
+        return Models(keys, losses(n[0], 1.0), losses(n[1], scale))
+    rows = rows.select("uid", "doc_id", "text", F.when(F.col("wanted"), 3).otherwise(2).alias("flags"))
+    classes = counts.count() + 1
+    dropped(counts)
+    return Corpus(docs, rows, keys, n, classes, (1.0, scale))
+
+
+class _Terms:
+    """The parts of both losses: a token's loss is that of its pair under its word's
+    lower order, and the weight of its history."""
+
+    def __init__(self, corpus: Corpus):
+        self.scales, self.classes = corpus.scales, corpus.classes
+        self.tokens = corpus.counts.sum((1, 2))
+        self.words, self.histories = corpus.counts.sum(1), corpus.counts.sum(2)
+        self.square = [
+            (self.pair(m, corpus.counts[m], self.words[m]) + self.history(m, self.histories[m])[:, None]).ravel() for m in (0, 1)
+        ]
+
+    def pair(self, model: int, n: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+        scale = self.scales[model]
+        lower = (of_word * scale + BACK / self.classes) / (self.tokens[model] * scale + BACK)
+        return -np.log(n * scale + BACK * lower)
+
+    def history(self, model: int, n: np.ndarray) -> np.ndarray:
+        return np.log(n * self.scales[model] + BACK)
+
+
+def _binary(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Slices of `values` between the positions `cut`."""
+    ends = (cut * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind) -> np.ndarray:
+    """What `_binary` made slices of."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+SENT = "part long, docs binary, runs binary, words binary, histories binary, last binary"
+#: A document's uid is sent with three bits: counted in the target, counted, to be scored.
+BITS = 3
+
+
+def _spread(corpus: Corpus, terms: _Terms, parts: int):
+    """The tokens of every block by part: documents, how many tokens of each, and of
+    every token its word, its history and whether it is the last of its document.
+    What a block knows by itself goes along as one row without `last`: documents,
+    their numbers of tokens, and the two sums of losses."""
+    keys, names = corpus.keys, [c.split()[0] for c in SENT.split(", ")]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = tx.plain(batch, "uid") << BITS | tx.plain(batch, "flags")
+            for block in tx.blocks(batch):
+                rows = len(block.starts)
+                found = tx.words(block)
+                own = tx.word_keys(block.data, found)
+                row, cell, word = _cells(keys, found, own)
+                history = cell // (len(keys) + 1)
+                docs = uid[block.first:block.first + rows]
+                n = np.bincount(row, minlength=rows).astype(np.uint32)
+                square = (word < len(keys)) & (history != len(keys))
+                known = ~square & (history != len(keys))
+                sums = [
+                    np.bincount(row[square], terms.square[m][cell[square]], rows)
+                    + np.bincount(row[known], terms.history(m, terms.histories[m][history[known]]), rows) for m in (0, 1)
+                ]
+                whole = np.array([0, rows])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(docs[0] >> BITS) % parts]), _binary(docs, whole), _binary(n, whole),
+                    _binary(sums[0], whole), _binary(sums[1], whole), pa.nulls(1, pa.binary()),
+                ], names)
+                at = np.flatnonzero(~square)
+                if not len(at):
+                    continue
+                edge = np.append(row[1:] != row[:-1], True)
+                before = np.append(U(0), own[:-1])
+                before[np.append(True, edge[:-1])] = 0  # the first of a document
+                spot = np.where(word == len(keys), own, tx.mixed(own + tx.mixed(before)))
+                part = (tx.mixed(spot[at]) % U(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+                order = np.argsort(part, kind="stable")
+                at, part = at[order], part[order]
+                cut, run = edges_of(part), edges_of(part, row[at])
+                of_run = np.searchsorted(run, cut)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part[cut[:-1]].astype(np.int64)), _binary(docs[row[at[run[:-1]]]], of_run),
+                    _binary(np.diff(run).astype(np.uint32), of_run), _binary(own[at], cut), _binary(before[at], cut),
+                    _binary(edge[at].view(np.uint8), cut),
+                ], names)
+    return spread
+
+
+def _gather(corpus: Corpus, terms: _Terms):
+    """Losses by document of the tokens of a part; rows sorted by part."""
+    keys = corpus.keys
+
+    def sums(docs: np.ndarray, n: np.ndarray, loss: list[np.ndarray]) -> pa.RecordBatch:
+        asked = docs >> 2 & 1 == 1
+        arrays = [docs >> BITS, n.astype(np.int64), *loss]
+        return pa.RecordBatch.from_arrays([pa.array(a[asked]) for a in arrays], ["uid", "n", "target", "background"])
+
+    def add(docs, word, before, last, run, loss: list[np.ndarray]) -> None:
+        """Add the losses of all tokens of some words, of which `run` is the document."""
+        order = np.lexsort((before, word))
+        word, before, last, run = word[order], before[order], last[order], run[order]
+        pair, group = edges_of(word, before), edges_of(word)
+        of_pair, of_group = (np.repeat(np.arange(len(c) - 1), np.diff(c)) for c in (pair, group))
+        index = _known(keys, word[group[:-1]])
+        rare = index == len(keys)
+        for m in (0, 1):
+            counted = (docs[run] >> m & 1).astype(np.int64)
+            n = np.where(rare, np.add.reduceat(counted, group[:-1]), terms.words[m][index])
+            each = terms.pair(m, np.add.reduceat(counted, pair[:-1]), n[of_group[pair[:-1]]])[of_pair]
+            weight = terms.history(m, np.add.reduceat(counted * ~last, group[:-1]))[of_group]
+            loss[m] += np.bincount(run, each + np.where(rare[of_group] & ~last, weight, 0.0), len(docs))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["part"]):
+            for mine in (rows.take(np.flatnonzero(rows["part"].to_numpy() == p)) for p in np.unique(rows["part"].to_numpy())):
+                ready = mine["last"].is_null()
+                own = mine.filter(ready)
+                if own.num_rows:
+                    kinds = {"docs": np.int64, "runs": np.uint32, "words": float, "histories": float}
+                    docs, n, *loss = (_values(own[c], k) for c, k in kinds.items())
+                    yield sums(docs, n, loss)
+                sent = mine.filter(pc.invert(ready))
+                if not sent.num_rows:
+                    continue
+                kinds = {"docs": np.int64, "runs": np.uint32, "words": U, "histories": U, "last": bool}
+                docs, runs, word, before, last = (_values(sent[c], k) for c, k in kinds.items())
+                run = np.repeat(np.arange(len(docs), dtype=np.int32), runs)
+                loss = [np.zeros(len(docs)), np.zeros(len(docs))]
+                cut = (word >> U(32)).astype(np.uint32) % SLICES
+                for k in range(SLICES):
+                    at = np.flatnonzero(cut == k)
+                    if len(at):
+                        add(docs, word[at], before[at], last[at], run[at], loss)
+                yield sums(docs, np.zeros(len(docs)), loss)
+    return gather
+
+
+def _scored_by_corpus(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    rows = corpus.rows
+    if docs is corpus.docs:
+        rows = rows.withColumn("flags", F.col("flags") + 4)
+    else:
+        new = docs.select(
+            (-1 - F.monotonically_increasing_id()).alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(4).alias("flags"))
+        rows = rows.unionByName(written(new, "texts"))
+    terms = _Terms(corpus)
+    parts = max(12, -int(-terms.tokens[1] // SHARE))
+    sent = rows.select("uid", "text", "flags").mapInArrow(_spread(corpus, terms, parts), SENT)
+    dealt = sent.repartition(-(-parts // 2), "part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(_gather(corpus, terms), "uid long, n long, target double, background double")
+    found = found.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("n", "target", "background")))
+    own = rows.where("flags >= 4").select("uid", "doc_id").join(found, "uid", "left")
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    loss = {c: F.coalesce(c, F.lit(0.0)) / F.greatest(n, F.lit(1)) for c in ("target", "background")}
+    return own.select(
+        "doc_id", n.alias("n_tokens"), loss["target"].alias("target_loss"), loss["background"].alias("background_loss"),
+        (loss["background"] - loss["target"]).alias("score"),
+    )
 
 
 def _score(models: Models):
@@ -139,9 +358,12 @@ def _score(models: Models):
     return score
 
 
-def scored(docs: DataFrame, models: Models) -> DataFrame:
+def scored(docs: DataFrame, models: Models | Corpus) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of
     `docs`. Null and empty texts have no tokens, losses 0 and score 0. Rows are
-    scored one by one, with or without a doc_id."""
+    scored one by one, with or without a doc_id. Models over all words are counted
+    on the way; the documents that `fit` was given are read once for both."""
+    if isinstance(models, Corpus):
+        return _scored_by_corpus(docs, models)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_score(models), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -147,6 +147,26 @@ def test_language_models_equal_plain_ones(spark):
             assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [a, b, b - a])
 
 
+def test_language_models_know_every_word(spark, monkeypatch):
+    """However few words are frequent and however the tokens are dealt out."""
+    rows = made(n=80)
+    assert len({w for _, t in rows for w in t.split()}) > 1500
+    wanted = {i for i, _ in rows if i % 2}
+    docs = documents(spark, rows)
+    target = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    want = plain_losses(rows, wanted, 100000)
+    for words, share in ((lm_score.WORDS, lm_score.SHARE), (5, 300), (0, 1 << 21)):
+        monkeypatch.setattr(lm_score, "WORDS", words)
+        monkeypatch.setattr(lm_score, "SHARE", share)
+        models = lm_score.fit(docs, target)
+        for other in (docs, documents(spark, rows, 2)):
+            got = lm_score.scored(other, models).collect()
+            assert len(got) == len(rows)
+            for r in got:
+                n, a, b = want[r.doc_id]
+                assert r.n_tokens == n and np.allclose([r.target_loss, r.background_loss, r.score], [a, b, b - a])
+
+
 def test_language_models_are_distributions():
     n = np.random.default_rng(1).integers(0, 5, (7, 6)).astype(float)
     n[:, 3] = 0
