@@ -37,12 +37,17 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, encoded piece by piece."""
+    """Little-endian unsigned 32-bit ids of texts, encoded piece by piece.
+
+    A text that holds an added token of the file, which the library matches before
+    it splits anything, is left to the library as a whole."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(file).model
+        self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(_byte_letters()))
         self.memo = Memo(self._piece)
 
@@ -51,6 +56,8 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         memo = self.memo
         return b"".join([memo[p] for p in pieces(text)])
 

@@ -104,6 +104,16 @@ def test_exact_complements_leave_no_gap():
     assert sum(n for _, n in made_) == 10 and sum(n for s, n in made_ if sum(s) == 100) == 9
 
 
+def test_added_tokens_and_rare_code_points_have_the_librarys_ids():
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(file), packing.Encoder(file)
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"{mark}{mark}\n{mark} x's", f"中{mark[:-1]} {mark}é", mark[1:], ""]
+    texts += ["a %s1 %sb  %s!" % ((chr(c),) * 3) for c in range(0x80, 0x20000, 37) if not 0xD800 <= c < 0xE000]
+    for text in texts:
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, got, size):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
