@@ -30,8 +30,8 @@ from seagrid.llm.store import edges_of, plainly_named, whole_groups, written
 
 U = np.uint64
 SEED = 8
-#: Bytes kept of a window's fingerprint; the anchor's 64 bits come on top.
-PRINT = 5
+#: Bytes of a window's fingerprint; the anchor's 64 bits come on top.
+PRINT = 8
 
 
 def anchors(keys: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -106,9 +106,8 @@ def _seed(length: int):
                 doc, start, place, window, anchor = doc[new], start[new], place[new], window[new], anchor[new]
                 cut = edges_of(doc, place, start - np.arange(len(start)))
                 begin = cut[:-1]
-                raw = np.ascontiguousarray(window.view(np.uint8).reshape(-1, 8)[:, :PRINT])
                 prints = pa.Array.from_buffers(
-                    pa.binary(), len(begin), [None, pa.py_buffer((cut * PRINT).astype(np.int32)), pa.py_buffer(raw)])
+                    pa.binary(), len(begin), [None, pa.py_buffer((cut * PRINT).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(window))])
                 some = tx.mixed(gone[0].astype(U) + tx.mixed(gone[1].astype(U)))  # deals them out
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([anchor[begin], some]).view(np.int64)),
@@ -136,14 +135,12 @@ def _extend(length: int):
             _, offsets, raw = taken.buffers()
             ends = np.frombuffer(offsets, np.int32, len(joined) + 1, taken.offset * 4).astype(np.int64)
             n = int(ends[-1] - ends[0]) // PRINT
-            window = np.zeros((n, 8), np.uint8)
-            if n:
-                window[:, :PRINT] = np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]].reshape(n, PRINT)
+            window = np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]].copy().view(U) if n else np.zeros(0, U)
             count = np.diff(ends) // PRINT
             begin = np.cumsum(count) - count
             of = np.repeat(joined, count)
             start = place[of] + first[of] + np.arange(n) - np.repeat(begin, count)
-            again = _repeats(anchor[of], window.view(U).ravel(), doc[of], start)
+            again = _repeats(anchor[of], window, doc[of], start)
             found = _stretches(doc[of][again], start[again], length)
             for part in ([doc[ready], place[ready], first[ready]], found):
                 yield pa.RecordBatch.from_arrays(

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,20 @@ def test_repeated_passages_equal_brute_force(spark, length):
         assert texts[i]._kept == (" ".join(want[i][2]) if want[i][1] else t) and texts[i].source == "s"
 
 
+def test_windows_are_told_apart_by_all_bits_of_their_keys():
+    """Windows of one anchor whose keys differ in any one byte are not equal."""
+    from seagrid.llm import substring_dedup
+
+    for byte in range(8):
+        prints = [bytes(8), bytes(k == byte for k in range(8))]
+        rows = [(5, doc, 0, 0, p) for doc, p in ((1, prints[0]), (2, prints[1]), (3, prints[0]))]
+        names = ["anchor", "doc_id", "place", "first", "prints"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        got = [r for b in substring_dedup._extend(20)(iter([batch])) for r in b.to_pylist()]
+        assert got == [{"doc_id": 3, "start": 0, "end": 20}]
+
+
 def test_repeated_passages_of_odd_rows(spark):
     got = without_repeats(odd(spark), 20).collect()
     assert len(got) == 16
