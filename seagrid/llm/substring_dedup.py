@@ -32,6 +32,10 @@ U = np.uint64
 SEED = 8
 #: Bytes of a window's fingerprint; the anchor's 64 bits come on top.
 PRINT = 8
+#: An anchor with more occurrences than this is dealt out by window. Occurrences
+#: are counted in BUCKETS cells, so an anchor may be taken for a larger one.
+LIMIT = 1 << 14
+BUCKETS = 1 << 18
 
 
 def anchors(keys: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -77,14 +81,22 @@ def _stretches(doc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarr
 SEEDS = "anchor long, doc_id long, place int, first int, prints binary"
 
 
-def _seed(length: int):
+def _bucket(anchor: np.ndarray) -> np.ndarray:
+    return (tx.mixed(anchor) % U(BUCKETS)).astype(np.int64)
+
+
+def _seed(length: int, large: np.ndarray | None = None):
     """Anchors of all documents, each with the fingerprints of consecutive windows;
-    `first` is where the first of these starts, relative to the anchor.
+    `first` is where the first of these starts, relative to the anchor. Windows of
+    an anchor whose bucket is among the `large` go alone, each under a key of
+    anchor and window, so that only equal ones meet. Without `large`, the number
+    of such rows per bucket of the anchor.
 
     Windows that repeat an earlier one of the same block of documents are found
     at once and leave as a stretch (prints null, words [place, first)): however
     hot a passage is, a block sends each of its windows once."""
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             docs = tx.plain(batch, "doc_id")
             for block in tx.blocks(batch, size=1 << 21):
@@ -104,7 +116,13 @@ def _seed(length: int):
                 gone = _stretches(doc[again], start[again], length)
                 new = ~again
                 doc, start, place, window, anchor = doc[new], start[new], place[new], window[new], anchor[new]
-                cut = edges_of(doc, place, start - np.arange(len(start)))
+                if large is not None:
+                    alone = np.isin(_bucket(anchor), large)
+                    anchor = np.where(alone, tx.mixed(anchor + tx.mixed(window)), anchor)
+                cut = edges_of(doc, place, start - np.arange(len(start)), anchor)
+                if large is None:
+                    total += np.bincount(_bucket(anchor[cut[:-1]]), minlength=BUCKETS)
+                    continue
                 begin = cut[:-1]
                 prints = pa.Array.from_buffers(
                     pa.binary(), len(begin), [None, pa.py_buffer((cut * PRINT).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(window))])
@@ -116,6 +134,9 @@ def _seed(length: int):
                     pa.array(np.concatenate([start[begin] - place[begin], gone[2]]).astype(np.int32)),
                     pa.concat_arrays([prints, pa.nulls(len(some), pa.binary())]),
                 ], ["anchor", "doc_id", "place", "first", "prints"])
+        if large is None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
     return seed
 
 
@@ -153,7 +174,9 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, spans): all stretches of words [start, end) of a document whose
     windows start earlier elsewhere. Stretches may touch or overlap."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    seeds = texts.mapInArrow(_seed(length), SEEDS)
+    counts = texts.mapInArrow(_seed(length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    large = np.array([r["bucket"] for r in counts.where(F.col("n") > LIMIT).select("bucket").collect()], np.int64)
+    seeds = texts.mapInArrow(_seed(length, large), SEEDS)
     dealt = seeds.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")
     found = dealt.mapInArrow(_extend(length), "doc_id long, start int, end int")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

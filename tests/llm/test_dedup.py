@@ -147,6 +147,26 @@ def test_windows_are_told_apart_by_all_bits_of_their_keys():
         assert got == [{"doc_id": 3, "start": 0, "end": 20}]
 
 
+@pytest.mark.parametrize("limit", [0, 3])
+def test_large_anchors_are_dealt_out_by_window(spark, monkeypatch, limit):
+    """No task gets all occurrences of an anchor, and the result stays."""
+    from seagrid.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "LIMIT", limit)
+    test_repeated_passages_equal_brute_force(spark, 20)
+    line = [f"line{k}" for k in range(19)]  # shorter than a window: no window repeats
+    rows = [(i, " ".join([f"a{i}w{k}" for k in range(20)] + line + [f"b{i}w{k}" for k in range(20)])) for i in range(50)]
+    sizes = []
+
+    texts = documents(spark, rows).select("doc_id", "text")
+    counts = texts.mapInArrow(substring_dedup._seed(20), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    large = np.array([r.bucket for r in counts.where(F.col("n") > 3).collect()], np.int64)
+    for some in (np.zeros(0, np.int64), large):
+        sent = texts.mapInArrow(substring_dedup._seed(20, some), substring_dedup.SEEDS)
+        sizes.append(max(r["count"] for r in sent.groupBy("anchor").count().collect()))
+    assert sizes[0] > 3 and sizes[1] <= 3
+
+
 def test_repeated_passages_of_odd_rows(spark):
     got = without_repeats(odd(spark), 20).collect()
     assert len(got) == 16
