@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seagrid.llm import bpe_tree, embedding_dedup, language_mix, lm_score, packing, quality_net, rule_ledger, secret_scan
+from seagrid.llm import bpe_tree, centroids, embedding_dedup, filter_audit, language_mix, lm_score, packing, quality_net, rule_ledger, secret_scan
+from seagrid.llm import url_filter
 from seagrid.llm.minhash import near_duplicates
 from seagrid.llm.store import table
 from seagrid.llm.substring_dedup import without_repeats
 
 QUERIES = {}
-ORACLES = {"op9_rule_ledger": rule_ledger.ORACLE}
+ORACLES = {
+    "op9_rule_ledger": rule_ledger.ORACLE,
+    "op12_centroids": centroids.oracle(),
+    "op13_filter_audit": filter_audit.ORACLE,
+}
 
 
 def query(f):
@@ -88,3 +93,20 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    model, hosts = url_filter.fit(pages)
+    return url_filter.judged(pages, model, hosts=hosts)
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
