@@ -927,3 +927,18 @@ SELECT {KEY}, printf('c_%04d_%04d', lat_idx, lon_idx) AS cell_id, {r(LAT)} AS la
 FROM grad g JOIN (SELECT {KEY}, chl_lag7, chl_lag14 FROM lagged) USING ({KEY}) JOIN ages USING (region, date)
 LEFT JOIN (SELECT * FROM near WHERE rn = 1) n USING ({KEY}) LEFT JOIN ecells USING ({KEY})
 LEFT JOIN seabed USING (region, lat_idx, lon_idx) WHERE g.sst IS NOT NULL""")
+
+# ------------------------------------------------------- streams with late readings
+
+DEALT = """dealt AS (SELECT CAST(ts AS DATE) AS date, user_id, value, value - 250 AS u, (user_id + day(ts)) % 5 AS part FROM events)"""
+add("stream_late_readings", with_(DEALT) + f"""
+SELECT date, user_id, {r('avg(value)')} AS value_mean, {r('max(value)')} AS value_max, {r('avg(u)')} AS u_mean, {r('max(u)')} AS u_max
+FROM dealt GROUP BY ALL""")
+add("stream_lateness", with_(
+    DEALT, "newest AS (SELECT max(date) FILTER (part < 3) AS one, max(date) FILTER (part < 4) AS two FROM dealt)",
+) + """SELECT date, count(*) AS n_readings,
+  count(*) FILTER ((part = 3 AND date < one - 2) OR (part = 4 AND date < two - 2)) AS n_late FROM dealt, newest GROUP BY date""")
+add("stream_safety", with_(
+    DEALT, """days AS (SELECT date, user_id, CASE WHEN day(date) % 7 <> 0 THEN max(value) / 250 END AS wave, max(u) / 8 AS wind
+  FROM dealt GROUP BY date, user_id)""",
+) + f"SELECT date, user_id, {safety('wave', 'wind')} AS safety FROM days")

@@ -23,6 +23,7 @@ from seagrid.sources import (
     write_daily, write_features,
 )
 from seagrid.sources.readers import surface
+from seagrid import streaming
 from seagrid.streaming import daily_updates, read_merged, run_daily
 
 QUERIES: dict = {}
@@ -1117,3 +1118,38 @@ def stream_daily_stats(spark, sf):
     ).awaitTermination()
     daily = read_merged(spark.read.parquet(f"{base}/out"), ["date", "user_id"])
     return rounded(daily, "value_mean", "value_max")
+
+
+def _late_log(spark, sf) -> streaming.DailyLog:
+    """The event stream in three micro-batches, merged in between. The second and
+    the third hold readings of all days, most of them days behind the first."""
+    base = scratch(spark, "late")
+    log = streaming.DailyLog(f"{base}/log", ("value", "u"), ("user_id",))
+    readings = v.readings(spark, sf).withColumn("part", F.expr("(user_id + day(time)) % 5"))
+    for parts in ((0, 1, 2), (3,), (4,)):
+        readings.where(F.col("part").isin(*parts)).drop("part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(readings.drop("part").schema).parquet(f"{base}/in")
+        streaming.run_log(stream, log, f"{base}/state").awaitTermination()
+        streaming.compact(spark, log, 2)
+    return log
+
+
+@query
+def stream_late_readings(spark, sf):
+    """Days and pixels from a stream with late readings, which all count."""
+    log = _late_log(spark, sf)
+    return rounded(streaming.daily(spark, log), "value_mean", "value_max", "u_mean", "u_max")
+
+
+@query
+def stream_lateness(spark, sf):
+    """Readings and late readings of each day."""
+    return streaming.lateness(spark, _late_log(spark, sf))
+
+
+@query
+def stream_safety(spark, sf):
+    """Sea state of the days of a stream: values as waves, components as wind."""
+    daily = streaming.daily(spark, _late_log(spark, sf))
+    waves = daily.withColumns({"wave": F.when(F.day("date") % 7 != 0, F.col("value_max") / 250), "wind": F.col("u_max") / 8})
+    return streaming.safety_updates(waves, "wave", "wind").select("date", "user_id", "safety")

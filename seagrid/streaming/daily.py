@@ -19,7 +19,8 @@ def daily_updates(
 
     State is one row per open day and pixel and is dropped once the watermark
     has passed the day. Update mode emits a day as soon as it has readings;
-    append mode would hold it back until it closes.
+    append mode would hold it back until it closes. Readings later than the
+    watermark are dropped; `seagrid.streaming.log` keeps them.
     """
     aggs = []
     for v in variables:
