@@ -942,3 +942,68 @@ add("stream_safety", with_(
     DEALT, """days AS (SELECT date, user_id, CASE WHEN day(date) % 7 <> 0 THEN max(value) / 250 END AS wave, max(u) / 8 AS wind
   FROM dealt GROUP BY date, user_id)""",
 ) + f"SELECT date, user_id, {safety('wave', 'wind')} AS safety FROM days")
+
+# ---------------------------------------------- trees of one split, and isotonic fits
+
+
+def stumps(rounds: int = 4, step: float = 0.5) -> str:
+    """CTEs kept_trees and kept_scores: boosting by hand. f is a row's margin so far."""
+    parts = [SEA, """stump_rows AS (SELECT month(date) AS m, CAST(floor(sst) AS BIGINT) AS b, fished AS y, count(*) AS n,
+    CASE WHEN year(date) < 1999 THEN 'core' WHEN year(date) = 1999 THEN 'held' ELSE 'test' END AS role FROM sea GROUP BY ALL)""",
+        """class AS (SELECT greatest(1.0, CAST(sum(n) FILTER (y = 0) AS DOUBLE) / sum(n) FILTER (y = 1)) AS w FROM stump_rows WHERE role = 'core')""",
+        """f0 AS (SELECT s.*, CAST(0 AS DOUBLE) AS f, n * CASE WHEN y = 1 THEN w ELSE 1 END AS w, 2 * y - 1 AS t FROM stump_rows s, class)"""]
+    for k in range(1, rounds + 1):
+        target = "CAST(t AS DOUBLE)" if k == 1 else "4 * t / (1 + exp(2 * t * f))"
+        parts += [f"""r{k} AS (SELECT *, {target} AS r FROM f{k - 1})""",
+            f"""s{k} AS (SELECT feature, x, sum(n) AS n, sum(w) AS w, sum(w * r) AS s FROM (
+    SELECT 0 AS feature, m AS x, n, w, r FROM r{k} WHERE role = 'core' UNION ALL SELECT 1, b, n, w, r FROM r{k} WHERE role = 'core')
+  GROUP BY ALL)""",
+            f"""c{k} AS (SELECT feature, x, lead(x) OVER p AS next, sum(n) OVER p AS n, sum(w) OVER p AS w, sum(s) OVER p AS s,
+    sum(n) OVER q AS all_n, sum(w) OVER q AS all_w, sum(s) OVER q AS all_s
+  FROM s{k} WINDOW p AS (PARTITION BY feature ORDER BY x), q AS (PARTITION BY feature))""",
+            f"""t{k} AS (SELECT {k} AS round, feature, CAST(x + next AS DOUBLE) / 2 AS threshold, s / w AS left_value,
+    (all_s - s) / (all_w - w) AS right_value, s * s / w + (all_s - s) * (all_s - s) / (all_w - w) - all_s * all_s / all_w AS gain
+  FROM c{k} WHERE next IS NOT NULL AND n >= 20 AND all_n - n >= 20 ORDER BY gain DESC, feature, x LIMIT 1)""",
+            f"""f{k} AS (SELECT r.* EXCLUDE (r, f), f + {1.0 if k == 1 else step} *
+    CASE WHEN CASE feature WHEN 0 THEN m ELSE b END <= threshold THEN left_value ELSE right_value END AS f FROM r{k} r, t{k})""",
+            f"""a{k} AS (SELECT {k} AS round, sum(pos * cpos / cn) / sum(pos) AS ap FROM (
+    SELECT pos, sum(pos) OVER p AS cpos, sum(n) OVER p AS cn FROM (
+      SELECT f, CAST(sum(n * y) AS DOUBLE) AS pos, sum(n) AS n FROM f{k} WHERE role = 'held' GROUP BY f) WINDOW p AS (ORDER BY f DESC)))"""]
+    every = range(1, rounds + 1)
+    parts += [
+        "ranked_rounds AS (" + " UNION ALL ".join(f"SELECT * FROM a{k}" for k in every) + ")",
+        "kept AS (SELECT min(round) AS kept FROM ranked_rounds WHERE ap >= (SELECT max(ap) FROM ranked_rounds) - 1e-12)",
+        "kept_trees AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in every) + "), kept WHERE round <= kept)",
+        "kept_scores AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k} AS round, m, b, y, n, role, f FROM f{k}" for k in every)
+        + "), kept WHERE round = kept)",
+    ]
+    return ",\n".join(parts)
+
+
+def isotonic(source: str) -> str:
+    """CTE fitted (x, fitted): greatest over all beginnings of the least over all ends of the mean between."""
+    return f"""points AS (SELECT row_number() OVER (ORDER BY x) AS i, x, sum(s) OVER (ORDER BY x) AS s, sum(w) OVER (ORDER BY x) AS w FROM {source}),
+spans AS (SELECT a.i AS a, b.i AS b, (b.s - coalesce(z.s, 0)) / (b.w - coalesce(z.w, 0)) AS mean
+  FROM points a JOIN points b ON b.i >= a.i LEFT JOIN points z ON z.i = a.i - 1),
+least_ends AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM spans),
+fitted AS (SELECT x, max(least) AS fitted FROM least_ends JOIN points USING (i) GROUP BY x)"""
+
+
+add("boosted_stumps", with_(stumps()) + f"""
+SELECT CAST(round AS INTEGER) AS round, CASE round WHEN 1 THEN 1.0 ELSE 0.5 END AS tree_weight,
+  CASE feature WHEN 0 THEN 'month_no' ELSE 'warmth' END AS feature, threshold, {r('gain')} AS gain,
+  {r('left_value')} AS left_value, {r('right_value')} AS right_value FROM kept_trees""")
+add("stump_importance", with_(
+    stumps(), "gains AS (SELECT feature, avg(gain) AS gain FROM kept_trees GROUP BY feature)",
+) + f"""SELECT name AS feature, {r('coalesce(gain, 0) / (SELECT sum(gain) FROM gains)', 4)} AS gain_share
+FROM (VALUES (0, 'month_no'), (1, 'warmth')) names(feature, name) LEFT JOIN gains USING (feature)""")
+add("calibrated_stumps", with_(
+    stumps(), "held_points AS (SELECT f AS x, CAST(sum(n * y) AS DOUBLE) AS s, CAST(sum(n) AS DOUBLE) AS w FROM kept_scores WHERE role = 'held' GROUP BY f)",
+    isotonic("held_points"),
+) + f"""SELECT CAST(m AS DOUBLE) AS month_no, CAST(b AS DOUBLE) AS warmth, {r('fitted')} AS probability, CAST(sum(n) AS BIGINT) AS n
+FROM kept_scores LEFT JOIN fitted ON f = x WHERE role = 'test' GROUP BY m, b, fitted""")
+add("isotonic_fit", with_(
+    CELL_DAY, grad(), SCORED,
+    "score_points AS (SELECT score AS x, CAST(sum(fished) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS w FROM scored WHERE score IS NOT NULL GROUP BY score)",
+    isotonic("score_points"),
+) + f"SELECT x AS score, CAST(w AS BIGINT) AS n, CAST(s AS BIGINT) AS positives, {r('fitted')} AS fitted FROM score_points JOIN fitted USING (x)")

@@ -24,6 +24,7 @@ from seagrid.sources import (
 )
 from seagrid.sources.readers import surface
 from seagrid import streaming
+from seagrid.operators import boosting
 from seagrid.streaming import daily_updates, read_merged, run_daily
 
 QUERIES: dict = {}
@@ -1102,6 +1103,59 @@ def box_transfer(spark, sf):
     return _followed(out.withColumn("beats_climatology", F.when(shown, F.col("beats_climatology")))).drop("beats_control")
 
 
+# Models small enough for SQL to follow: each tree splits once, on features with few values.
+
+STUMP_FEATURES = ("month_no", "warmth")
+
+
+def _stumps(spark, sf):
+    """Four rounds on all rows and features, cut by average precision, and calibrated."""
+    rows = op.drop_land(v.cell_day(spark, sf)).withColumns({
+        "month_no": F.month("date").cast("double"), "warmth": F.floor("sst").cast("double"),
+    })
+    train, test = op.temporal_split(settle(rows.select(*KEY, "fished", *STUMP_FEATURES)), 1999)
+    return op.fit_hotspot(train, STUMP_FEATURES, rounds=4, depth=1, step=0.5, sample=1.0, columns=1.0), test
+
+
+@query
+def boosted_stumps(spark, sf):
+    """The trees kept: what each splits on, what that gains, and both leaves."""
+    model, _ = _stumps(spark, sf)
+    nodes = boosting.node_table(boosting.stored(model.stages[-2]))
+
+    def of(node: int, value: str):
+        return F.max(F.when(F.col("node") == node, F.col(value)))
+
+    trees = nodes.groupBy((F.col("tree") + 1).alias("round"), "tree_weight").agg(
+        F.element_at(F.lit(list(STUMP_FEATURES)), of(0, "feature") + 1).alias("feature"), of(0, "threshold").alias("threshold"),
+        (of(0, "gain") * of(0, "rows")).alias("gain"), of(1, "value").alias("left_value"), of(2, "value").alias("right_value"),
+    )
+    return rounded(trees, "gain", "left_value", "right_value")
+
+
+@query
+def stump_importance(spark, sf):
+    """Share of each feature in the mean gains of its splits."""
+    return op.feature_importance(_stumps(spark, sf)[0], STUMP_FEATURES)
+
+
+@query
+def calibrated_stumps(spark, sf):
+    """Calibrated probabilities of the test rows, by what the trees see."""
+    model, test = _stumps(spark, sf)
+    scored = op.predict(model, test).groupBy(*STUMP_FEATURES, "probability").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(scored, "probability")
+
+
+@query
+def isotonic_fit(spark, sf):
+    """Share of fished rows as a non-decreasing function of the physics index."""
+    rows = settle(v.scored_day(spark, sf).select("score", "fished").where("score is not null"))
+    points = rows.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("fished").alias("positives"))
+    fitted = op.fit_isotonic(rows, "score", "fished").transform(points)
+    return rounded(fitted.withColumnRenamed("prediction", "fitted"), "fitted").select("score", "n", "positives", "fitted")
+
+
 # ------------------------------------------------------------------ streaming
 
 @query

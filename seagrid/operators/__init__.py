@@ -13,12 +13,13 @@ from seagrid.operators.evaluate import evaluate, evaluate_within, ranking_metric
 from seagrid.operators.fill import fill_nearest, filled, swap_filled
 from seagrid.operators.front import gradient, sst_gradient
 from seagrid.operators.index import pct_rank, physics_index
+from seagrid.operators.isotonic import fit_isotonic, isotonic_blocks
 from seagrid.operators.labels import (
     build_report, effort_cells, effort_report, effort_shares, effort_totals,
     flag_share, join_labels, label_match_report,
 )
 from seagrid.operators.models import (
-    compare_models, depth_only, feature_importance, feature_set, fit_hotspot,
+    compare_models, depth_only, evaluate_models, feature_importance, feature_set, fit_hotspot,
     predict, score_cells, spatial_transfer, validation_gate,
 )
 from seagrid.operators.planning import (

@@ -88,8 +88,9 @@ def evaluate(
     """Pooled metrics as reported: base rate, ROC-AUC, average precision, lift."""
     m = ranking_metrics(df, label, score, by, scores_per_range)
     ap, base = F.col("average_precision"), F.col("base_rate")
+    named = [] if "model" in by else [F.lit(name or score).alias("model")]
     return m.select(
-        F.lit(name or score).alias("model"), *by, "n",
+        *named, *by, "n",
         half_even(base, 5).alias("base_rate"),
         half_even(F.col("roc_auc"), 4).alias("roc_auc"),
         half_even(ap, 4).alias("pr_auc"),
@@ -99,22 +100,24 @@ def evaluate(
 
 def evaluate_within(
     df: DataFrame, label: str, score: str, name: str | None = None,
-    group: str = "month", scores_per_range: int = SCORES_PER_RANGE,
+    group: str = "month", scores_per_range: int = SCORES_PER_RANGE, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Average precision inside each group, then averaged over the groups.
+    """Average precision inside each group, then averaged over the groups, for
+    each combination of `by` on its own.
 
     Strips out skill that is only about knowing which groups are busy. Groups
     with one class are left out; each of the others counts the same.
     """
-    m = ranking_metrics(df, label, score, [group], scores_per_range).where(
+    m = ranking_metrics(df, label, score, [*by, group], scores_per_range).where(
         F.col("average_precision").isNotNull()
     )
     ap = F.col("average_precision")
-    return m.agg(
+    named = [] if "model" in by else [F.lit(name or score).alias("model")]
+    return m.groupBy(*by).agg(
         F.count(F.lit(1)).alias("months"),
         half_even(F.avg(ap), 4).alias("pr_auc_within_month"),
         half_even(F.avg(ap / F.col("base_rate")), 2).alias("lift_within_month"),
-    ).select(F.lit(name or score).alias("model"), "*")
+    ).select(*named, "*")
 
 
 def in_ranges(counts: DataFrame, per_range: int) -> DataFrame:

@@ -9,19 +9,20 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seagrid.functions import half_even, to_index
+from seagrid.functions import to_index
 from seagrid.grid import Grid
+from seagrid.operators import boosting
 from seagrid.operators.climatology import climatology
 from seagrid.operators.evaluate import evaluate, evaluate_within
 from seagrid.operators.index import physics_index
+from seagrid.operators.isotonic import fit_isotonic
 from seagrid.operators.sampling import calibration_split, exclude_box, holdout_band
 from seagrid.rules import RULES
-from seagrid.session import settle
+from seagrid.session import settle, small_table
 
 # The feature sets.
 FEATURES = [
@@ -40,8 +41,6 @@ TRANSFER_FEATURES = [
 # missing rows on their own side of a split.
 MISSING = -9999.0
 LABEL = "fished"
-# Boosting rounds without gain on the calibration year before the search ends.
-PATIENCE = 30
 
 
 def feature_set(name: str = "default") -> list[str]:
@@ -74,10 +73,10 @@ def _apply(stages: Sequence, df: DataFrame) -> DataFrame:
     return df
 
 
-def _boosting(**settings) -> GBTClassifier:
+def _boosting(sample: float = 0.8, **settings) -> GBTClassifier:
     trees = GBTClassifier(
         featuresCol="_features", labelCol="_y", predictionCol="_class",
-        subsamplingRate=0.8, **settings,
+        subsamplingRate=sample, **settings,
     )
     return trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
 
@@ -85,14 +84,16 @@ def _boosting(**settings) -> GBTClassifier:
 def fit_hotspot(
     train: DataFrame, features: Sequence[str] | None = None, seed: int = 42,
     label: str = LABEL, rounds: int = 400, depth: int = 6, step: float = 0.05,
+    sample: float = 0.8, columns: float = 0.8,
 ) -> PipelineModel:
     """Boosted trees on cell-day features, calibrated on the last training year.
 
     Positives are weighted by the class ratio (never below one). The calibration
-    year decides how many rounds to keep: the one with the least loss, looking
-    no further once PATIENCE rounds bring no gain. It also fits the isotonic
-    calibrator; the returned pipeline includes it, so what is validated is what
-    is served.
+    year decides how many rounds to keep: up to the one with the best average
+    precision, looking no further once 30 rounds bring no gain; the ensemble is
+    then cut there. It also fits the isotonic calibrator; the returned pipeline
+    includes it, so what is validated is what is served. Each tree sees a share
+    `sample` of the rows and each split a share `columns` of the features.
     """
     features = list(features or FEATURES)
     core, held = calibration_split(train, label)
@@ -108,37 +109,23 @@ def fit_hotspot(
         })
 
     stages = _vector_stages(features)
-    boosting = _boosting(
-        weightCol="_w", maxDepth=depth, stepSize=step, maxIter=rounds, seed=seed,
-        featureSubsetStrategy="0.8", minInstancesPerNode=20,
+    growing = _boosting(
+        sample, weightCol="_w", maxDepth=depth, stepSize=step, maxIter=rounds, seed=seed,
+        featureSubsetStrategy="all" if columns == 1 else str(columns), minInstancesPerNode=20,
     )
-    columns = ["_features", "_y", "_w"]
-    data = _apply(stages, weighted(core)).select(*columns)
-    trees = boosting.fit(data)
-    if held is not None:
-        raw = _apply(stages, weighted(held)).select(*columns)
-        kept = best_round(trees.evaluateEachIteration(raw))
-        if kept < rounds:
-            trees = boosting.setMaxIter(kept).fit(data)
-        raw = trees.transform(raw)
-    fitted = [*stages, trees]
-    if held is not None:
-        calibrator = IsotonicRegression(
-            featuresCol="_probability", featureIndex=1, labelCol="_y", predictionCol="_calibrated",
-        ).fit(raw)
-        fitted.append(calibrator)
-    return PipelineModel(fitted)
-
-
-def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
-    """How many rounds to keep, given the loss after each on data not fitted on."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
+    vectors = ["_features", "_y", "_w"]
+    trees = growing.fit(_apply(stages, weighted(core)).select(*vectors))
+    if held is None:
+        return PipelineModel([*stages, trees])
+    raw = _apply(stages, weighted(held)).select(*vectors)
+    path = boosting.stored(trees)
+    kept = boosting.best_round(boosting.precision_by_round(raw, boosting.read_trees(path), "_y"))
+    if kept < rounds:
+        trees = boosting.cut_to(path, kept)
+    scored = trees.transform(raw).select(vector_to_array("_probability")[1].alias("_p"), "_y")
+    calibrator = fit_isotonic(scored, "_p", "_y")
+    calibrator.setFeaturesCol("_probability").setFeatureIndex(1).setPredictionCol("_calibrated")
+    return PipelineModel([*stages, trees, calibrator])
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "probability") -> DataFrame:
@@ -162,34 +149,36 @@ def depth_only(
         raise ValueError("no depth column to learn from")
     stages = _vector_stages(present)
     labelled = train.withColumn("_y", F.col(label).cast("double"))
-    boosting = _boosting(maxDepth=4, stepSize=0.1, maxIter=rounds, seed=seed)
-    trees = boosting.fit(_apply(stages, labelled).select("_features", "_y"))
+    growing = _boosting(maxDepth=4, stepSize=0.1, maxIter=rounds, seed=seed)
+    trees = growing.fit(_apply(stages, labelled).select("_features", "_y"))
     return predict(PipelineModel([*stages, trees]), test, out)
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str] | None = None) -> DataFrame:
-    """Share of the total gain per feature, highest first."""
+    """Share of each feature in the mean gains of the splits on it, highest first."""
     trees = next(s for s in model.stages if isinstance(s, GBTClassificationModel))
-    features = list(features or FEATURES)
-    gains = trees.featureImportances.toArray().tolist()
-    total = sum(gains) or 1.0
-    rows = [(f, g / total) for f, g in zip(features, gains)]
-    return (
-        SparkSession.active().createDataFrame(rows, "feature string, gain_share double")
-        .withColumn("gain_share", half_even(F.col("gain_share"), 4))
-        .orderBy(F.desc("gain_share"), "feature")
-    )
+    return boosting.split_gains(boosting.stored(trees), list(features or FEATURES))
 
 
 def compare_models(
     scored: DataFrame, models: Sequence[str], label: str = LABEL, group: str = "month",
 ) -> DataFrame:
-    """Within-group metrics of several score columns of one table."""
-    rows = [evaluate_within(scored, label, m, m, group) for m in models]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Within-group metrics of several score columns of one table, in one pass."""
+    return _of_models(scored, models, [label, group], lambda rows: evaluate_within(rows, label, "_score", None, group, by=["model"]))
+
+
+def evaluate_models(scored: DataFrame, models: Sequence[str], label: str = LABEL) -> DataFrame:
+    """Pooled metrics of several score columns of one table, in one pass."""
+    return _of_models(scored, models, [label], lambda rows: evaluate(rows, label, "_score", by=["model"]))
+
+
+def _of_models(scored: DataFrame, models: Sequence[str], keep: Sequence[str], measure) -> DataFrame:
+    """One row per model, also for those without a score on any row."""
+    values = [F.col(m).cast("double").alias(m) for m in models]
+    rows = scored.select(*keep, *values).unpivot(list(keep), list(models), "model", "_score")
+    names = small_table(scored.sparkSession, "model", [(m,) for m in models])
+    found = names.join(measure(rows), "model", "left")
+    return found.fillna(0, ["months"]) if "months" in found.columns else found
 
 
 def validation_gate(
@@ -275,7 +264,7 @@ def spatial_transfer(
     # Every model's metrics read the scores.
     scored = settle(scored)
     within = compare_models(scored, models, label)
-    pooled = reduce(DataFrame.unionByName, [evaluate(scored, label, m, m) for m in models])
+    pooled = evaluate_models(scored, models, label)
     ap = F.col("pr_auc_within_month")
     every = Window.partitionBy()  # one row per model
     beats = {f"beats_{m}": ap > F.max(F.when(F.col("model") == m, ap)).over(every) for m in ("climatology", "control")}

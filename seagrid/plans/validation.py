@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.operators import (
-    climatology, compare_models, depth_only, evaluate, feature_importance,
+    climatology, compare_models, depth_only, evaluate_models, feature_importance,
     fit_hotspot, fleet_active_months, keep_months, physics_index, predict,
     spatial_transfer, subsample_negatives, temporal_split, validation_gate,
 )
@@ -73,9 +73,7 @@ def validate(
     scored = depth_only(train, scored, seed=seed, rounds=max(1, rounds * 120 // 400))
     scored = settle(climatology(train, scored))
     within = settle(compare_models(scored, MODELS))
-    pooled = evaluate(scored, "fished", MODELS[0], MODELS[0])
-    for name in MODELS[1:]:
-        pooled = pooled.unionByName(evaluate(scored, "fished", name, name))
+    pooled = evaluate_models(scored, MODELS)
     unseen = None
     if spatial:
         unseen = spatial_transfer(

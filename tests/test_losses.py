@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seagrid import operators as op
 from seagrid.grid import Grid
-from seagrid.operators.models import best_round
+from seagrid.operators.boosting import best_round
 from seagrid.plans.features import on_grid
 from seagrid.sources import readers
 
@@ -107,8 +107,8 @@ def test_rows_off_the_grid_do_not_shift_planes(spark):
 
 
 def test_boosting_waits_for_gains():
-    assert best_round([1.0, 0.9, 0.95, 0.93, 0.8, 0.85]) == 5
-    assert best_round([1.0, *[2.0] * 30, 0.1]) == 1 and best_round([1.0, *[2.0] * 29, 0.1]) == 31 and best_round([0.5]) == 1
+    assert best_round([0.1, 0.2, 0.15, 0.17, 0.3, 0.25]) == 5
+    assert best_round([0.4, *[0.2] * 30, 0.9]) == 1 and best_round([0.4, *[0.2] * 29, 0.9]) == 31 and best_round([0.5]) == 1
 
 
 def test_boosting_keeps_more_than_one_tree(spark):
