@@ -143,28 +143,101 @@ def test_windows_are_told_apart_by_all_bits_of_their_keys():
         names = ["anchor", "doc_id", "place", "first", "prints"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-        got = [r for b in substring_dedup._extend(20)(iter([batch])) for r in b.to_pylist()]
-        assert got == [{"doc_id": 3, "start": 0, "end": 20}]
+        for most in (0, 2, 3):  # joined, or each window alone
+            parts = pa.Table.from_batches(list(substring_dedup._extend(20, most)(iter([batch]))))
+            order = [(c, "ascending") for c in ("alone", "key", "window", "doc_id", "start")]
+            got = [r for b in substring_dedup._settle(iter(parts.sort_by(order).to_batches())) for r in b.to_pylist()]
+            assert got == [{"doc_id": 3, "start": 0, "end": 20}]
 
 
 @pytest.mark.parametrize("limit", [0, 3])
-def test_large_anchors_are_dealt_out_by_window(spark, monkeypatch, limit):
-    """No task gets all occurrences of an anchor, and the result stays."""
+def test_large_anchors_are_compared_window_by_window(spark, monkeypatch, limit):
     from seagrid.llm import substring_dedup
 
     monkeypatch.setattr(substring_dedup, "LIMIT", limit)
     test_repeated_passages_equal_brute_force(spark, 20)
-    line = [f"line{k}" for k in range(19)]  # shorter than a window: no window repeats
-    rows = [(i, " ".join([f"a{i}w{k}" for k in range(20)] + line + [f"b{i}w{k}" for k in range(20)])) for i in range(50)]
-    sizes = []
-
-    texts = documents(spark, rows).select("doc_id", "text")
-    counts = texts.mapInArrow(substring_dedup._seed(20), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    large = np.array([r.bucket for r in counts.where(F.col("n") > 3).collect()], np.int64)
-    for some in (np.zeros(0, np.int64), large):
-        sent = texts.mapInArrow(substring_dedup._seed(20, some), substring_dedup.SEEDS)
-        sizes.append(max(r["count"] for r in sent.groupBy("anchor").count().collect()))
-    assert sizes[0] > 3 and sizes[1] <= 3
+
+
+def table_of(rows, **types):
+    return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types.values())], list(types)) for part in rows if part]
+
+
+def cut_up(rng, rows):
+    """Rows in order, in batches of any size."""
+    at = sorted(rng.sample(range(len(rows) + 1), min(6, len(rows))))
+    return [rows[a:b] for a, b in zip([0, *at], [*at, len(rows)])]
+
+
+def test_no_task_holds_more_of_an_anchor_than_the_limit():
+    from seagrid.llm import substring_dedup
+
+    rng = random.Random(1)
+    for _ in range(200):
+        keys = sorted(rng.choices(range(6), k=rng.randrange(1, 40)))
+        batches = table_of(cut_up(rng, [(k, n) for n, k in enumerate(keys)]), anchor=pa.int64(), n=pa.int64())
+        most = rng.choice([0, 3, 100])
+        seen, whole_keys = [], set()
+        for rows, whole in substring_dedup._groups(iter(batches), most):
+            own = rows["anchor"].to_pylist()
+            seen += rows["n"].to_pylist()
+            if whole:
+                assert not whole_keys & set(own) and all(own.count(k) == keys.count(k) for k in set(own))
+                whole_keys |= set(own)
+            else:
+                assert len(set(own)) == 1 and keys.count(own[0]) > most
+        assert seen == list(range(len(keys)))
+
+
+def test_anchors_pass_that_are_known_or_met_twice():
+    from seagrid.llm import substring_dedup
+
+    rng = random.Random(2)
+    for _ in range(200):
+        keys = sorted(rng.choices(range(12), k=rng.randrange(1, 20)))
+        rows = [(k, k, n, rng.random() < 0.2) for n, k in enumerate(keys)]
+        batches = table_of(cut_up(rng, rows), key=pa.int64(), anchor=pa.int64(), doc_id=pa.int64(), known=pa.bool_())
+        got = [r["doc_id"] for b in substring_dedup._paired(iter(batches)) for r in b.to_pylist()]
+        assert got == [n for k, _, n, known in rows if known or keys.count(k) > 1]
+
+
+def test_all_but_the_first_of_equal_windows_go():
+    from seagrid.llm import substring_dedup
+
+    rng = random.Random(3)
+    names = {"key": pa.int64(), "window": pa.int64(), "doc_id": pa.int64(), "start": pa.int32(), "end": pa.int32(), "alone": pa.bool_()}
+    for _ in range(200):
+        rows = [(rng.randrange(3), rng.randrange(2), rng.randrange(3), rng.randrange(3), 9, rng.random() < 0.8) for _ in range(rng.randrange(1, 30))]
+        rows.sort(key=lambda r: (r[5], *r[:4]))
+        got = [tuple(r.values()) for b in substring_dedup._settle(iter(table_of(cut_up(rng, rows), **names))) for r in b.to_pylist()]
+        first = {}
+        for k, w, d, s, _, alone in rows:
+            if alone:
+                first[k, w] = min(first.get((k, w), (d, s)), (d, s))
+        assert got == [(d, s, e) for k, w, d, s, e, alone in rows if not alone or (d, s) != first[k, w]]
+
+
+def test_a_passage_in_every_document_and_lines_around_it(spark, monkeypatch):
+    """One window in all documents, and an anchor whose windows all differ."""
+    from seagrid.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "LIMIT", 4)
+    rng = random.Random(4)
+    passage, line = [f"p{k}" for k in range(24)], [f"line{k}" for k in range(19)]
+    rows = []
+    for i in range(40):
+        own = [f"a{i}w{k}" for k in range(30)]
+        rows.append((i, " ".join([*own[:10], *passage, *own[10:20], *line, *own[20:], *(passage if i % 7 == 0 else [])])))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r._words, r._removed) for r in without_repeats(documents(spark, rows, 7), 20, with_text=False).collect()}
+    assert got == {i: (n, m) for i, (n, m, _) in passages(rows, 20).items()} and sum(m for _, m in got.values()) == 39 * 24 + 6 * 24
+
+
+def test_texts_move_once(spark):
+    """Both joins of the texts read one exchange."""
+    found = without_repeats(documents(spark, made()), 20)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
 
 
 def test_repeated_passages_of_odd_rows(spark):
