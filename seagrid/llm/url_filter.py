@@ -280,9 +280,10 @@ def judged(pages: DataFrame, model: Model, rules=RULES, hosts: DataFrame | None
     rows = rows.withColumn("_shape", _shape())
     if hosts is None:
         hosts = written(host_tokens(rows, model.words, model.n_words), "host_tokens")
-    by_host = scores(hosts, "host", model).withColumnRenamed("score", "_host")
+    # Written, so that both sides of the joins are plain exchanges and a hot host or path can be split.
+    by_host = written(scores(hosts, "host", model).withColumnRenamed("score", "_host"), "host_scores")
     shapes = rows.select("_shape").distinct().withColumn("tokens", F.filter(F.split("_shape", "/"), lambda x: x != ""))
-    by_shape = scores(shapes, "_shape", model).withColumnRenamed("score", "_path")
+    by_shape = written(scores(shapes, "_shape", model).withColumnRenamed("score", "_path"), "path_scores")
     both = rows.join(by_host, "host", "left").join(by_shape, "_shape", "left")
     zero = F.lit(0).cast("long")
     odds = F.lit(round(model.prior * (1 << 30))).cast("long") + F.coalesce("_host", zero) + F.coalesce("_path", zero)
