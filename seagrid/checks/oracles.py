@@ -688,10 +688,10 @@ add("effort_round_trip", f"""
 SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, {r('(l_partkey % 22) * CAST(0.1 AS DOUBLE) + 1')} AS lat,
   {r('(l_suppkey % 20) * CAST(0.1 AS DOUBLE) + 44')} AS lon, {r('l_quantity / 10')} AS hours,
   CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, l_linestatus AS geartype,
-  CAST(1998 AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month FROM lineitem WHERE year(l_shipdate) = 1998""")
+  CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month FROM lineitem""")
 add("features_round_trip", with_(SEA) + f"""
-SELECT date, lat_idx, lon_idx, {r('sst')} AS sst, 'r' || region AS region, CAST(year(date) AS INT) AS year
-FROM sea WHERE year(date) IN (1996, 1999)""")
+SELECT date, lat_idx, lon_idx, fished, {r('sst')} AS sst, {r('chl')} AS chl, {r('wave_height_max')} AS wave_height_max,
+  {r('wind_speed_max')} AS wind_speed_max, 'r' || region AS region, CAST(year(date) AS INT) AS year FROM sea""")
 add("feature_table", with_(CELL_DAY, FILL, grad("filled"), EFFORT_MONTHS, numbered("cell_day"), """trail AS (
   SELECT region, date, lat_idx, lon_idx, CASE WHEN count(chl) OVER w >= 3 THEN avg(chl) OVER w END AS chl_lag7
   FROM numbered WINDOW w AS (PARTITION BY region, lat_idx, lon_idx ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))""") + f"""
@@ -1007,3 +1007,57 @@ add("isotonic_fit", with_(
     "score_points AS (SELECT score AS x, CAST(sum(fished) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS w FROM scored WHERE score IS NOT NULL GROUP BY score)",
     isotonic("score_points"),
 ) + f"SELECT x AS score, CAST(w AS BIGINT) AS n, CAST(s AS BIGINT) AS positives, {r('fitted')} AS fitted FROM score_points JOIN fitted USING (x)")
+
+# ------------------------------------------- thinning in the build, notes, answers, pixels
+
+add("thinned_build", with_(SEA, EFFORT_MONTHS, f"""chunks AS (SELECT region, date,
+    (row_number() OVER (PARTITION BY region, year(date) ORDER BY date) - 1) // 5 AS chunk FROM (SELECT DISTINCT region, date FROM cell_day))""",
+    f"""labelled AS (SELECT region, year(date) AS year, chunk, coalesce(n_vessels, 0) AS n_vessels, CASE WHEN fishing_hours > 0.5 THEN 1 ELSE 0 END AS fished
+  FROM sea JOIN chunks USING (region, date) LEFT JOIN ecells USING ({KEY}))""",
+) + """SELECT region, year, chunk, count(*) FILTER (fished = 1) AS positives,
+  least(count(*) FILTER (fished = 0), greatest(count(*) FILTER (fished = 1), 1)) AS negatives, 0 AS on_land,
+  CAST(sum(n_vessels * fished) AS BIGINT) AS vessels FROM labelled GROUP BY ALL""")
+add("bathymetry_inventory", with_(FOUND) + f"""
+SELECT 'gebco' AS source, count(*) > 0 AS present, count(*) AS files, {r('coalesce(sum(bytes), 0) / CAST(1e6 AS DOUBLE)')} AS megabytes
+FROM (SELECT mode, source, CAST(sum(bytes) AS BIGINT) AS bytes FROM found WHERE year = 1995 GROUP BY ALL)
+UNION ALL SELECT 'etopo', FALSE, 0, 0""")
+add("bathymetry_by_spacing", with_(
+    """lines AS (SELECT 2 * (l_orderkey // 15000) + l_linenumber % 2 AS region, l_partkey AS p, l_suppkey * 7 + l_linenumber AS s,
+    CAST(round_even(l_extendedprice / 25, 0) AS BIGINT) AS e FROM lineitem)""",
+    """fine AS (SELECT region, p % 80 AS i, s % 80 AS j, min(e) - 1800 AS e FROM lines WHERE region % 2 = 0 GROUP BY ALL)""",
+    """coarse_pixels AS (SELECT region, p % 30 AS i, s % 30 AS j, min(e) - 1800 AS e FROM lines WHERE region % 2 = 1 GROUP BY ALL)""",
+    """axis AS (SELECT CAST(range AS INT) AS t, CAST(floor(x) AS INT) AS lo, x - floor(x) AS f
+  FROM (SELECT range, (range * 0.1 + 0.05) / CAST(0.07 AS DOUBLE) AS x FROM range(20)))""",
+    """mixed AS (SELECT k.region, y.t AS lat_idx, x.t AS lon_idx,
+    a.e * (1 - y.f) * (1 - x.f) + b.e * (1 - y.f) * x.f + c.e * y.f * (1 - x.f) + d.e * y.f * x.f AS e
+  FROM (SELECT DISTINCT region FROM coarse_pixels) k, axis y, axis x
+  LEFT JOIN coarse_pixels a ON a.region = k.region AND a.i = y.lo AND a.j = x.lo LEFT JOIN coarse_pixels b ON b.region = k.region AND b.i = y.lo AND b.j = x.lo + 1
+  LEFT JOIN coarse_pixels c ON c.region = k.region AND c.i = y.lo + 1 AND c.j = x.lo LEFT JOIN coarse_pixels d ON d.region = k.region AND d.i = y.lo + 1 AND d.j = x.lo + 1)""",
+) + f"""SELECT region, CAST(i // 4 AS INT) AS lat_idx, CAST(j // 4 AS INT) AS lon_idx, CASE WHEN avg(e) < 0 THEN {r('-avg(e)')} END AS depth,
+  {r('stddev_pop(e)')} AS seabed_roughness, {r('avg(CASE WHEN e >= 0 THEN 1 ELSE 0 END)')} AS land_fraction FROM fine GROUP BY ALL
+UNION ALL SELECT region, lat_idx, lon_idx, CASE WHEN e < 0 THEN {r('-e')} END, NULL, CASE WHEN e >= 0 THEN 1.0 ELSE 0.0 END FROM mixed""")
+add("point_answers", with_(
+    CELL_DAY, grad(), SCORED, TEXT,
+    """points AS (SELECT l_orderkey // 15000 AS region, l_orderkey * 10 + l_linenumber AS point_id,
+  min(l_partkey * 7 % 2600 + CAST(0.31 AS DOUBLE)) / 1000 + CAST(0.8 AS DOUBLE) AS plat,
+  min(l_suppkey * 11 % 2600 + CAST(0.17 AS DOUBLE)) / 1000 + CAST(43.8 AS DOUBLE) AS plon FROM lineitem GROUP BY ALL)""",
+    f"""newest AS (SELECT *, {safety()} AS status, {LAT} AS lat, {LON} AS lon FROM scored s
+  WHERE date = (SELECT max(date) FROM scored x WHERE x.region = s.region))""",
+    f"""near AS (SELECT region, point_id, newest.*, row_number() OVER (PARTITION BY region, point_id
+      ORDER BY {r('abs(lat - plat) + abs(lon - plon)', 9)}, lat_idx, lon_idx) AS rn
+  FROM points JOIN newest USING (region) WHERE abs(lat - plat) + abs(lon - plon) <= CAST(0.2 AS DOUBLE) + 1e-12)""",
+) + f"""SELECT region, point_id, date, {r('lat', 3)} AS lat, {r('lon', 3)} AS lon, status, label_so, label_en, color, advice_so, advice_en,
+  {r('sst', 1)} AS sst, {r('chl', 3)} AS chl, {r('sst_gradient', 2)} AS sst_gradient, {r('wave_height_max', 2)} AS wave_height_max,
+  {r('wind_speed_max', 1)} AS wind_speed_max, score AS fishing_potential, FALSE AS trained, 'physics_index' AS score_source
+FROM near JOIN texts USING (status) WHERE rn = 1""")
+_parts, _lines = baselines("stump_train", "stump_test", {"hotspot": "hot", "climatology": "clim"}, pooled_too=False)
+add("stored_notes", with_(
+    stumps(), "held_points AS (SELECT f AS x, CAST(sum(n * y) AS DOUBLE) AS s, CAST(sum(n) AS DOUBLE) AS w FROM kept_scores WHERE role = 'held' GROUP BY f)",
+    isotonic("held_points"), "scores_of AS (SELECT DISTINCT m AS month_no, b, fitted AS hot FROM kept_scores JOIN fitted ON f = x WHERE role = 'test')",
+    "stump_train AS (SELECT * FROM sea WHERE year(date) <= 1999)",
+    """stump_test AS (SELECT sea.*, hot FROM sea LEFT JOIN scores_of ON month_no = month(date) AND b = CAST(floor(sst) AS BIGINT)
+  WHERE year(date) > 1999)""", _parts, f"metric_lines AS ({_lines})",
+    """beats AS (SELECT max(pr_auc_within_month) FILTER (model = 'hotspot') > max(pr_auc_within_month) FILTER (model = 'climatology') AS beats
+  FROM metric_lines)""",
+) + """SELECT model, months, pr_auc_within_month, lift_within_month, beats AS beats_climatology, 'month_no,warmth' AS features,
+  beats AS validated, TRUE AS scores_alike FROM metric_lines, beats""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -19,11 +20,11 @@ from seagrid.plans import build_features, score_days, validate
 from seagrid.plans.features import on_grid
 from seagrid.session import settle, shared_folder
 from seagrid.sources import (
-    file_listing, flatten_effort, read_effort, read_features, source_inventory,
-    write_daily, write_features,
+    file_listing, flatten_effort, load_model, read_effort, read_features, save_model,
+    source_inventory, write_daily, write_features,
 )
 from seagrid.sources.readers import surface
-from seagrid import streaming
+from seagrid import sources, streaming
 from seagrid.operators import boosting
 from seagrid.streaming import daily_updates, read_merged, run_daily
 
@@ -234,6 +235,16 @@ def source_inventory_unfit(spark, sf):
     return rounded(source_inventory(files), "megabytes")
 
 
+@query
+def bathymetry_inventory(spark, sf):
+    """Files of 1995 stand in for the elevation files."""
+    files = _source_files(spark, sf)
+    moved = F.when(F.col("year") == 1995, F.regexp_replace("path", "^/raw/.*/", "/raw/gebco/")).otherwise(F.col("path"))
+    files = files.select(moved.alias("path"), "bytes")
+    both = sources.bathymetry_inventory(files).unionByName(sources.bathymetry_inventory(files, "etopo"))
+    return rounded(both, "megabytes")
+
+
 @query
 def file_rows(spark, sf):
     return file_listing(v.table(spark, sf, "lineitem")).select(
@@ -271,24 +282,25 @@ def surface_readings(spark, sf):
 
 @query
 def effort_round_trip(spark, sf):
-    """Effort written by month, one year of it read back."""
+    """Effort written by month and read back, all years."""
     path = scratch(spark, "effort")
     rows = v.effort(spark, sf).drop("region").withColumns({
         "vesselType": F.lit(None).cast("string"), "year": F.year("date"), "month": F.month("date"),
         "date": F.col("date").cast("string"),
     })
     rows.write.partitionBy("year", "month").parquet(path)
-    return rounded(read_effort(spark, path, 1998).drop("vesselType"), "lat", "lon", "hours")
+    return rounded(read_effort(spark, path).drop("vesselType"), "lat", "lon", "hours")
 
 
 @query
 def features_round_trip(spark, sf):
-    """Features written by year; two years and a few columns read back."""
+    """Features written by year and read back, all years and measures."""
     path = scratch(spark, "features")
     rows = v.sea_day(spark, sf).withColumn("region", F.concat(F.lit("r"), "region"))
     write_features(rows, path)
-    back = read_features(spark, path, years=[1996, 1999], columns=["date", "lat_idx", "lon_idx", "sst"])
-    return rounded(back, "sst")
+    measures = ["sst", "chl", "wave_height_max", "wind_speed_max"]
+    back = read_features(spark, path, columns=["date", "lat_idx", "lon_idx", "fished", *measures])
+    return rounded(back, *measures)
 
 
 # ------------------------------------------------------------------- features
@@ -413,6 +425,13 @@ def bathymetry(spark, sf):
     return rounded(op.seabed(v.soundings(spark, sf), G), "depth", "seabed_roughness", "land_fraction")
 
 
+@query
+def bathymetry_by_spacing(spark, sf):
+    """Regions whose pixels nest in the cells and regions whose pixels do not, in one table."""
+    static = op.seabed_by_spacing(v.pixel_grid(spark, sf), G)
+    return rounded(static, "depth", "seabed_roughness", "land_fraction")
+
+
 @query
 def bathymetry_interpolated(spark, sf):
     """Elevation nodes coarser than the cells."""
@@ -443,18 +462,21 @@ def distance_to_coast(spark, sf):
     return rounded(op.distance_to_coast(v.sea_day(spark, sf), G), "dist_coast_km")
 
 
-@query
-def feature_table(spark, sf):
-    """The whole feature job on one set of gridded daily fields."""
+def _fields(spark, sf) -> dict[str, DataFrame]:
     plane = v.cell_day(spark, sf)
-    fields = {
+    return {
         "sst": plane.select(*KEY, (F.col("sst") + 273.15).alias("analysed_sst")),
         "chl": plane.select(*KEY, F.col("chl").alias("CHL")),
         "wav": plane.select(*KEY, F.col("wave_height_max").alias("VHM0_mean"),
                             F.col("wave_height_max").alias("VHM0_max")),
         "wnd": plane.select(*KEY, (F.col("wind_speed_max") / 2).alias("wind_speed"), "wind_speed_max"),
     }
-    out = build_features(fields, G, effort=v.month_effort(spark, sf), wind_in_ms=False)
+
+
+@query
+def feature_table(spark, sf):
+    """The whole feature job on one set of gridded daily fields."""
+    out = build_features(_fields(spark, sf), G, effort=v.month_effort(spark, sf), wind_in_ms=False)
     numbers = ["sst", "sst_gradient", "chl", "chl_lag7", "wave_height", "wave_height_max",
                "wind_speed", "wind_speed_max", "fishing_hours"]
     ints = ["wave_estimated", "month", "fished"]
@@ -464,6 +486,19 @@ def feature_table(spark, sf):
     ), *numbers)
 
 
+@query
+def thinned_build(spark, sf):
+    """Positives and negatives that a thinning build keeps in every five days of a
+    region's year, with sums over their rows."""
+    fields = {name: settle(df) for name, df in _fields(spark, sf).items()}
+    out = build_features(fields, G, effort=v.month_effort(spark, sf), wind_in_ms=False, neg_per_pos=1, thin_days=5)
+    month = F.month("date")
+    return out.groupBy("region", F.year("date").alias("year"), F.floor((month - 1) / 5).alias("chunk")).agg(
+        F.count_if(F.col("fished") == 1).alias("positives"), F.count_if(F.col("fished") == 0).alias("negatives"),
+        F.count_if(F.col("sst").isNull()).alias("on_land"), F.sum(F.col("n_vessels") * F.col("fished")).alias("vessels"),
+    )
+
+
 @query
 def features_from_readings(spark, sf):
     """The whole feature job from sub-daily readings: daily fields, axes taken
@@ -825,10 +860,8 @@ def latest_live(spark, sf):
     return op.latest_or_fallback(days, days.where(F.col("date") < "1996-01-01"))
 
 
-@query
-def lookup_points(spark, sf):
-    """Each order line asks for the sea next to it on the newest day."""
-    points = v.table(spark, sf, "lineitem").select(
+def _points(spark, sf) -> DataFrame:
+    return v.table(spark, sf, "lineitem").select(
         F.expr(f"l_orderkey div {v.BLOCK}").alias("region"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"),
         (F.col("l_partkey") * 7 % 2600 + 0.31).alias("a"),
@@ -836,11 +869,28 @@ def lookup_points(spark, sf):
     ).groupBy("region", "point_id").agg(
         (F.min("a") / 1000 + 0.8).alias("lat"), (F.min("b") / 1000 + 43.8).alias("lon")
     )
+
+
+@query
+def lookup_points(spark, sf):
+    """Each order line asks for the sea next to it on the newest day."""
     day = op.select_days(op.classify(v.sea_day(spark, sf)), by=["region"])
-    found = op.lookup_points(points, day, G, carry=["safety", "sst"])
+    found = op.lookup_points(_points(spark, sf), day, G, carry=["safety", "sst"])
     return rounded(found.drop("cell_lat", "cell_lon"), "distance_deg", "sst")
 
 
+@query
+def point_answers(spark, sf):
+    """The whole answer for each order line's point on its region's newest day."""
+    day = op.select_days(op.classify(v.scored_day(spark, sf)), by=["region"]).withColumn("score_source", F.lit("physics_index"))
+    found = op.point_answers(_points(spark, sf), day, G)
+    return found.select(
+        "region", "point_id", "date", "lat", "lon", "safety.status", F.col("safety.label.so").alias("label_so"),
+        F.col("safety.label.en").alias("label_en"), "safety.label.color", F.col("safety.advice.so").alias("advice_so"),
+        F.col("safety.advice.en").alias("advice_en"), "conditions.*", "fishing_potential", "model.trained", "model.score_source",
+    )
+
+
 @query
 def catalog_status(spark, sf):
     status = op.catalog_status(v.sea_day(spark, sf), by=["region"])
@@ -1114,13 +1164,13 @@ def _stumps(spark, sf):
         "month_no": F.month("date").cast("double"), "warmth": F.floor("sst").cast("double"),
     })
     train, test = op.temporal_split(settle(rows.select(*KEY, "fished", *STUMP_FEATURES)), 1999)
-    return op.fit_hotspot(train, STUMP_FEATURES, rounds=4, depth=1, step=0.5, sample=1.0, columns=1.0), test
+    return op.fit_hotspot(train, STUMP_FEATURES, rounds=4, depth=1, step=0.5, sample=1.0, columns=1.0), train, test
 
 
 @query
 def boosted_stumps(spark, sf):
     """The trees kept: what each splits on, what that gains, and both leaves."""
-    model, _ = _stumps(spark, sf)
+    model, _, _ = _stumps(spark, sf)
     nodes = boosting.node_table(boosting.stored(model.stages[-2]))
 
     def of(node: int, value: str):
@@ -1142,11 +1192,27 @@ def stump_importance(spark, sf):
 @query
 def calibrated_stumps(spark, sf):
     """Calibrated probabilities of the test rows, by what the trees see."""
-    model, test = _stumps(spark, sf)
+    model, _, test = _stumps(spark, sf)
     scored = op.predict(model, test).groupBy(*STUMP_FEATURES, "probability").agg(F.count(F.lit(1)).alias("n"))
     return rounded(scored, "probability")
 
 
+@query
+def stored_notes(spark, sf):
+    """A validated model written with its notes and read back: metrics, gate and
+    features as stored, and whether the model read scores like the one written."""
+    model, train, test = _stumps(spark, sf)
+    scored = settle(op.climatology(train, op.predict(model, test, "hotspot")).withColumn("month", F.month("date")))
+    metrics = settle(op.compare_models(scored, ["hotspot", "climatology"]))
+    gate = op.validation_gate(metrics, "hotspot", ["climatology"])
+    path = scratch(spark, "model")
+    save_model(model, gate.withColumn("features", F.lit(list(STUMP_FEATURES))), metrics, path, dt.datetime(2026, 1, 2, 3))
+    back = load_model(spark, path)
+    again = op.predict(back.model, scored, "again").agg(F.max(F.abs(F.col("again") - F.col("hotspot")))).scalar() < 1e-12
+    lines = spark.read.json(f"{path}/notes").select(F.explode("metrics").alias("m"), "beats_climatology", F.array_join("features", ",").alias("features"))
+    return lines.select("m.*", "beats_climatology", "features", F.lit(back.validated).alias("validated"), again.alias("scores_alike"))
+
+
 @query
 def isotonic_fit(spark, sf):
     """Share of fished rows as a non-decreasing function of the physics index."""

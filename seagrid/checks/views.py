@@ -143,6 +143,21 @@ def soundings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pixel_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Elevation on regular axes: pixels of a quarter cell in even regions, which
+    nest in the cells, and of seven tenths of a cell in odd ones, which do not."""
+    odd = F.col("region") % 2 == 1
+    n, step = F.when(odd, 30).otherwise(80), F.when(odd, 0.07).otherwise(0.025)
+    i, j = F.col("p") % n, F.col("s") % n
+    lines = table(spark, sf, "lineitem").select(
+        F.expr(f"2 * (l_orderkey div {BLOCK}) + l_linenumber % 2").alias("region"), F.col("l_partkey").alias("p"), (F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("s"),
+        whole(F.col("l_extendedprice") / 25).alias("e"),
+    )
+    start = F.when(odd, 1.0).otherwise(1.0125)
+    return lines.groupBy("region", i.cast("int").alias("i"), j.cast("int").alias("j")).agg((F.min("e") - 1800).alias("elevation")).select(
+        "region", "i", "j", F.round(start + F.col("i") * step, 9).alias("lat"), F.round(start + 43 + F.col("j") * step, 9).alias("lon"), "elevation")
+
+
 def coarse_field(spark: SparkSession, sf: str) -> DataFrame:
     """A field on a 0.2 degree grid with missing nodes, one plane a month."""
     i, j = F.col("o_custkey") % 10, F.col("o_orderkey") % 10

@@ -33,14 +33,15 @@ from seagrid.operators.sampling import (
     subsample_negatives, temporal_split, thin_training_years,
 )
 from seagrid.operators.seabed import (
-    depth_report, join_static, seabed, seabed_interpolated,
+    depth_report, join_static, pixel_spacing, seabed, seabed_by_spacing,
+    seabed_interpolated,
 )
 from seagrid.operators.series import (
     carry_forward, carry_planes, observed_days, trailing_mean,
 )
 from seagrid.operators.serving import (
     catalog_status, daily_payload, display_cells, latest_or_fallback,
-    lookup_points, select_days,
+    lookup_points, point_answers, select_days,
 )
 from seagrid.operators.zones import (
     assign_zones, rank_zones, zone_plane, zone_summary,

@@ -111,23 +111,27 @@ def regrid_bilinear(
     ])
 
 
-def unmatched_readings(
-    readings: DataFrame, lat_axis: Axis, lon_axis: Axis, keys: Sequence[str] = ("region", "date"),
-) -> DataFrame:
-    """Per group the number of readings and of those that belong to no node of
-    the axes, which `regrid_bilinear` cannot use."""
-    spark = readings.sparkSession
+def marked_readings(readings: DataFrame, lat_axis: Axis, lon_axis: Axis) -> DataFrame:
+    """`readings` with `_matched`: whether a reading belongs to a node of both axes."""
     marked = readings
     for side, axis in (("lat", lat_axis), ("lon", lon_axis)):
         nodes = small_table(
-            spark, f"{side}_bin {side}_node", [(p, x) for k, x in enumerate(axis.values) for p in axis.places(k)]
+            readings.sparkSession, f"{side}_bin {side}_node", [(p, x) for k, x in enumerate(axis.values) for p in axis.places(k)]
         )
         # A bin is one step wide, so a node and its neighbour may share one.
         nodes = nodes.groupBy(f"{side}_bin").agg(F.collect_list(f"{side}_node").alias(f"{side}_nodes"))
         marked = marked.withColumn(f"{side}_bin", axis.bin(F.col(side))).join(F.broadcast(nodes), f"{side}_bin", "left")
         marked = marked.withColumn(f"{side}_hit", _near_any(side, axis))
-    return marked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("readings"), F.count_if(~(F.col("lat_hit") & F.col("lon_hit"))).alias("unmatched")
+    return marked.select(*readings.columns, (F.col("lat_hit") & F.col("lon_hit")).alias("_matched"))
+
+
+def unmatched_readings(
+    readings: DataFrame, lat_axis: Axis, lon_axis: Axis, keys: Sequence[str] = ("region", "date"),
+) -> DataFrame:
+    """Per group the number of readings and of those that belong to no node of
+    the axes, which `regrid_bilinear` cannot use."""
+    return marked_readings(readings, lat_axis, lon_axis).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("readings"), F.count_if(~F.col("_matched")).alias("unmatched")
     )
 
 

@@ -53,6 +53,43 @@ def seabed_interpolated(
     )
 
 
+def pixel_spacing(pixels: DataFrame, grid: Grid, keys: Sequence[str] = ("region",)) -> DataFrame:
+    """Per region: number, first and spacing of the pixels' latitudes and longitudes,
+    and whether they nest in the cells: a whole number of them spans a cell, and a
+    whole number of cells the pixels."""
+    keys, sides, nests = list(keys), [], F.lit(True)
+    for side in ("lat", "lon"):
+        lines = pixels.select(*keys, F.col(side).cast("double").alias("_x")).where(F.col("_x").isNotNull()).distinct()
+        sides.append(lines.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias(f"n_{side}"), F.min("_x").alias(f"{side}_first"),
+            F.try_divide(F.max("_x") - F.min("_x"), F.count(F.lit(1)) - 1).alias(f"{side}_step"),
+        ))
+        ratio = F.try_divide(F.lit(grid.res), f"{side}_step")
+        whole = (F.abs(ratio - F.rint(ratio)) < 1e-6) & (F.try_mod(F.col(f"n_{side}"), F.rint(ratio).cast("long")) == 0)
+        nests = nests & F.coalesce(whole, F.lit(False))
+    return sides[0].join(sides[1], keys).withColumn("nests", nests)
+
+
+def seabed_by_spacing(
+    pixels: DataFrame, grid: Grid, keys: Sequence[str] = ("region",), elevation: str = "elevation",
+) -> DataFrame:
+    """Block means where a region's pixels nest in the cells, interpolation where they
+    do not, in one table. One row per region reaches the driver; regions whose pixels
+    lie on the same axes are interpolated together."""
+    keys = list(keys)
+    spacing = settle(pixel_spacing(pixels, grid, keys))
+    axes: dict[tuple, list] = {}
+    for r in spacing.where(~F.col("nests")).collect():
+        around = tuple(Axis.regular(r[f"{s}_first"], r[f"{s}_step"] or 1.0, r[f"n_{s}"]) for s in ("lat", "lon"))
+        axes.setdefault(around, []).append(tuple(r[k] for k in keys))
+    out = [seabed(pixels.join(spacing.where("nests").select(*keys), keys, "left_semi"), grid, keys, elevation)]
+    kinds = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)
+    for (lat_axis, lon_axis), regions in axes.items():
+        own = pixels.join(pixels.sparkSession.createDataFrame(regions, kinds), keys, "left_semi")
+        out.append(seabed_interpolated(own, lat_axis, lon_axis, grid, keys, elevation))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _with_depth(blocks: DataFrame) -> DataFrame:
     depth = -F.col("mean_height")
     return blocks.withColumn("depth", F.when(depth > 0, depth)).drop("mean_height")

@@ -236,6 +236,35 @@ def lookup_points(
     )
 
 
+def point_answers(
+    points: DataFrame, cells: DataFrame, grid: Grid, point: str = "point_id",
+    keys: Sequence[str] = ("region",), rules: Rules = RULES,
+) -> DataFrame:
+    """What is known at each point, from the nearest cell of one day: its date and
+    place, safety with label and advice, all conditions the day has, the score and
+    what it came from. Points without a cell within two cell widths get no row.
+
+    `cells` are scored and classified; `source` and `stale`, if `latest_or_fallback`
+    set them, are told too.
+    """
+    conditions = [c for c in CELL_DECIMALS if c in cells.columns]
+    told = [c for c in ("source", "stale") if c in cells.columns]
+    scored = [c for c in ("score", "score_source") if c in cells.columns]
+    found = lookup_points(points, cells, grid, point, keys, ["date", "safety", *told, *conditions, *scored])
+    shown = with_status_text(found, "safety")
+    values = [half_even(F.col(c), CELL_DECIMALS[c]).alias(c) for c in conditions]
+    return shown.select(
+        point, *keys, "date", *told, half_even(F.col("cell_lat"), 3).alias("lat"), half_even(F.col("cell_lon"), 3).alias("lon"),
+        F.struct(
+            F.col("safety").alias("status"), F.struct(F.col("label_so").alias("so"), F.col("label_en").alias("en"), "color").alias("label"),
+            F.struct(F.col("advice_so").alias("so"), F.col("advice_en").alias("en")).alias("advice"),
+        ).alias("safety"),
+        *([F.struct(*values).alias("conditions")] if values else []),
+        *([_model_block(F.col("score_source"), rules).alias("model")] if "score_source" in scored else []),
+        *([F.col("score").alias("fishing_potential")] if "score" in scored else []),
+    )
+
+
 def catalog_status(
     days: DataFrame, validated: DataFrame | None = None, by: Sequence[str] = (),
 ) -> DataFrame:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seagrid.functions import cyclic_month, speed, to_celsius, to_kmh
 from seagrid.grid import Grid, cell_id
 from seagrid.operators import (
     Axis, align_sources, carry_planes, days_with_values, drop_land,
     effort_cells, filled, gradient, join_labels, join_static, pick_source,
-    regrid_bilinear, swap_filled, trailing_mean,
+    regrid_bilinear, subsample_negatives, swap_filled, trailing_mean,
 )
+from seagrid.operators.regrid import marked_readings
 from seagrid.rules import RULES, Rules
 from seagrid.session import settle
 from seagrid.sources.readers import nan_to_null
@@ -33,22 +35,50 @@ MEASURED = [
 
 def on_grid(
     daily: Mapping[str, DataFrame], axes: Mapping[str, tuple[Axis, Axis]], grid: Grid,
+    most_unmatched: float = 0.0,
 ) -> dict[str, DataFrame]:
     """Regrid every source that is present. Inputs hold region, date, lat, lon
     and the source's variables. Mean wind is regridded by components: speeds of
     opposed winds must not be averaged. The gridded fields are written once, as
     Parquet: what follows looks at them more than once, the readings are far
-    larger and are read a single time."""
-    return {
-        name: settle(regrid_bilinear(df, FIELDS[name], *axes[name], grid))
-        for name, df in daily.items()
-    }
+    larger and are read a single time.
+
+    Readings that belong to no node of their source's axes cannot be used. They
+    are counted on the way, and a share of them above `most_unmatched` is an error.
+    """
+    out = {}
+    for name, df in daily.items():
+        seen = Observation()
+        off = F.count_if(~F.coalesce("_matched", F.lit(False)))
+        watched = marked_readings(df, *axes[name]).observe(seen, F.count(F.lit(1)).alias("n"), off.alias("off")).drop("_matched")
+        out[name] = settle(regrid_bilinear(watched, FIELDS[name], *axes[name], grid))
+        n, off = seen.get["n"], seen.get["off"]
+        if off > most_unmatched * n:
+            raise ValueError(f"{off} of {n} readings of {name} belong to no node of its axes")
+    return out
+
+
+def thinned_keys(
+    cells: DataFrame, effort: DataFrame, calendar: DataFrame, k: int, days: int = 15, seed: int = 42,
+    rules: Rules = RULES,
+) -> DataFrame:
+    """The keys of all positive cell-days, and of up to `k` negatives for each
+    positive within every `days` days of a region's year, one positive counted at
+    least. Days are those of `calendar`, whether or not they follow each other.
+    `cells` are the keys of all cell-days; only keys and labels are looked at."""
+    key = ["region", "date", "lat_idx", "lon_idx"]
+    year = Window.partitionBy("region", F.year("date")).orderBy("date")
+    chunks = calendar.select("region", "date", F.floor((F.row_number().over(year) - 1) / days).alias("_chunk"))
+    rows = join_labels(cells.select(*key).distinct(), effort, rules=rules).select(*key, "fished").join(chunks, ["region", "date"])
+    kept = subsample_negatives(rows, k, F.struct("region", F.year("date").alias("year"), "_chunk"), seed)
+    return kept.select(*key)
 
 
 def build_features(
     fields: Mapping[str, DataFrame], grid: Grid, effort: DataFrame | None = None,
     seabed: DataFrame | None = None, rules: Rules = RULES,
     restart_each_year: bool = False, wind_in_ms: bool = True,
+    neg_per_pos: int | None = None, thin_days: int = 15, seed: int = 42,
 ) -> DataFrame:
     """Cell-day features from gridded daily fields (keyed by region, date,
     lat_idx, lon_idx), with labels from effort rows and seabed columns. Fields
@@ -60,6 +90,10 @@ def build_features(
     once, by day, and alignment, fronts and gap filling all work within that
     layout. Land goes only after gaps are filled and fronts computed, since
     both look at neighbouring cells.
+
+    `neg_per_pos` thins the negatives as `thinned_keys` says. Which rows stay is
+    worked out from keys and labels alone and comes along as one more narrow
+    source, so the wide rows are cut before labels move them.
     """
     key = ["region", "date", "lat_idx", "lon_idx"]
     fields = {name: nan_to_null(df) for name, df in fields.items()}
@@ -105,6 +139,12 @@ def build_features(
             per_year=restart_each_year,
         )
         frames.append(carried)
+    thins = neg_per_pos is not None and effort is not None
+    if thins:
+        cells = next(f for f in frames if "sst" in f.columns)
+        cells = cells.where(F.col("sst").isNotNull() & grid.contains(F.col("lat_idx"), F.col("lon_idx")))
+        kept = thinned_keys(cells, effort_cells(effort, grid), calendar, neg_per_pos, thin_days, seed, rules)
+        frames.append(kept.withColumn("_stays", F.lit(1)))
     df = align_sources(frames, days=calendar, fill_grid=grid)
     present = set(df.columns)
     absent = {c: F.lit(None).cast("double") for c in MEASURED if c not in present}
@@ -122,6 +162,8 @@ def build_features(
         df, {"wave_height": "_mean", "wave_height_max": "_max"},
         {"wave_estimated": "wave_height_max"},
     ))
+    if thins:
+        df = df.where("_stays = 1").drop("_stays")
 
     df = df.withColumns({
         "cell_id": cell_id(F.col("lat_idx"), F.col("lon_idx")),

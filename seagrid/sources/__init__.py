@@ -2,7 +2,7 @@
 
 from seagrid.sources.models import StoredModel, load_model, save_model
 from seagrid.sources.readers import (
-    flatten_effort, file_listing, read_effort, read_features, read_readings,
+    bathymetry_inventory, flatten_effort, file_listing, read_effort, read_features, read_readings,
     source_inventory,
 )
 from seagrid.sources.schemas import (

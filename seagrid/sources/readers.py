@@ -116,3 +116,12 @@ def source_inventory(files: DataFrame) -> DataFrame:
         F.min("label").alias("first_label"),
         F.max("label").alias("last_label"),
     )
+
+
+def bathymetry_inventory(files: DataFrame, folder: str = "gebco") -> DataFrame:
+    """One row: whether any elevation file lies in `folder`, how many do and how large
+    they are. `files` has (path, bytes). Nothing downloads these files, so their absence
+    has to be told."""
+    own = F.col("path").rlike(rf"(^|/){folder}/[^/]+\.[a-z0-9]+$")
+    return files.agg(F.count_if(own).alias("files"), (F.coalesce(F.sum(F.when(own, F.col("bytes"))), F.lit(0)) / 1e6).alias("megabytes")).select(
+        F.lit(folder).alias("source"), (F.col("files") > 0).alias("present"), "files", "megabytes")
