@@ -1061,3 +1061,14 @@ add("stored_notes", with_(
   FROM metric_lines)""",
 ) + """SELECT model, months, pr_auc_within_month, lift_within_month, beats AS beats_climatology, 'month_no,warmth' AS features,
   beats AS validated, TRUE AS scores_alike FROM metric_lines, beats""")
+
+CHANGED = CELL_DAY.replace("cell_day AS", "unchanged AS") + """,
+cell_day AS (SELECT * REPLACE (CASE WHEN date = DATE '1996-03-01' THEN sst + 1 ELSE sst END AS sst, CASE WHEN date = DATE '1997-02-01' THEN chl * 2 ELSE chl END AS chl) FROM unchanged)"""
+add("incremental_build", with_(CHANGED, FILL, grad("filled"), EFFORT_MONTHS, numbered("cell_day"), """trail AS (
+  SELECT region, date, lat_idx, lon_idx, CASE WHEN count(chl) OVER w >= 3 THEN avg(chl) OVER w END AS chl_lag7
+  FROM numbered WINDOW w AS (PARTITION BY region, lat_idx, lon_idx ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))""") + f"""
+SELECT 'r' || region AS region, date, lat_idx, lon_idx, {r('sst')} AS sst, {r('sst_gradient')} AS sst_gradient, {r('chl')} AS chl,
+  {r('chl_lag7')} AS chl_lag7, {r('wave_height_max')} AS wave_height,
+  {r("wave_height_max / CASE WHEN date = DATE '1998-09-01' THEN 2 ELSE 1 END")} AS wave_height_max,
+  CAST(wave_estimated AS INT) AS wave_estimated, CASE WHEN fishing_hours > 0.5 THEN 1 ELSE 0 END AS fished, CAST(0 AS INT) AS chl_age_days
+FROM grad JOIN trail USING ({KEY}) LEFT JOIN ecells USING ({KEY}) WHERE sst IS NOT NULL""")

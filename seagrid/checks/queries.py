@@ -18,6 +18,7 @@ from seagrid.operators.labels import snapped
 from seagrid.operators.models import FEATURES, feature_set
 from seagrid.plans import build_features, score_days, validate
 from seagrid.plans.features import on_grid
+from seagrid.plans.incremental import update_features
 from seagrid.session import settle, shared_folder
 from seagrid.sources import (
     file_listing, flatten_effort, load_model, read_effort, read_features, save_model,
@@ -499,6 +500,34 @@ def thinned_build(spark, sf):
     )
 
 
+@query
+def incremental_build(spark, sf):
+    """Features built by day, then updated after days of three sources changed."""
+    path = scratch(spark, "by_day")
+    before = {name: settle(df) for name, df in _fields(spark, sf).items()}
+    effort = v.month_effort(spark, sf)
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumn("region", F.concat(F.lit("r"), "region"))
+
+    def changed(name: str, column: str, day: str, value) -> DataFrame:
+        here = F.col("date") == F.lit(day).cast("date")
+        return named(before[name]).withColumn(column, F.when(here, value).otherwise(F.col(column)))
+
+    write_features(build_features({n: named(df) for n, df in before.items()}, G, effort=named(effort), wind_in_ms=False), path, by_day=True)
+    after = {
+        "sst": changed("sst", "analysed_sst", "1996-03-01", F.col("analysed_sst") + 1), "chl": changed("chl", "CHL", "1997-02-01", F.col("CHL") * 2),
+        "wav": changed("wav", "VHM0_max", "1998-09-01", F.col("VHM0_max") / 2), "wnd": named(before["wnd"]),
+    }
+    days = [("sst", "1996-03-01"), ("chl", "1997-02-01"), ("wav", "1998-09-01")]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("source"), F.to_date(F.lit(d)).alias("date")) for n, d in days]))
+    moved = named(before["sst"].select("region").distinct()).select("region", each.alias("m")).select("region", "m.*")
+    update_features(after, moved, G, path, named(effort), wind_in_ms=False)
+    numbers = ["sst", "sst_gradient", "chl", "chl_lag7", "wave_height", "wave_height_max"]
+    ints = ["lat_idx", "lon_idx", "wave_estimated", "fished", "chl_age_days"]
+    return rounded(read_features(spark, path, columns=["date", *ints, *numbers]).drop("year"), *numbers)
+
+
 @query
 def features_from_readings(spark, sf):
     """The whole feature job from sub-daily readings: daily fields, axes taken

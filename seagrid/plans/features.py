@@ -15,7 +15,7 @@ from seagrid.operators import (
     effort_cells, filled, gradient, join_labels, join_static, pick_source,
     regrid_bilinear, subsample_negatives, swap_filled, trailing_mean,
 )
-from seagrid.operators.regrid import marked_readings
+from seagrid.operators.regrid import marked_readings, unmatched_readings
 from seagrid.rules import RULES, Rules
 from seagrid.session import settle
 from seagrid.sources.readers import nan_to_null
@@ -52,7 +52,10 @@ def on_grid(
         off = F.count_if(~F.coalesce("_matched", F.lit(False)))
         watched = marked_readings(df, *axes[name]).observe(seen, F.count(F.lit(1)).alias("n"), off.alias("off")).drop("_matched")
         out[name] = settle(regrid_bilinear(watched, FIELDS[name], *axes[name], grid))
-        n, off = seen.get["n"], seen.get["off"]
+        if out[name].isEmpty():  # then there may have been nothing to observe
+            n, off = unmatched_readings(df, *axes[name], []).select(F.coalesce("readings", F.lit(0)), F.coalesce("unmatched", F.lit(0))).first()
+        else:
+            n, off = seen.get["n"], seen.get["off"]
         if off > most_unmatched * n:
             raise ValueError(f"{off} of {n} readings of {name} belong to no node of its axes")
     return out

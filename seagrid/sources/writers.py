@@ -17,9 +17,10 @@ def _lead_first(df: DataFrame) -> DataFrame:
     return df.select(*lead, *[c for c in df.columns if c not in lead])
 
 
-def write_features(df: DataFrame, path: str, mode: str = "historical") -> None:
+def write_features(df: DataFrame, path: str, mode: str = "historical", by_day: bool = False) -> None:
     """Feature rows by region, mode and year; a rerun replaces the years it
-    holds and leaves the others.
+    holds and leaves the others. With `by_day` each day has a folder of its own,
+    and a rerun replaces days.
 
     Rows are gathered by month of a region, and adaptive execution splits
     months above its advisory partition size and joins small ones, so files are
@@ -27,12 +28,15 @@ def write_features(df: DataFrame, path: str, mode: str = "historical") -> None:
     within them, so a reader of some days skips most row groups.
     """
     out = _lead_first(df).withColumns({"mode": F.lit(mode), "year": F.year("date"), "_month": F.month("date")})
+    folders = ["region", "mode", "year"]
+    if by_day:
+        out, folders = out.withColumn("day", F.col("date").cast("string")), [*folders, "day"]
     (
         out.hint("rebalance", "region", "year", "_month").drop("_month")
         .sortWithinPartitions("region", "year", "date", "lat_idx", "lon_idx")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("region", "mode", "year")
+        .partitionBy(*folders)
         .parquet(path)
     )
 
