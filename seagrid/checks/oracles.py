@@ -1022,7 +1022,7 @@ SELECT 'gebco' AS source, count(*) > 0 AS present, count(*) AS files, {r('coales
 FROM (SELECT mode, source, CAST(sum(bytes) AS BIGINT) AS bytes FROM found WHERE year = 1995 GROUP BY ALL)
 UNION ALL SELECT 'etopo', FALSE, 0, 0""")
 add("bathymetry_by_spacing", with_(
-    """lines AS (SELECT 2 * (l_orderkey // 15000) + l_linenumber % 2 AS region, l_partkey AS p, l_suppkey * 7 + l_linenumber AS s,
+    """lines AS (SELECT 2 * (l_orderkey // 15000) + l_linenumber % 2 AS region, l_partkey AS p, CAST(round_even(l_extendedprice, 0) AS BIGINT) AS s,
     CAST(round_even(l_extendedprice / 25, 0) AS BIGINT) AS e FROM lineitem)""",
     """fine AS (SELECT region, p % 80 AS i, s % 80 AS j, min(e) - 1800 AS e FROM lines WHERE region % 2 = 0 GROUP BY ALL)""",
     """coarse_pixels AS (SELECT region, p % 30 AS i, s % 30 AS j, min(e) - 1800 AS e FROM lines WHERE region % 2 = 1 GROUP BY ALL)""",

@@ -150,7 +150,7 @@ def pixel_grid(spark: SparkSession, sf: str) -> DataFrame:
     n, step = F.when(odd, 30).otherwise(80), F.when(odd, 0.07).otherwise(0.025)
     i, j = F.col("p") % n, F.col("s") % n
     lines = table(spark, sf, "lineitem").select(
-        F.expr(f"2 * (l_orderkey div {BLOCK}) + l_linenumber % 2").alias("region"), F.col("l_partkey").alias("p"), (F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("s"),
+        F.expr(f"2 * (l_orderkey div {BLOCK}) + l_linenumber % 2").alias("region"), F.col("l_partkey").alias("p"), whole(F.col("l_extendedprice")).alias("s"),
         whole(F.col("l_extendedprice") / 25).alias("e"),
     )
     start = F.when(odd, 1.0).otherwise(1.0125)
