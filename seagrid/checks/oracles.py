@@ -1027,9 +1027,11 @@ add("bathymetry_by_spacing", with_(
     """fine AS (SELECT region, p % 80 AS i, s % 80 AS j, min(e) - 1800 AS e FROM lines WHERE region % 2 = 0 GROUP BY ALL)""",
     """coarse_pixels AS (SELECT region, p % 30 AS i, s % 30 AS j, min(e) - 1800 AS e FROM lines WHERE region % 2 = 1 GROUP BY ALL)""",
     """axis AS (SELECT CAST(range AS INT) AS t, CAST(floor(x) AS INT) AS lo, x - floor(x) AS f
-  FROM (SELECT range, (range * 0.1 + 0.05) / CAST(0.07 AS DOUBLE) AS x FROM range(20)))""",
+  FROM (SELECT range, CASE WHEN abs(x - round(x)) < 1e-9 THEN round(x) ELSE x END AS x
+    FROM (SELECT range, (range * 0.1 + 0.05) / CAST(0.07 AS DOUBLE) AS x FROM range(20))))""",
     """mixed AS (SELECT k.region, y.t AS lat_idx, x.t AS lon_idx,
-    a.e * (1 - y.f) * (1 - x.f) + b.e * (1 - y.f) * x.f + c.e * y.f * (1 - x.f) + d.e * y.f * x.f AS e
+    a.e * (1 - y.f) * (1 - x.f) + coalesce(b.e, CASE WHEN x.f = 0 THEN 0 END) * (1 - y.f) * x.f
+      + coalesce(c.e, CASE WHEN y.f = 0 THEN 0 END) * y.f * (1 - x.f) + coalesce(d.e, CASE WHEN x.f = 0 OR y.f = 0 THEN 0 END) * y.f * x.f AS e
   FROM (SELECT DISTINCT region FROM coarse_pixels) k, axis y, axis x
   LEFT JOIN coarse_pixels a ON a.region = k.region AND a.i = y.lo AND a.j = x.lo LEFT JOIN coarse_pixels b ON b.region = k.region AND b.i = y.lo AND b.j = x.lo + 1
   LEFT JOIN coarse_pixels c ON c.region = k.region AND c.i = y.lo + 1 AND c.j = x.lo LEFT JOIN coarse_pixels d ON d.region = k.region AND d.i = y.lo + 1 AND d.j = x.lo + 1)""",
