@@ -1,6 +1,7 @@
 """Cases in which readings, rows or groups must not get lost or mixed up."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,13 +113,14 @@ def test_boosting_waits_for_gains():
 
 
 def test_boosting_keeps_more_than_one_tree(spark):
-    """Additive steps in five columns: one tree of depth 2 cannot show them."""
-    rows = [(dt.date(2020 + k % 3, 1, 1 + k % 28), *[float((k * p) % 11) for p in (3, 5, 7, 2, 9)]) for k in range(1800)]
+    """Additive steps in five columns: a tree of depth 2 shows two of them, so three are needed to rank the rows."""
+    rng = random.Random(1)  # all combinations, which a few periods would not give
+    rows = [(dt.date(2020 + k % 3, 1, 1 + k % 28), *[float(rng.randrange(11)) for _ in "abcde"]) for k in range(1800)]
     df = spark.createDataFrame(rows, "date date, a double, b double, c double, d double, e double")
     sum_ = sum(F.when(F.col(x) > 5, 1).otherwise(0) for x in "abcde")
     df = df.withColumns({"fished": (sum_ >= 4).cast("int"), "year": F.year("date")})
     model = op.fit_hotspot(df, list("abcde"), rounds=30, depth=2, step=0.3)
-    assert model.stages[2].getNumTrees > 5
+    assert model.stages[2].getNumTrees >= 3
 
 
 def test_absent_sources_are_scored_by_the_index(spark):
