@@ -1,13 +1,13 @@
 """The fitted operators: classifier, language models, languages."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seagrid.llm import language_mix, lm_score, quality_net
-from seagrid.llm import text as tx
 
 from corpus import documents, made, nothing, odd
 
@@ -87,51 +87,36 @@ def test_classifier_on_odd_rows(spark, net):
     assert {r._score for r in quality_net.scored(odd(spark), None).collect()} == {0.5}
 
 
-def plain_losses(rows, wanted, size):
-    """The same two models with dictionaries, word by word."""
-    from collections import Counter
+def plain_model(c, scale, vocabulary):
+    """A loss by history and word from counted pairs, with dictionaries."""
+    word, history = Counter(), Counter()
+    for (h, w), n in c.items():
+        word[w] += n * scale
+        history[h] += n * scale
+    total = sum(word.values())
 
-    words = {i: t.split() for i, t in rows}
-    count = Counter(w for ws in words.values() for w in ws)
-    keys = {w: int(key_of(w)) for w in count}
-    top = sorted(count, key=lambda w: (-count[w], np.uint64(keys[w]).astype(np.int64)))[:size]
-    known = set(top)
+    def loss(h, w):
+        lower = (word[w] + lm_score.BACK / vocabulary) / (total + lm_score.BACK)
+        return -np.log((c[h, w] * scale + lm_score.BACK * lower) / (history[h] + lm_score.BACK))
+    return loss
 
-    def pairs(i):
-        ws = [w if w in known else None for w in words[i]]
-        return list(zip(["<s>", *ws], ws))
 
+def plain_models(rows, wanted):
+    """Pairs of every document, all words and one unknown, and both models, word by word."""
+    pairs = {i: list(zip(["<s>", *t.split()], t.split())) for i, t in rows}
     target, back = Counter(), Counter()
-    for i in words:
-        back.update(pairs(i))
+    for i, p in pairs.items():
+        back.update(p)
         if i in wanted:
-            target.update(pairs(i))
+            target.update(p)
+    words = sorted({w for _, w in back}) + [None]
     scale = sum(target.values()) / sum(back.values())
-    vocabulary = [*top, None]
+    return pairs, words, plain_model(target, 1.0, len(words)), plain_model(back, scale, len(words))
 
-    def model(c, scale):
-        word, history = Counter(), Counter()
-        for (h, w), n in c.items():
-            word[w] += n * scale
-            history[h] += n * scale
-        total = sum(word.values())
 
-        def loss(h, w):
-            lower = (word[w] + lm_score.BACK / len(vocabulary)) / (total + lm_score.BACK)
-            return -np.log((c[h, w] * scale + lm_score.BACK * lower) / (history[h] + lm_score.BACK))
-        return loss
-
-    a, b = model(target, 1.0), model(back, scale)
-    out = {}
-    for i in words:
-        p = pairs(i)
-        out[i] = (len(p), *(sum(m(*x) for x in p) / max(1, len(p)) for m in (a, b)))
-    return out
-
-
-def key_of(word):
-    data = np.frombuffer(word.encode(), np.uint8)
-    return tx.word_keys(data, tx.Words(np.array([0]), np.array([0]), np.array([len(data)])))[0]
+def plain_losses(rows, wanted):
+    pairs, _, *models = plain_models(rows, wanted)
+    return {i: (len(p), *(sum(m(*x) for x in p) / max(1, len(p)) for m in models)) for i, p in pairs.items()}
 
 
 def test_language_models_equal_plain_ones(spark):
@@ -139,12 +124,11 @@ def test_language_models_equal_plain_ones(spark):
     wanted = {i for i, _ in rows if i % 2}
     docs = documents(spark, rows)
     target = spark.createDataFrame([(i,) for i in wanted] * 2 + [(None,)], "doc_id long")
-    for size in (10, 100000):
-        want = plain_losses(rows, wanted, size)
-        got = {r.doc_id: r for r in lm_score.scored(docs, lm_score.fit(docs, target, size)).collect()}
-        for i, (n, a, b) in want.items():
-            assert got[i].n_tokens == n
-            assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [a, b, b - a])
+    want = plain_losses(rows, wanted)
+    got = {r.doc_id: r for r in lm_score.scored(docs, lm_score.fit(docs, target)).collect()}
+    for i, (n, a, b) in want.items():
+        assert got[i].n_tokens == n
+        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [a, b, b - a])
 
 
 def test_language_models_know_every_word(spark, monkeypatch):
@@ -154,9 +138,11 @@ def test_language_models_know_every_word(spark, monkeypatch):
     wanted = {i for i, _ in rows if i % 2}
     docs = documents(spark, rows)
     target = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
-    want = plain_losses(rows, wanted, 100000)
-    for words, share in ((lm_score.WORDS, lm_score.SHARE), (5, 300), (0, 1 << 21)):
+    want = plain_losses(rows, wanted)
+    usual = lm_score.WORDS, lm_score.FREQUENT, lm_score.SHARE
+    for words, frequent, share in (usual, (5, 400, 300), (5, 1 << 19, 300), (0, 1 << 19, 1 << 21), (0, 1, 1 << 21)):
         monkeypatch.setattr(lm_score, "WORDS", words)
+        monkeypatch.setattr(lm_score, "FREQUENT", frequent)
         monkeypatch.setattr(lm_score, "SHARE", share)
         models = lm_score.fit(docs, target)
         for other in (docs, documents(spark, rows, 2)):
@@ -168,9 +154,30 @@ def test_language_models_know_every_word(spark, monkeypatch):
 
 
 def test_language_models_are_distributions():
-    n = np.random.default_rng(1).integers(0, 5, (7, 6)).astype(float)
-    n[:, 3] = 0
-    assert np.allclose(np.exp(-lm_score.losses(n, 0.3)).sum(1), 1)
+    """What the operator is compared with sums to one over the vocabulary."""
+    rows = made(n=30)
+    _, words, *models = plain_models(rows, {i for i, _ in rows if i % 2})
+    for loss in models:
+        for h in ("<s>", words[0], words[-2], "unseen"):
+            assert np.isclose(sum(np.exp(-loss(h, w)) for w in words), 1)
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 2])
+def test_language_models_with_a_word_that_is_a_third_of_all(spark, monkeypatch, frequent):
+    """Frequent or rare, dealt to many parts, beside a text that holds most tokens."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("the" if rng.random() < 0.34 else f"w{rng.randrange(3000)}" for _ in range(rng.randrange(90)))) for i in range(60)]
+    rows.append((60, " ".join(f"the v{k % 999}" for k in range(3000))))
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_score, "WORDS", 3)
+    monkeypatch.setattr(lm_score, "SHARE", 100)
+    monkeypatch.setattr(lm_score, "TASKS", 7)
+    docs = documents(spark, rows)
+    wanted = set(range(0, 60, 3))
+    target = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.scored(docs, lm_score.fit(docs, target)).collect()}
+    for i, (n, a, b) in plain_losses(rows, wanted).items():
+        assert got[i].n_tokens == n and np.allclose([got[i].target_loss, got[i].background_loss], [a, b])
 
 
 def test_language_models_on_odd_rows(spark):
