@@ -406,6 +406,8 @@ filled AS (
     CASE WHEN c.wave_height_max IS NULL AND n.wave_height_max IS NOT NULL THEN 1 ELSE 0 END AS wave_estimated
   FROM cell_day c LEFT JOIN (SELECT * FROM near WHERE rn = 1) n USING ({KEY}))"""
 add("fill_nearest", with_(CELL_DAY, FILL) + f"SELECT {KEY}, wave_height_max, wave_estimated FROM filled")
+add("sst_gradient_tiled", ORACLES["sst_gradient"])
+add("fill_nearest_tiled", ORACLES["fill_nearest"])
 
 
 def trailing(days: int, least: int, frame: str, source: str, part: str = "region, lat_idx, lon_idx") -> str:
@@ -610,7 +612,10 @@ add("eval_physics_index", with_(
 # ------------------------------------------------------------ index and zones
 
 add("pct_rank", with_(SEA) + f"SELECT {KEY}, {r(pct('chl'))} AS pct FROM sea")
+add("pct_rank_ranged", ORACLES["pct_rank"])
+add("pct_rank_whole", with_(SEA) + f"SELECT {KEY}, {r(pct('chl', '1'))} AS pct FROM sea")
 add("physics_index", with_(CELL_DAY, grad(), SCORED) + f"SELECT {KEY}, score FROM scored")
+add("physics_index_ranged", ORACLES["physics_index"])
 TEXT = values("texts", "status, label_so, label_en, color, advice_so, advice_en", STATUS_TEXT)
 HEADLINE = f"""head AS (
   SELECT *, CASE WHEN total = 0 THEN 'LAMA_OGA' WHEN n_danger / total >= 0.15 THEN 'KHATAR'

@@ -360,6 +360,18 @@ def fill_nearest(spark, sf):
     return out.select(*KEY, "wave_height_max", F.col("wave_estimated").cast("int").alias("wave_estimated"))
 
 
+@query
+def sst_gradient_tiled(spark, sf):
+    out = op.sst_gradient_tiled(v.cell_day(spark, sf), G, size=8)
+    return rounded(out.select(*KEY, "sst_gradient"), "sst_gradient")
+
+
+@query
+def fill_nearest_tiled(spark, sf):
+    out = op.fill_nearest_tiled(v.cell_day(spark, sf), "wave_height_max", G, flag="wave_estimated", size=8)
+    return out.select(*KEY, "wave_height_max", F.col("wave_estimated").cast("int").alias("wave_estimated"))
+
+
 def _trailing(spark, sf, days, least, **how):
     out = op.trailing_mean(v.pixel_day(spark, sf), "chl", days, least, "mean", **how)
     return rounded(out.select(*KEY, "mean"), "mean")
@@ -799,6 +811,26 @@ def pct_rank(spark, sf):
     return rounded(out.select(*KEY, "pct"), "pct")
 
 
+@query
+def pct_rank_ranged(spark, sf):
+    out = op.pct_rank_ranged(v.sea_day(spark, sf), "chl", "pct", per_range=1000)
+    return rounded(out.select(*KEY, "pct"), "pct")
+
+
+@query
+def pct_rank_whole(spark, sf):
+    """All cells and days together are one group."""
+    out = op.pct_rank_ranged(v.sea_day(spark, sf), "chl", "pct", by=[], per_range=1000)
+    return rounded(out.select(*KEY, "pct"), "pct")
+
+
+@query
+def physics_index_ranged(spark, sf):
+    fronts = op.sst_gradient_tiled(v.cell_day(spark, sf), G, size=8)
+    out = op.physics_index_ranged(op.drop_land(fronts), out="score", per_range=1000)
+    return out.select(*KEY, "score")
+
+
 @query
 def physics_index(spark, sf):
     return v.scored_day(spark, sf).select(*KEY, "score")

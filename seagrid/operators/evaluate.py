@@ -128,6 +128,6 @@ def in_ranges(counts: DataFrame, per_range: int) -> DataFrame:
     """
     ranges = max(LEAST_RANGES, math.ceil(counts.count() / per_range))
     at = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(counts.approxQuantile("_s", at, 0.25 / ranges))) or [0.0]
+    cuts = sorted({c for c in counts.approxQuantile("_s", at, 0.25 / ranges) if math.isfinite(c)}) or [0.0]
     splits = [-math.inf, *cuts, math.inf]
     return Bucketizer(splits=splits, inputCol="_s", outputCol="_range").transform(counts)
