@@ -1,5 +1,6 @@
 """The fitted operators: classifier, language models, languages."""
 
+import math
 import random
 from collections import Counter
 
@@ -232,3 +233,53 @@ def test_languages_of_odd_rows(spark, tongues):
     none = language_mix.fit(nothing(spark))
     assert none.languages == () and {r.lang_pred for r in language_mix.predicted(odd(spark), none).collect()} == {"und"}
     assert language_mix.predicted(nothing(spark), model).collect() == []
+
+
+def plain_mixture(likely):
+    """Expectation-maximisation word by word, and the set of languages by penalised likelihood, for one document."""
+    n, langs = len(likely), len(likely[0])
+
+    def run(share):
+        for _ in range(language_mix.ROUNDS):
+            parts = []
+            for word in likely:
+                part = [s * math.exp(x) for s, x in zip(share, word)]
+                parts.append([p / sum(part) for p in part])
+            share = [sum(p[k] for p in parts) / n for k in range(langs)]
+        return share, sum(math.log(sum(s * math.exp(x) for s, x in zip(share, word))) for word in likely)
+
+    every, _ = run([1 / langs] * langs)
+    order = sorted(range(langs), key=lambda k: -every[k])
+    found = []
+    for size in range(1, langs + 1):
+        start = [max(every[k], 1e-3) if k in order[:size] else 0.0 for k in range(langs)]
+        share, fit = run([s / sum(start) for s in start])
+        found.append((fit - language_mix.PENALTY * (size - 1) * math.log(n + 1), share))
+    return max(found, key=lambda f: f[0])[1], every
+
+
+def test_mixtures_equal_plain_expectation_maximisation():
+    rng = np.random.default_rng(4)
+    for langs in (1, 2, 4):
+        sizes = rng.integers(1, 30, 25)
+        likely = rng.normal(-8, 3, (sizes.sum(), langs))
+        first = np.cumsum(sizes) - sizes
+        mix, every = language_mix.mixtures(likely, first, sizes)
+        for k, (a, n) in enumerate(zip(first, sizes)):
+            want, of_all = plain_mixture(likely[a:a + n].tolist())
+            assert np.allclose(mix[k], want, atol=1e-4) and np.allclose(every[k], of_all, atol=1e-4)
+
+
+def test_trigrams_equal_plain_counts(spark):
+    """Also at the edges of texts, next to empty ones, and around signs and capitals."""
+    rows = [(1, "Ab c"), (2, ""), (3, "xyz"), (4, "a1b,É z"), (5, "q")]
+    model = language_mix.fit(documents(spark, rows, 2))
+    want = np.full(language_mix.BUCKETS, language_mix.PRIOR)
+    for _, text in rows:
+        data = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode()]
+        padded = [32, *data, 32]
+        for k, b in enumerate(data):
+            if b != 32:
+                packed = padded[k] << 16 | b << 8 | padded[k + 2]
+                want[(packed * 0x9E3779B1 & 0xFFFFFFFF) >> 16] += 1
+    assert model.languages == ("en",) and np.allclose(np.exp(model.log[:, 0].astype(float)), want / want.sum(), rtol=1e-4)
