@@ -283,3 +283,28 @@ def test_trigrams_equal_plain_counts(spark):
                 packed = padded[k] << 16 | b << 8 | padded[k + 2]
                 want[(packed * 0x9E3779B1 & 0xFFFFFFFF) >> 16] += 1
     assert model.languages == ("en",) and np.allclose(np.exp(model.log[:, 0].astype(float)), want / want.sum(), rtol=1e-4)
+
+
+def test_gradients_equal_numerical_ones():
+    """Of every parameter of the network, by the change of the cross-entropy."""
+    rng = np.random.default_rng(6)
+    net = quality_net.Net(*(p.astype(np.float64) for p in quality_net.fresh(3)))
+    texts = [rng.integers(32, 127, n).astype(np.uint8) for n in (5, 70, 300, 1000)]
+    size = np.array([len(t) for t in texts])
+    data, ends, labels = np.concatenate(texts), np.cumsum(size), np.array([1, 0, 1, 0])
+
+    def loss():
+        p = quality_net.score_rows(net, quality_net.tables(net), data, ends - size, ends)
+        return -np.mean(np.log(np.where(labels == 1, p, 1 - p)))
+
+    grads = quality_net._gradients(net, data, ends - size, ends, labels)
+    for values, grad in zip(net, grads):
+        flat = values.reshape(-1)
+        for k in {*np.argsort(-np.abs(grad).ravel())[:3].tolist(), *rng.integers(0, flat.size, 3).tolist()}:
+            kept, step = flat[k], 1e-6
+            flat[k] = kept + step
+            above = loss()
+            flat[k] = kept - step
+            below = loss()
+            flat[k] = kept
+            assert np.isclose((above - below) / (2 * step), grad.ravel()[k], rtol=2e-3, atol=1e-5)
