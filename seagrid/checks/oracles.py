@@ -706,6 +706,7 @@ SELECT {KEY}, printf('c_%04d_%04d', lat_idx, lon_idx) AS cell_id, {r('sst')} AS
   coalesce(n_vessels, 0) AS n_vessels, CAST(0 AS INT) AS chl_age_days, wave_estimated, CAST(month(date) AS INT) AS month,
   CASE WHEN fishing_hours > 0.5 THEN 1 ELSE 0 END AS fished
 FROM grad JOIN trail USING ({KEY}) LEFT JOIN ecells USING ({KEY}) WHERE sst IS NOT NULL""")
+ORACLES["feature_table_by_day"] = ORACLES["feature_table"]
 add("thin_whole", with_(ITEMS) + """
 SELECT pos, least(neg, pos * 2) AS neg
 FROM (SELECT count(*) FILTER (fished = 1) AS pos, count(*) FILTER (fished = 0) AS neg FROM items)""")

@@ -19,7 +19,7 @@ from seagrid.operators.models import FEATURES, feature_set
 from seagrid.plans import build_features, score_days, validate
 from seagrid.plans.features import on_grid
 from seagrid.plans.incremental import update_features
-from seagrid.session import settle, shared_folder
+from seagrid.session import settle, settle_by_day, shared_folder
 from seagrid.sources import (
     file_listing, flatten_effort, load_model, read_effort, read_features, save_model,
     source_inventory, write_daily, write_features,
@@ -489,7 +489,18 @@ def _fields(spark, sf) -> dict[str, DataFrame]:
 @query
 def feature_table(spark, sf):
     """The whole feature job on one set of gridded daily fields."""
-    out = build_features(_fields(spark, sf), G, effort=v.month_effort(spark, sf), wind_in_ms=False)
+    return _table(build_features(_fields(spark, sf), G, effort=v.month_effort(spark, sf), wind_in_ms=False))
+
+
+@query
+def feature_table_by_day(spark, sf):
+    """The whole feature job on the same fields, stored by day so that the build moves none of them."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fields = {name: settle_by_day(df.repartition(n, "region", "date"), n) for name, df in _fields(spark, sf).items()}
+    return _table(build_features(fields, G, effort=v.month_effort(spark, sf), wind_in_ms=False, buckets=n))
+
+
+def _table(out: DataFrame) -> DataFrame:
     numbers = ["sst", "sst_gradient", "chl", "chl_lag7", "wave_height", "wave_height_max",
                "wind_speed", "wind_speed_max", "fishing_hours"]
     ints = ["wave_estimated", "month", "fished"]

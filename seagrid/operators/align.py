@@ -37,7 +37,7 @@ def days_with_values(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS) ->
 
 def align_sources(
     frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, days: DataFrame | None = None,
-    fill_grid: Grid | None = None,
+    fill_grid: Grid | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Outer alignment of frames that share the key and differ in variables.
 
@@ -49,28 +49,45 @@ def align_sources(
     already. `fill_grid` needs that list, and works it out if it is not given:
     then sources are read twice and should be tables. It adds the cells no source covers and
     leaves out rows off the grid, so that every day is one whole plane of it.
+
+    With `buckets` the frames are taken to lie by day in so many partitions, as
+    tables of `settle_by_day` do, and there is no exchange at all. A frame that
+    does not is moved, and the others with it: slower, with the same rows. Rows
+    without a cell are left out then.
     """
     day = [k for k in keys if k not in ("lat_idx", "lon_idx")]
-    if days is None and fill_grid is not None:
+    if days is None and (fill_grid is not None or buckets):
         days = days_with_values(frames, keys)
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), frames
     )
     variables = [c for c in stacked.columns if c not in keys]
+    # Whole planes of the days say by themselves which rows count, without a join.
+    by_cell = buckets is not None and fill_grid is not None
     if days is None:
         stacked = stacked.dropna(subset=day)
-    else:
+    elif not by_cell:
         stacked = stacked.join(days.select(*day), day, "left_semi")
     if fill_grid is not None:
         # Whole planes are read by row offset, so nothing may lie beside them.
         stacked = stacked.where(fill_grid.contains(F.col("lat_idx"), F.col("lon_idx")))
-        planes = whole_planes(days.select(*day).repartition(*day), fill_grid)
+        listed = days.select(*day)
+        planes = whole_planes(listed.dropna().repartition(buckets, *day) if by_cell else listed.repartition(*day), fill_grid)
+        planes = planes.withColumn("_wanted", F.lit(1)) if by_cell else planes
         stacked = stacked.unionByName(planes, allowMissingColumns=True)
-    aligned = (
-        stacked.repartition(*day)
-        .groupBy(*keys)
-        .agg(*[F.max(v).alias(v) for v in variables])
-    )
+    wanted = ["_wanted"] if by_cell else []
+    if buckets:
+        # A union has the layout of its parts only if the first is laid out as it
+        # stands: the list of days, which is short, as rows without a cell or value.
+        blank = [F.lit(None).cast(stacked.schema[c].dataType).alias(c) for c in stacked.columns if c not in day]
+        by_day = days.select(*day, *blank).repartition(buckets, *day).unionByName(stacked)
+        if not by_cell:
+            by_day = by_day.dropna(subset=[k for k in keys if k not in day])
+    else:
+        by_day = stacked.repartition(*day)
+    aligned = by_day.groupBy(*keys).agg(*[F.max(v).alias(v) for v in [*variables, *wanted]])
+    if by_cell:
+        return aligned.where("_wanted = 1").drop("_wanted")
     if days is not None:
         return aligned
     some = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in variables])

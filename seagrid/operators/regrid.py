@@ -76,7 +76,7 @@ class Axis:
 
 def regrid_bilinear(
     readings: DataFrame, variables: Sequence[str], lat_axis: Axis, lon_axis: Axis,
-    grid: Grid, keys: Sequence[str] = ("region", "date"),
+    grid: Grid, keys: Sequence[str] = ("region", "date"), partitions: int | None = None,
 ) -> DataFrame:
     """Interpolate `variables` from source nodes to the cell centres of `grid`.
 
@@ -91,12 +91,14 @@ def regrid_bilinear(
     reading is spread over the cells it touches and summed there. Readings are
     laid out by day before they are spread, which is the one exchange here and
     is reused by the operators that follow on the day's plane; a day holds at
-    most one reading per source node.
+    most one reading per source node. `partitions` fixes how many there are.
     """
     spark = readings.sparkSession
     lat_w = _weights(spark, lat_axis, grid.lat_min, grid.res, grid.n_lat, "lat")
     lon_w = _weights(spark, lon_axis, grid.lon_min, grid.res, grid.n_lon, "lon")
-    by_day = readings.repartition(*keys) if "date" in keys else readings
+    by_day = readings
+    if "date" in keys:
+        by_day = readings.repartition(partitions, *keys) if partitions else readings.repartition(*keys)
     spread = (
         by_day.withColumns({"lat_bin": lat_axis.bin(F.col("lat")), "lon_bin": lon_axis.bin(F.col("lon"))})
         .join(F.broadcast(lat_w), "lat_bin")

@@ -17,7 +17,7 @@ from seagrid.operators import (
 )
 from seagrid.operators.regrid import marked_readings, unmatched_readings
 from seagrid.rules import RULES, Rules
-from seagrid.session import settle
+from seagrid.session import settle, settle_by_day
 from seagrid.sources.readers import nan_to_null
 
 # Variables of each source's daily fields.
@@ -35,7 +35,7 @@ MEASURED = [
 
 def on_grid(
     daily: Mapping[str, DataFrame], axes: Mapping[str, tuple[Axis, Axis]], grid: Grid,
-    most_unmatched: float = 0.0,
+    most_unmatched: float = 0.0, buckets: int | None = None,
 ) -> dict[str, DataFrame]:
     """Regrid every source that is present. Inputs hold region, date, lat, lon
     and the source's variables. Mean wind is regridded by components: speeds of
@@ -45,13 +45,19 @@ def on_grid(
 
     Readings that belong to no node of their source's axes cannot be used. They
     are counted on the way, and a share of them above `most_unmatched` is an error.
+
+    With `buckets` the fields are stored by day in so many buckets (`settle_by_day`).
+    Regridding lays readings out by day anyway, so storing them like that moves
+    nothing more, and builds with the same `buckets` move no field again. A bucket
+    is a task of every such build: there should be enough for its days to fit in one.
     """
     out = {}
     for name, df in daily.items():
         seen = Observation()
         off = F.count_if(~F.coalesce("_matched", F.lit(False)))
         watched = marked_readings(df, *axes[name]).observe(seen, F.count(F.lit(1)).alias("n"), off.alias("off")).drop("_matched")
-        out[name] = settle(regrid_bilinear(watched, FIELDS[name], *axes[name], grid))
+        gridded = regrid_bilinear(watched, FIELDS[name], *axes[name], grid, partitions=buckets)
+        out[name] = settle_by_day(gridded, buckets) if buckets else settle(gridded)
         if out[name].isEmpty():  # then there may have been nothing to observe
             n, off = unmatched_readings(df, *axes[name], []).select(F.coalesce("readings", F.lit(0)), F.coalesce("unmatched", F.lit(0))).first()
         else:
@@ -82,6 +88,7 @@ def build_features(
     seabed: DataFrame | None = None, rules: Rules = RULES,
     restart_each_year: bool = False, wind_in_ms: bool = True,
     neg_per_pos: int | None = None, thin_days: int = 15, seed: int = 42,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Cell-day features from gridded daily fields (keyed by region, date,
     lat_idx, lon_idx), with labels from effort rows and seabed columns. Fields
@@ -97,6 +104,11 @@ def build_features(
     `neg_per_pos` thins the negatives as `thinned_keys` says. Which rows stay is
     worked out from keys and labels alone and comes along as one more narrow
     source, so the wide rows are cut before labels move them.
+
+    `buckets` says that all fields are stored by day in so many buckets, as `on_grid`
+    or `settle_by_day` store them: alignment and all that follows on a day's plane
+    read them as they lie. What is derived on the way (carried chlorophyll, kept
+    keys, the list of days) is brought into that layout.
     """
     key = ["region", "date", "lat_idx", "lon_idx"]
     fields = {name: nan_to_null(df) for name, df in fields.items()}
@@ -141,14 +153,15 @@ def build_features(
             chl, ["chl", "chl_lag7", "chl_lag14"], calendar, rules.chl_max_age_days,
             per_year=restart_each_year,
         )
-        frames.append(carried)
+        frames.append(carried.repartition(buckets, "region", "date") if buckets else carried)
     thins = neg_per_pos is not None and effort is not None
     if thins:
         cells = next(f for f in frames if "sst" in f.columns)
         cells = cells.where(F.col("sst").isNotNull() & grid.contains(F.col("lat_idx"), F.col("lon_idx")))
         kept = thinned_keys(cells, effort_cells(effort, grid), calendar, neg_per_pos, thin_days, seed, rules)
-        frames.append(kept.withColumn("_stays", F.lit(1)))
-    df = align_sources(frames, days=calendar, fill_grid=grid)
+        kept = kept.withColumn("_stays", F.lit(1))
+        frames.append(kept.repartition(buckets, "region", "date") if buckets else kept)
+    df = align_sources(frames, days=calendar, fill_grid=grid, buckets=buckets)
     present = set(df.columns)
     absent = {c: F.lit(None).cast("double") for c in MEASURED if c not in present}
     df = (df.withColumns(absent) if absent else df).join(ages, ["region", "date"], "left")

@@ -10,6 +10,8 @@ from seagrid import Grid, operators as op
 from seagrid.operators.models import FEATURES, feature_set
 from seagrid.plans import build_features, score_days, validate
 from seagrid.plans.features import on_grid
+from seagrid.operators import align_sources
+from seagrid.session import settle_by_day
 from seagrid.sources import write_metrics
 
 G = Grid("r", 1.0, 2.0, 44.0, 45.0)
@@ -106,6 +108,56 @@ def test_the_wide_table_is_moved_once(spark):
     assert "Exchange" not in plan[: plan.index("HashAggregate")]
 
 
+def exchanges_above_fields(plan: str) -> list[str]:
+    """Exchanges between the result and a scan of a table stored by day."""
+    above, path = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        path = [(d, text) for d, text in path if d < depth] + [(depth, line.strip(" :+-|"))]
+        if "seagrid_by_day" in line and "FileScan" in line:
+            above += [text for _, text in path if text.startswith("Exchange")]
+    return above
+
+
+def test_fields_stored_by_day_are_not_moved(spark):
+    fields, axes = daily_fields(spark, 24)
+    effort = spark.createDataFrame(
+        [("r", dt.date(2024, 1, 3), 1.0, 44.5, 2.0)], "region string, date date, lat double, lon double, hours double")
+    stored, plain = on_grid(fields, axes, G, buckets=5), on_grid(fields, axes, G)
+    for name, df in stored.items():
+        files = [f.rsplit("/", 1)[1] for f in df.inputFiles()]
+        assert 0 < len(files) <= 5 and sorted(map(tuple, df.collect())) == sorted(map(tuple, plain[name].collect()))
+    for options in ({}, {"effort": effort, "neg_per_pos": 2}):
+        got, want = build_features(stored, G, buckets=5, **options), build_features(plain, G, **options)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+    without = {name: df for name, df in stored.items() if name != "chl"}  # trailing means are laid out by cell
+    plan = build_features(without, G, buckets=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet spark_catalog.default.seagrid_by_day") == 5 and not exchanges_above_fields(plan)
+    moved = build_features(without, G)._jdf.queryExecution().executedPlan().toString()
+    assert exchanges_above_fields(moved)
+
+
+def test_fields_that_do_not_lie_as_told_give_the_same_rows(spark):
+    fields, axes = daily_fields(spark, 6)
+    plain, other = on_grid(fields, axes, G), on_grid(fields, axes, G, buckets=3)
+    want = sorted(map(str, build_features(plain, G).collect()))
+    mixed = {**plain, "sst": other["sst"]}
+    assert sorted(map(str, build_features(mixed, G, buckets=5).collect())) == want
+
+
+def test_alignment_of_stored_frames(spark):
+    """Without a grid to fill: days on which no source has a value go, rows without a cell too."""
+    day = dt.date(2024, 1, 1)
+    rows = [("a", day, 0, 0, 1.0), ("a", day, 0, 1, None), ("b", day, 0, 0, None), ("c", None, 0, 0, 4.0)]
+    key = "region string, date date, lat_idx int, lon_idx int, "
+    frames = [spark.createDataFrame(rows, key + "x double"), spark.createDataFrame([("a", day, 1, 0, 7.0)], key + "y double")]
+    stored = [settle_by_day(df.repartition(4, "region", "date"), 4) for df in frames]
+    got = align_sources(stored, buckets=4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, align_sources(frames).collect())) and got.count() == 3
+    assert align_sources([df.limit(0) for df in stored], buckets=4).count() == 0
+
+
 def labelled(spark, years=(2019, 2020, 2021, 2022), n_days=24):
     """Boats go where the front is strong; the season sets how many."""
     rows = []
