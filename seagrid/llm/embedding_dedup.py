@@ -6,6 +6,9 @@ dimensions; what the remaining ones can add is at most the product of the two
 suffix norms. A pair is given up as soon as that bound stays below the
 threshold. Pairs that remain are decided by the cosine of the vectors as given,
 in double precision.
+
+The same order deals vectors out: shares are cut at medians of the leading
+components, and shares whose boxes lie too far apart never meet.
 """
 
 from __future__ import annotations
@@ -18,10 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seagrid.llm.store import components, roots, whole_groups, written
+from seagrid.llm.store import components, dropped, roots, whole_groups, written
 
 #: Vectors dealt to one share, and the tile compared at once.
 SHARE, TILE = 8192, 1024
+#: Leading components by which shares are cut and boxed.
+LEAD = 8
+#: Cuts of a level that are broadcast, of some 40 bytes each; more are joined.
+CUTS = 1 << 15
 #: Shares of the dimensions after which the bound is looked at.
 STEPS = (0.25, 0.5, 1.0)
 #: Room for rounding in bounds; decisions do not depend on it.
@@ -125,6 +132,69 @@ def _cell(rows: pa.Table, basis: dict[int, np.ndarray], least: float) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(ids[root[hit]])], ["id", "n", "root"])
 
 
+def _leading(basis: dict[int, np.ndarray]):
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.zeros(batch.num_rows, np.int32)
+            out = np.zeros((batch.num_rows, LEAD))
+            for own, unit in _units(batch.column(1)):
+                d = unit.shape[1]
+                size[own], out[own, :min(d, LEAD)] = d, unit @ basis[d][:, :LEAD]
+            lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, LEAD, dtype=np.int32), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), lists], ["no", "d", "lead"])
+    return lead
+
+
+def in_boxes(first: DataFrame, basis: dict[int, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Shares of about SHARE vectors of one dimension: (no, share) for the rows
+    (no, embedding), and per share (share, d, low, high), the box around its
+    leading components.
+
+    A cell of more than SHARE vectors is cut at its median along one leading
+    component after another, by one aggregation over all cells a level. What
+    many equal components keep together is dealt out by hash in the end.
+    """
+    cells = first.select("no", "embedding").mapInArrow(_leading(basis), "no long, d int, lead array<double>")
+    cells = written(cells.withColumn("cell", F.lit(1).cast("long")), "cells")
+    largest = cells.groupBy("d").count().agg(F.max("count")).first()[0] or 0
+    for level in range(int(np.ceil(np.log2(max(1.0, largest / SHARE))))):
+        along = F.col("lead")[level % LEAD]
+        cut = cells.groupBy("d", "cell").agg(F.count("*").alias("n"), F.percentile_approx(along, 0.5).alias("mid")).where(F.col("n") > SHARE)
+        if len(basis) << level <= CUTS:
+            cut = F.broadcast(cut)
+        side = F.col("cell") * 2 + (along > F.col("mid")).cast("long")
+        new = cells.join(cut, ["d", "cell"], "left").withColumn("to", F.coalesce(side, "cell"))
+        new = written(new.select("no", "d", "lead", F.col("to").alias("cell")), "cells")
+        dropped(cells)
+        cells = new
+    counts = cells.groupBy("d", "cell").agg(F.ceil(F.count("*") / SHARE).alias("parts"))
+    cells = cells.join(counts, ["d", "cell"]).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")))
+    key = ["d", "cell", "part"]
+    ends = [f(F.col("lead")[k]).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(LEAD)]
+    boxes = cells.groupBy(*key).agg(*ends).withColumn("share", F.monotonically_increasing_id())
+    low, high = (F.array(*[f"{name}{k}" for k in range(LEAD)]).alias(name) for name in ("low", "high"))
+    boxes = written(boxes.select(*key, "share", low, high), "boxes")
+    return written(cells.join(boxes, key).select("no", "share"), "shares"), boxes.select("share", "d", "low", "high")
+
+
+def meeting(boxes: DataFrame, least: float) -> DataFrame:
+    """Pairs of shares (a, b), a <= b, that may hold a cosine of `least`.
+
+    Unit vectors of that cosine are at most sqrt(2 - 2 * least) apart, and their
+    leading components no more, so boxes further apart need not meet. Boxes find
+    each other by stretches of the first component; only boxes move."""
+    apart = 2 - 2 * least + 1e-6
+    width = max(float(np.sqrt(max(apart, 0.0))), 0.05)
+    a = boxes.select("d", *[F.col(c).alias(f"a_{c}") for c in ("share", "low", "high")])
+    b = boxes.select("d", *[F.col(c).alias(f"b_{c}") for c in ("share", "low", "high")])
+    place = lambda x: F.floor(x / width)
+    a = a.withColumn("at", F.explode(F.sequence(place(F.col("a_low")[0]), place(F.col("a_high")[0]))))
+    b = b.withColumn("at", F.explode(F.sequence(place(F.col("b_low")[0] - width), place(F.col("b_high")[0] + width))))
+    gaps = [F.greatest(F.lit(0.0), F.col("b_low")[k] - F.col("a_high")[k], F.col("a_low")[k] - F.col("b_high")[k]) for k in range(LEAD)]
+    met = a.join(b, ["d", "at"]).where("a_share <= b_share").where(sum(g * g for g in gaps) <= apart)
+    return met.select(F.col("a_share").alias("a"), F.col("b_share").alias("b")).distinct()
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding).
 
@@ -136,23 +206,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     vectors of their own in n_links, and one vertex in components.
 
     Shares of a fixed size meet in pairs, each pair in one task; a task returns
-    counts and a forest, never pairs. The number of tasks grows with the square
-    of the number of shares, as comparing all vectors does.
+    counts and a forest, never pairs. A vector is sent once for every share that
+    its own share's box comes near enough to.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sound = "embedding is not null and size(embedding) > 0 and id is not null"
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = rows.where(sound).where(finite & F.exists("embedding", lambda v: v != 0))
     first = some.groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    first = written(first, "vectors")
+    first = written(first.withColumn("no", F.monotonically_increasing_id()), "vectors")
     member = some.join(first, "embedding").select("id", "rep", "copies")
     basis = bases(first)
-    shares = max(1, -(-first.count() // SHARE))
-    dealt = first.withColumn("share", F.pmod(F.xxhash64("rep"), F.lit(shares)).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(
-        F.least("share", "other").alias("a"), F.greatest("share", "other").alias("b"),
-        F.col("rep").alias("id"), "share", "copies", "embedding",
-    )
+    share_of, boxes = in_boxes(first, basis)
+    pairs = written(meeting(boxes, least), "pairs")
+    sides = pairs.withColumn("share", F.col("a")).union(pairs.where("a < b").withColumn("share", F.col("b")))
+    met = first.join(share_of, "no").join(sides, "share").select("a", "b", F.col("rep").alias("id"), "share", "copies", "embedding")
     met = met.repartition("a", "b").sortWithinPartitions("a", "b", "id")
     found = written(met.mapInArrow(_compare(basis, least), "id long, n long, root long"), "links")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))

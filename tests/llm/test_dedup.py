@@ -281,6 +281,27 @@ def test_near_vectors_over_several_shares(spark, monkeypatch):
     test_near_vectors_equal_brute_force(spark)
 
 
+def test_shares_far_apart_do_not_meet(spark, monkeypatch):
+    """Four tight bundles and a cell of equal leading components: every close pair's shares meet, others do not."""
+    from seagrid.llm import embedding_dedup as ed
+
+    monkeypatch.setattr(ed, "SHARE", 8)
+    rng = np.random.default_rng(6)
+    x = np.repeat(np.eye(12)[:4], 20, 0) + rng.normal(size=(80, 12)) * 0.05
+    x[:20] = np.eye(12)[0] + np.pad(np.eye(10)[rng.integers(0, 10, 20)], ((0, 0), (2, 0))) * rng.normal(size=(20, 1)) * 1e-9
+    rows = [(k, [float(v) for v in x[k]]) for k in range(80)]
+    first = spark.createDataFrame(rows, "no long, embedding array<double>")
+    share_of, boxes = ed.in_boxes(first, ed.bases(first))
+    share = {r.no: r.share for r in share_of.collect()}
+    met = {(r.a, r.b) for r in ed.meeting(boxes, 0.9).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {tuple(sorted((share[i], share[j]))) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.9))}
+    n = len(set(share.values()))
+    assert set(share) == set(range(80)) and near <= met and all(a <= b for a, b in met)
+    assert n >= 10 and len(met) < n * (n + 1) / 2
+    assert ed.meeting(boxes.limit(0), 0.9).collect() == []
+
+
 def test_unsound_vectors_link_with_nothing(spark):
     one = [1.0, 0.0, 0.0]
     rows = [
