@@ -471,6 +471,7 @@ add("join_static", with_(SEA, SOUNDINGS) + f"""
 SELECT {KEY}, {r('depth')} AS depth, {r('land_fraction')} AS land_fraction
 FROM sea LEFT JOIN seabed USING (region, lat_idx, lon_idx)""")
 add("distance_to_coast", with_(SEA, coast()) + f"SELECT region, lat_idx, lon_idx, {r('dist_coast_km')} AS dist_coast_km FROM coast")
+add("distance_to_coast_tiled", ORACLES["distance_to_coast"])
 
 # --------------------------------------------------------------------- labels
 

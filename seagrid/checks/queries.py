@@ -475,6 +475,11 @@ def distance_to_coast(spark, sf):
     return rounded(op.distance_to_coast(v.sea_day(spark, sf), G), "dist_coast_km")
 
 
+@query
+def distance_to_coast_tiled(spark, sf):
+    return rounded(op.distance_to_coast_tiled(v.sea_day(spark, sf), G, size=8), "dist_coast_km")
+
+
 def _fields(spark, sf) -> dict[str, DataFrame]:
     plane = v.cell_day(spark, sf)
     return {

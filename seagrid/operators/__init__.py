@@ -44,8 +44,8 @@ from seagrid.operators.serving import (
     lookup_points, point_answers, select_days,
 )
 from seagrid.operators.tiles import (
-    fill_nearest_tiled, in_tiles, pct_rank_ranged, physics_index_ranged,
-    sst_gradient_tiled,
+    distance_to_coast_tiled, fill_nearest_tiled, in_tiles, pct_rank_ranged,
+    physics_index_ranged, sst_gradient_tiled,
 )
 from seagrid.operators.zones import (
     assign_zones, rank_zones, zone_plane, zone_summary,

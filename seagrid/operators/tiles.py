@@ -5,11 +5,13 @@ tiles that it is within reach of, as a halo: with the values that are looked at
 and nothing else, and only where one is there. Each tile is then worked on alone
 and keeps its own cells, so the result is that of the whole plane, and a window
 partition holds one tile with its halo. Percentile ranks need the whole plane's
-order; they come from counts by value, cut into ranges of values.
+order; they come from counts by value, cut into ranges of values. The way to the
+coast has no reach; tiles are completed by the land seen at the edges of others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -73,6 +75,97 @@ def sst_gradient_tiled(
     return in_tiles(df, [col], (1, 1), lambda cells, own: sst_gradient(cells, grid, col, out, own), size, keys)
 
 
+def distance_to_coast_tiled(
+    cells: DataFrame, grid: Grid, keys: Sequence[str] = ("region",), size: int = TILE,
+) -> DataFrame:
+    """`distance_to_coast` for planes of any size.
+
+    Steps to land along columns, then rows, are found within a tile's line and
+    completed by the land nearest to its ends in other tiles. Cells of a row
+    then look at those of their own tile; what they have found so far is an
+    upper bound, and another tile of the row sends only cells whose land could
+    be nearer than the largest bound of the tile that asks. Over open sea the
+    bounds of neighbouring tiles are alike, so few cells are sent, and an array
+    holds a tile's line and what was sent to it.
+    """
+    keys, dx = list(keys), grid.col_km
+    line = [*keys, "lat_idx"]
+    ocean = settle(cells.select(*keys, "lat_idx", "lon_idx").distinct())
+    ocean = settle(_steps_to_land(ocean, [*keys, "lon_idx"], "lat_idx", grid.n_lat, "up", size))
+    ocean = _steps_to_land(ocean, line, "lon_idx", grid.n_lon, "side", size)
+
+    def away(columns: Column, up: Column) -> Column:
+        return F.sqrt(F.pow(columns * F.lit(dx), F.lit(2.0)) + F.pow(up * F.lit(grid.row_km), F.lit(2.0)))
+
+    def through(cell: Column, others: str) -> Column:
+        return F.array_min(F.transform(others, lambda other: away(cell["lon_idx"] - other["lon_idx"], other["up"])))
+
+    tiles = ocean.groupBy(*line, F.floor(F.col("lon_idx") / size).cast("int").alias("_tile")).agg(
+        F.collect_list(F.struct("lon_idx", "up", "side")).alias("_own")
+    )
+    tiles = settle(tiles.withColumn("_own", F.transform("_own", lambda cell: F.struct(
+        cell["lon_idx"].alias("lon_idx"), cell["up"].alias("up"),
+        F.least(through(cell, "_own"), cell["side"] * F.lit(dx)).alias("best"),
+    ))))
+    # A cell that knows of no land yet takes any.
+    bound = F.array_max(F.transform("_own", lambda cell: F.coalesce(cell["best"], F.lit(math.inf))))
+    asking = tiles.groupBy(*(F.col(c).alias(f"_at_{c}") for c in line)).agg(
+        F.collect_list(F.struct(F.col("_tile").alias("tile"), bound.alias("bound"))).alias("_asking")
+    )
+    least_up = F.array_min(F.transform("_own", lambda cell: cell["up"]))
+    gap = (F.abs(F.col("_ask.tile") - F.col("_tile")) - 1) * size + 1
+    pairs = tiles.join(asking, _same(line, "_at_")).withColumn("_ask", F.explode("_asking"))
+    pairs = pairs.where((F.col("_ask.tile") != F.col("_tile")) & (away(gap, least_up) < F.col("_ask.bound")))
+
+    def to_edge(cell: Column) -> Column:
+        ahead = F.col("_ask.tile") * size - cell["lon_idx"]
+        return F.when(F.col("_ask.tile") > F.col("_tile"), ahead).otherwise(1 - ahead - size)
+
+    sent = pairs.withColumn("_sent", F.filter("_own", lambda cell: away(to_edge(cell), cell["up"]) < F.col("_ask.bound")))
+    sent = sent.withColumn("_tile", F.col("_ask.tile"))
+    place = [*line, "_tile"]
+    sent = sent.groupBy(*(F.col(c).alias(f"_at_{c}") for c in place)).agg(F.flatten(F.collect_list("_sent")).alias("_sent"))
+    return tiles.join(sent, _same(place, "_at_"), "left").select(*line, F.inline(F.transform("_own", lambda cell: F.struct(
+        cell["lon_idx"].alias("lon_idx"), F.least(cell["best"], through(cell, "_sent")).alias("dist_coast_km"),
+    ))))
+
+
+def _steps_to_land(df: DataFrame, line: list[str], along: str, n: int, out: str, size: int) -> DataFrame:
+    """Add `out`, the steps from each cell to the nearest cell of its line that
+    is absent from `df`. Ends of the grid are no land. Tiles without any cell
+    have no row; the gap they leave is land."""
+    place, tile = F.col(along), [*line, "_tile"]
+    start = F.col("_tile") * size
+    end = F.least(start + size, F.lit(n)) - 1
+    rows = df.withColumn("_tile", F.floor(place / size).cast("int"))
+    rows = rows.withColumn("_run", place - F.row_number().over(Window.partitionBy(*tile).orderBy(along)))
+    run = Window.partitionBy(*tile, "_run")
+    rows = rows.withColumns({"_first": F.min(along).over(run), "_last": F.max(along).over(run)})
+    tiles = rows.groupBy(*tile).agg(
+        F.min(along).alias("_lowest"), F.max(along).alias("_highest"),
+        F.min("_last").alias("_low_end"), F.max("_first").alias("_high_start"),
+    )
+    order = Window.partitionBy(*line).orderBy("_tile")
+    before = F.coalesce(F.lag("_tile").over(order), F.lit(-1))
+    after = F.coalesce(F.lead("_tile").over(order), F.lit(math.ceil(n / size)))
+    tiles = tiles.withColumns({
+        "_below": F.when(F.col("_tile") - before > 1, start - 1),
+        "_above": F.when(after - F.col("_tile") > 1, end + 1),
+        "_top": F.when(F.col("_highest") < end, end).when(F.col("_high_start") > start, F.col("_high_start") - 1),
+        "_bottom": F.when(F.col("_lowest") > start, start).when(F.col("_low_end") < end, F.col("_low_end") + 1),
+    })
+    lower = order.rowsBetween(Window.unboundedPreceding, -1)
+    higher = order.rowsBetween(1, Window.unboundedFollowing)
+    tiles = tiles.select(
+        *(F.col(c).alias(f"_at_{c}") for c in tile),
+        F.greatest("_below", F.max(F.greatest("_top", "_below")).over(lower)).alias("_land_below"),
+        F.least("_above", F.min(F.least("_bottom", "_above")).over(higher)).alias("_land_above"),
+    )
+    back = F.when(F.col("_first") > start, place - F.col("_first") + 1).otherwise(place - F.col("_land_below"))
+    ahead = F.when(F.col("_last") < end, F.col("_last") - place + 1).otherwise(F.col("_land_above") - place)
+    return rows.join(tiles, _same(tile, "_at_")).select(*df.columns, F.least(back, ahead).alias(out))
+
+
 def pct_rank_ranged(
     df: DataFrame, col: str, out: str, by: Sequence[str] = DAY_KEYS, per_range: int = SCORES_PER_RANGE,
 ) -> DataFrame:

@@ -14,20 +14,25 @@ from seagrid.functions import (
 )
 from seagrid.grid import Grid
 from seagrid.operators.coast import distance_to_coast
+from seagrid.operators.tiles import distance_to_coast_tiled
 from seagrid.rules import CAUTION, DANGER, RULES, SAFE, UNKNOWN, Rules
 from seagrid.session import small_table
 
 
 def zone_plane(
     cells: DataFrame, grid: Grid, keys: Sequence[str] = ("region",),
-    rules: Rules = RULES,
+    rules: Rules = RULES, tile: int | None = None,
 ) -> DataFrame:
     """One row per distinct cell: coast distance, nearest site, reach, zone.
 
     Everything here is fixed in time, so it is worked out per cell and not per
-    cell-day.
+    cell-day. With `tile` the coast distance is found tile by tile, for grids
+    whose lines are too long for one task.
     """
-    plane = distance_to_coast(cells, grid, keys)
+    if tile is None:
+        plane = distance_to_coast(cells, grid, keys)
+    else:
+        plane = distance_to_coast_tiled(cells, grid, keys, tile)
     site = nearest_site(
         grid.lat(F.col("lat_idx")), grid.lon(F.col("lon_idx")), rules
     )

@@ -44,6 +44,53 @@ def test_tiles_keep_every_row_once(spark):
     assert op.sst_gradient_tiled(df.limit(0), G, "w").collect() == []
 
 
+@pytest.mark.parametrize("size, share", [(1, 0.3), (4, 0.02), (4, 0.9), (7, 0.3), (100, 0.02)])
+def test_coast_by_tiles_is_the_coast(spark, size, share):
+    """On two planes: scattered land, and land in one corner with a tile's width of open sea elsewhere."""
+    corner = np.ones(masked(1, 0).shape)
+    corner[:9, :5], corner[12, 20] = np.nan, np.nan
+    cells = plane(spark, masked(11, share)).unionByName(plane(spark, corner, region=None)).where("sst is not null")
+    want = {tuple(r)[:3]: r[3] for r in op.distance_to_coast(cells, G).collect()}
+    got = op.distance_to_coast_tiled(cells, G, size=size)
+    assert got.columns == ["region", "lat_idx", "lon_idx", "dist_coast_km"]
+    rows = got.collect()
+    assert len(rows) == len(want) and {tuple(r)[:3]: r[3] for r in rows} == want
+
+
+def test_coast_by_tiles_of_odd_planes(spark):
+    """Land in one column only, seas without land, repeated cells, empty tables, the zones' plane."""
+    strait = np.ones((25, 30))
+    strait[:, 17] = np.nan
+    cells = plane(spark, strait).where("sst is not null")
+    twice = cells.union(cells).unionByName(plane(spark, np.ones((25, 30)), region="open"))
+    want, got = op.distance_to_coast(twice, G), op.distance_to_coast_tiled(twice, G, size=6)
+    assert rows_of(got) == rows_of(want)
+    assert got.where("region = 'open' and dist_coast_km is null").count() == 750
+    assert op.distance_to_coast_tiled(cells.limit(0), G).collect() == []
+    days = twice.unionByName(plane(spark, masked(3, 0.5), day(2)).where("sst is not null"))
+    keys = ["region", "date"]
+    assert rows_of(op.zone_plane(days, G, keys, tile=6)) == rows_of(op.zone_plane(days, G, keys))
+
+
+def test_open_sea_sends_few_cells(spark, monkeypatch):
+    """Far from land, tiles whose bounds are alike send one another next to nothing."""
+    from seagrid.operators import tiles
+
+    sizes = []
+
+    def counted(df):
+        if "_own" in df.columns:
+            sizes.append(df.select(F.max(F.size("_own"))).first()[0])
+        return df
+
+    monkeypatch.setattr(tiles, "settle", counted)
+    wide = np.ones((25, 30))
+    wide[0] = np.nan
+    cells = plane(spark, wide).where("sst is not null")
+    got = as_array(op.distance_to_coast_tiled(cells, G, size=5), "dist_coast_km", wide.shape)
+    assert np.allclose(got[1:], np.arange(1, 25)[:, None] * G.row_km) and sizes == [5]
+
+
 def test_a_window_never_holds_more_than_a_tile_and_its_halo(spark):
     seen = []
 
