@@ -126,7 +126,8 @@ def _encode(file: str):
 def encoded(docs: DataFrame, file: str | None = None) -> DataFrame:
     """`docs` with `ids` (array of int) in place of text. Null and empty texts
     have no ids. All other columns and all rows stay as they are; a column `ids`
-    gives way."""
+    gives way. A text of any length is encoded whole in one task; an empty table
+    gives no rows."""
     file = file or public_tokenizers.path("byte_bpe_50k.tiktoken")
     names = [c for c in docs.drop("ids").columns if c != "text"]
     rows = plainly_named(docs.drop("ids"), "text")

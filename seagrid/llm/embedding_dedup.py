@@ -203,7 +203,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     vectors of different dimension with each other. Equal vectors are compared
     once and counted as often as they occur. Rows without a vec_id link with
     nothing, component_id null and kept true. Rows that share a vec_id are
-    vectors of their own in n_links, and one vertex in components.
+    vectors of their own in n_links, and one vertex in components. An empty table
+    gives no rows.
 
     Shares of a fixed size meet in pairs, each pair in one task; a task returns
     counts and a forest, never pairs. A vector is sent once for every share that

@@ -165,7 +165,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     language with the largest share of the chosen set, its share when all
     languages compete, and the shares of the chosen set in the order of
     `model.languages`. A text that is null or has no letter is undetermined with
-    score 0, and so is everything under a model without languages."""
+    score 0, and so is everything under a model without languages. A text of any
+    length is read whole in one task; an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, proportions array<double>")
 

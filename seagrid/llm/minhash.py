@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     connected forms candidate clusters, inside which full sets are compared.
     A null or blank text has an empty set. Rows without a doc_id are linked with
     nothing: component_id null, kept true. Rows that share a doc_id are one
-    document, linked by any of its texts; each row is returned.
+    document, linked by any of its texts; each row is returned. A text of any
+    length is read whole in one task. An empty table gives no rows.
     """
     sign = written(signed(docs, width), "signed")
     named = sign.where("doc_id is not null and n_shingles > 0")

@@ -212,6 +212,9 @@ def packed(docs: DataFrame, size: int = SIZE, file: str | None = None, with_ids:
     whatever its doc_id. The driver holds the histogram (`size` numbers) and the
     plan made from it; ranks are counted per task and completed by running sums
     over tasks, so a length that a third of all pieces share is no hot spot.
+    A text of any length is encoded whole in one task. Pieces of equal length
+    are ranked by task and order of reading, so which of them takes which of
+    their places may differ between runs. Of no rows there are no pieces.
     """
     file = file or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -101,7 +101,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measurements, failures) for every row of `docs`; bit k of
     `failures` is set where the k-th of RULES fails. A null text is empty and
-    measures 0 throughout. Rows are judged one by one, with or without doc_id."""
+    measures 0 throughout. Rows are judged one by one, with or without doc_id,
+    and texts of any length whole; an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = rows.mapInArrow(_measure, ", ".join(["doc_id long", *(f"{m} long" for m in MEASURES)]))
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]

@@ -147,7 +147,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     the linked weak parts, each array ordered by start, then kind. Positions are
     code points, end exclusive. A null text is empty and has no spans; rows are
     scanned one by one, so repeated rows and rows without a doc_id are no case
-    of their own."""
+    of their own. A text of any length is scanned whole in one task; of no rows
+    there are no spans."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row_key"))
     found = rows.mapInArrow(_scan, "doc_id long, row_key long, " + SCANNED)
     # an id of its own for every row; it is stored with the row, hence stable

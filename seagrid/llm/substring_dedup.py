@@ -358,7 +358,8 @@ def without_repeats(docs: DataFrame, length: int = 20, with_text: bool = True) -
     remove nothing elsewhere. Rows that share a doc_id are read as one document:
     equal windows at the same place of them do not remove each other, and what
     is removed from one is removed at the same places of the others. Columns
-    with the name of a result give way.
+    with the name of a result give way. A text of any length is read whole in one
+    task. An empty table gives no rows.
     """
     results = ("_words", "_removed", "_kept")
     docs = docs.drop(*results)
