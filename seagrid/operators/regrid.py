@@ -91,14 +91,17 @@ def regrid_bilinear(
     reading is spread over the cells it touches and summed there. Readings are
     laid out by day before they are spread, which is the one exchange here and
     is reused by the operators that follow on the day's plane; a day holds at
-    most one reading per source node. `partitions` fixes how many there are.
+    most one reading per source node. `partitions` says how many there are, the
+    session's shuffle partitions by default: a number that adaptive execution
+    leaves alone, since it would join partitions by the size of the readings and
+    not by that of the cells they are spread over.
     """
     spark = readings.sparkSession
     lat_w = _weights(spark, lat_axis, grid.lat_min, grid.res, grid.n_lat, "lat")
     lon_w = _weights(spark, lon_axis, grid.lon_min, grid.res, grid.n_lon, "lon")
     by_day = readings
     if "date" in keys:
-        by_day = readings.repartition(partitions, *keys) if partitions else readings.repartition(*keys)
+        by_day = readings.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     spread = (
         by_day.withColumns({"lat_bin": lat_axis.bin(F.col("lat")), "lon_bin": lon_axis.bin(F.col("lon"))})
         .join(F.broadcast(lat_w), "lat_bin")

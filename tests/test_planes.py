@@ -226,3 +226,15 @@ def test_status_headlines(spark):
     assert headline(d=14, c=15, s=71) == "AMMAAN"
     assert headline(u=51, s=49) == "LAMA_OGA"
     assert headline(u=50, s=50) == "AMMAAN"
+
+
+def test_regridding_keeps_its_partitions(spark):
+    """Adaptive execution joins partitions by the size of the readings, which are few; the
+    cells they are spread over then met in one task."""
+    axis = op.Axis.regular(0.0, 0.5, 4)
+    rows = [("a", day(1 + d), 0.5 * i, 0.5 * j, float(d + i * j)) for d in range(40) for i in range(4) for j in range(4)]
+    field = spark.createDataFrame(rows, "region string, date date, lat double, lon double, v double")
+    out = op.regrid_bilinear(field, ["v"], axis, axis, Grid("r", 0.0, 1.5, 0.0, 1.5))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1
