@@ -480,8 +480,8 @@ def distance_to_coast_tiled(spark, sf):
     return rounded(op.distance_to_coast_tiled(v.sea_day(spark, sf), G, size=8), "dist_coast_km")
 
 
-def _fields(spark, sf) -> dict[str, DataFrame]:
-    plane = v.cell_day(spark, sf)
+def _fields(plane: DataFrame) -> dict[str, DataFrame]:
+    """Gridded daily fields of every source, from a stored `cell_day`."""
     return {
         "sst": plane.select(*KEY, (F.col("sst") + 273.15).alias("analysed_sst")),
         "chl": plane.select(*KEY, F.col("chl").alias("CHL")),
@@ -494,14 +494,15 @@ def _fields(spark, sf) -> dict[str, DataFrame]:
 @query
 def feature_table(spark, sf):
     """The whole feature job on one set of gridded daily fields."""
-    return _table(build_features(_fields(spark, sf), G, effort=v.month_effort(spark, sf), wind_in_ms=False))
+    fields = _fields(settle(v.cell_day(spark, sf)))
+    return _table(build_features(fields, G, effort=v.month_effort(spark, sf), wind_in_ms=False))
 
 
 @query
 def feature_table_by_day(spark, sf):
     """The whole feature job on the same fields, stored by day so that the build moves none of them."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fields = {name: settle_by_day(df.repartition(n, "region", "date"), n) for name, df in _fields(spark, sf).items()}
+    fields = _fields(settle_by_day(v.cell_day(spark, sf).repartition(n, "region", "date"), n))
     return _table(build_features(fields, G, effort=v.month_effort(spark, sf), wind_in_ms=False, buckets=n))
 
 
@@ -519,7 +520,7 @@ def _table(out: DataFrame) -> DataFrame:
 def thinned_build(spark, sf):
     """Positives and negatives that a thinning build keeps in every five days of a
     region's year, with sums over their rows."""
-    fields = {name: settle(df) for name, df in _fields(spark, sf).items()}
+    fields = _fields(settle(v.cell_day(spark, sf)))
     out = build_features(fields, G, effort=v.month_effort(spark, sf), wind_in_ms=False, neg_per_pos=1, thin_days=5)
     month = F.month("date")
     return out.groupBy("region", F.year("date").alias("year"), F.floor((month - 1) / 5).alias("chunk")).agg(
@@ -532,7 +533,7 @@ def thinned_build(spark, sf):
 def incremental_build(spark, sf):
     """Features built by day, then updated after days of three sources changed."""
     path = scratch(spark, "by_day")
-    before = {name: settle(df) for name, df in _fields(spark, sf).items()}
+    before = _fields(settle(v.cell_day(spark, sf)))
     effort = v.month_effort(spark, sf)
 
     def named(df: DataFrame) -> DataFrame:
@@ -562,16 +563,15 @@ def features_from_readings(spark, sf):
     from the data, regridding, features, labels and seabed."""
     raw = v.node_readings(spark, sf)
     pixel = ["region", "lat", "lon"]
+    # Readings are reduced once for all sources.
+    stats = settle(op.daily_stats(raw, ["analysed_sst", "CHL", "uo", "vo", "VHM0"], pixel))
 
-    def daily(source: str, *names: str) -> DataFrame:
-        stats = op.daily_stats(raw, names, pixel)
-        if source == "wav":
-            return stats
+    def daily(*names: str) -> DataFrame:
         return stats.select(*pixel, "date", *[F.col(f"{n}_mean").alias(n) for n in names])
 
     fields = {
-        "sst": daily("sst", "analysed_sst"), "chl": daily("chl", "CHL"), "cur": daily("cur", "uo", "vo"),
-        "wav": daily("wav", "VHM0"), "wnd": op.daily_wind_components(raw, "east", "north", pixel),
+        "sst": daily("analysed_sst"), "chl": daily("CHL"), "cur": daily("uo", "vo"),
+        "wav": stats.select(*pixel, "date", "VHM0_mean", "VHM0_max"), "wnd": op.daily_wind_components(raw, "east", "north", pixel),
     }
     axes = (op.Axis.of(raw, "lat"), op.Axis.of(raw, "lon"))
     gridded = on_grid(fields, {name: axes for name in fields}, G)

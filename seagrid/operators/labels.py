@@ -50,15 +50,18 @@ def join_labels(
 
     Both sides hold one row per key, so no key can be hot.
     """
+    return labelled(features.join(effort.select(*keys, "fishing_hours", "n_vessels"), list(keys), "left"), rules)
+
+
+def labelled(df: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """Cell-days that already have their effort, null where there was none, with labels
+    as `join_labels` gives them."""
     hours = F.coalesce("fishing_hours", F.lit(0.0))
-    return (
-        features.join(effort.select(*keys, "fishing_hours", "n_vessels"), list(keys), "left")
-        .withColumns({
-            "fished": fished(hours, rules),
-            "fishing_hours": hours,
-            "n_vessels": F.coalesce("n_vessels", F.lit(0)),
-        })
-    )
+    return df.withColumns({
+        "fished": fished(hours, rules),
+        "fishing_hours": hours,
+        "n_vessels": F.coalesce("n_vessels", F.lit(0)),
+    })
 
 
 def label_match_report(

@@ -15,6 +15,7 @@ from seagrid.operators import (
     effort_cells, filled, gradient, join_labels, join_static, pick_source,
     regrid_bilinear, subsample_negatives, swap_filled, trailing_mean,
 )
+from seagrid.operators.labels import labelled
 from seagrid.operators.regrid import marked_readings, unmatched_readings
 from seagrid.rules import RULES, Rules
 from seagrid.session import settle, settle_by_day
@@ -98,17 +99,19 @@ def build_features(
     Trailing means and carrying forward happen on the chlorophyll source alone,
     so only its few columns are ever laid out by cell. The wide table is moved
     once, by day, and alignment, fronts and gap filling all work within that
-    layout. Land goes only after gaps are filled and fronts computed, since
+    layout. Effort comes along as one more narrow source, so labels do not move
+    the wide rows again. Land goes only after gaps are filled and fronts computed, since
     both look at neighbouring cells.
 
     `neg_per_pos` thins the negatives as `thinned_keys` says. Which rows stay is
     worked out from keys and labels alone and comes along as one more narrow
-    source, so the wide rows are cut before labels move them.
+    source, so the wide rows are cut before labels move them: the few that are
+    left meet their effort in a join.
 
     `buckets` says that all fields are stored by day in so many buckets, as `on_grid`
     or `settle_by_day` store them: alignment and all that follows on a day's plane
-    read them as they lie. What is derived on the way (carried chlorophyll, kept
-    keys, the list of days) is brought into that layout.
+    read them as they lie. What is derived on the way (carried chlorophyll, effort,
+    kept keys, the list of days) is brought into that layout.
     """
     key = ["region", "date", "lat_idx", "lon_idx"]
     fields = {name: nan_to_null(df) for name, df in fields.items()}
@@ -155,6 +158,10 @@ def build_features(
         )
         frames.append(carried.repartition(buckets, "region", "date") if buckets else carried)
     thins = neg_per_pos is not None and effort is not None
+    labels = ["fishing_hours", "n_vessels"]
+    if effort is not None and not thins:
+        hours = effort_cells(effort, grid).select(*[F.col(k).cast(frames[0].schema[k].dataType) for k in key], *labels)
+        frames.append(hours.repartition(buckets, "region", "date") if buckets else hours)
     if thins:
         cells = next(f for f in frames if "sst" in f.columns)
         cells = cells.where(F.col("sst").isNotNull() & grid.contains(F.col("lat_idx"), F.col("lon_idx")))
@@ -186,8 +193,10 @@ def build_features(
         "lat": grid.lat(F.col("lat_idx")), "lon": grid.lon(F.col("lon_idx")),
         **cyclic_month(F.col("date")),
     })
-    if effort is not None:
+    if thins:
         df = join_labels(df, effort_cells(effort, grid), rules=rules)
+    elif effort is not None:
+        df = labelled(df.select(*[c for c in df.columns if c not in labels], *labels), rules)
     if seabed is not None:
         df = join_static(df, seabed)
     return df

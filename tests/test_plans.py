@@ -224,3 +224,17 @@ def test_feature_sets():
     assert not {"lat", "lon", "depth"} & set(feature_set("transfer"))
     with pytest.raises(ValueError):
         feature_set("all")
+
+
+def test_labels_do_not_move_the_wide_table(spark):
+    """Effort is aligned as one more source, with the rows of a join."""
+    fields, axes = daily_fields(spark, 6)
+    gridded = {k: df for k, df in on_grid(fields, axes, G).items() if k in ("sst", "wav")}
+    rows = [("r", dt.date(2024, 1, d), 1.0 + 0.1 * i, 44.5, 0.5 * d) for d in range(1, 9) for i in range(4) for _ in range(2)]
+    rows += [("r", None, 1.0, 44.5, 2.0), (None, dt.date(2024, 1, 3), 1.0, 44.5, 2.0), ("r", dt.date(2024, 1, 3), 1.0, None, 2.0)]
+    effort = spark.createDataFrame(rows, "region string, date date, lat double, lon double, hours double")
+    got, want = build_features(gridded, G, effort), op.join_labels(build_features(gridded, G), op.effort_cells(effort, G))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("fished = 1").count() > 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("HashAggregate")]
