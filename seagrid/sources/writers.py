@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+import shutil
+import uuid
+from collections.abc import Callable, Iterable, Sequence
+from contextlib import suppress
+from itertools import groupby
+
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from seagrid.operators.serving import select_days
@@ -10,6 +19,9 @@ from seagrid.session import settle
 
 # Fixed value: leading column order of the feature table.
 LEAD_COLUMNS = ("cell_id", "date", "lat", "lon", "lat_idx", "lon_idx")
+# How Spark names the folder of a partition value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
 
 
 def _lead_first(df: DataFrame) -> DataFrame:
@@ -46,16 +58,85 @@ def write_daily(payload: DataFrame, path: str) -> None:
     region again under `latest`. Documents are worked out once."""
     body = F.to_json(F.struct(*[c for c in payload.columns])).alias("value")
     days = settle(payload.select("region", "date", body))
-    (
-        days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("region", "date").text(f"{path}/days")
-    )
+    _write_texts(days, f"{path}/days", ["region", "date"])
     newest = select_days(days, by=["region"])
-    (
-        newest.drop("date").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("region").text(f"{path}/latest")
-    )
+    _write_texts(newest.drop("date"), f"{path}/latest", ["region"])
+
+
+def _write_texts(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """The lines in `value`, in a folder per combination of `keys` as Spark's writer
+    names it; a rerun replaces the folders it holds and leaves the others.
+
+    On mounted folders Hadoop may start a process, chmod, for each folder, file and
+    checksum it makes: most of the time of a write into many folders. There tasks
+    write the files by themselves, into a hidden folder, and a second pass moves
+    them once all are written, so what fails before changes nothing. For other
+    stores Spark's writer is used.
+    """
+    spark = df.sparkSession
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toUri()
+    if uri.getScheme() != "file":
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
+        return
+    root, run = uri.getPath(), uuid.uuid4().hex
+    staged = f"{root}/.staging-{run}"
+    os.makedirs(staged)
+    rows = df.withColumns({k: F.nullif(F.col(k).cast("string"), F.lit("")) for k in keys})
+    texts = rows.select(*keys, F.col("value").cast("binary").alias("value")).sortWithinPartitions(*keys)
+    try:
+        texts.foreachPartition(_stage(staged, run, keys))
+        # A fixed number, since keys are small and would be joined into one task.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.select(*keys).repartition(tasks, *keys).distinct().foreachPartition(_publish(staged, root, run, keys))
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
+    spark.catalog.refreshByPath(path)
+
+
+def _folder(row: Row, keys: Sequence[str]) -> str:
+    def shown(value: str | None) -> str:
+        return NO_VALUE if value is None else ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", value)
+
+    return "/".join(f"{k}={shown(row[k])}" for k in keys)
+
+
+def _stage(staged: str, run: str, keys: Sequence[str]) -> Callable[[Iterable[Row]], None]:
+    """Rows come sorted by `keys`, so a task has one file per folder, whose name a
+    repeated task gives again. Files get that name when they are whole."""
+    def write(rows: Iterable[Row]) -> None:
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}-{run}.txt"
+        for folder, lines in groupby(rows, lambda row: _folder(row, keys)):
+            place = f"{staged}/{folder}"
+            unfinished = f"{place}/.{task.taskAttemptId()}-{name}"
+            os.makedirs(place, exist_ok=True)
+            with open(unfinished, "wb") as file:
+                file.writelines((row["value"] or b"") + b"\n" for row in lines)
+            os.replace(unfinished, f"{place}/{name}")
+
+    return write
+
+
+def _publish(staged: str, root: str, run: str, keys: Sequence[str]) -> Callable[[Iterable[Row]], None]:
+    """Files of this run, told by their name, take the place of a folder's others.
+    A repeated task finds nothing left to move."""
+    def move(rows: Iterable[Row]) -> None:
+        for row in rows:
+            folder = _folder(row, keys)
+            source, target = f"{staged}/{folder}", f"{root}/{folder}"
+            os.makedirs(target, exist_ok=True)
+            for old in [entry for entry in os.scandir(target) if run not in entry.name]:
+                with suppress(FileNotFoundError):
+                    shutil.rmtree(old.path) if old.is_dir(follow_symlinks=False) else os.remove(old.path)
+            with suppress(FileNotFoundError):
+                for new in os.listdir(source):
+                    if new.startswith("part-"):
+                        with suppress(FileNotFoundError):
+                            os.replace(f"{source}/{new}", f"{target}/{new}")
+            shutil.rmtree(source, ignore_errors=True)
+
+    return move
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
