@@ -543,7 +543,8 @@ def incremental_build(spark, sf):
         here = F.col("date") == F.lit(day).cast("date")
         return named(before[name]).withColumn(column, F.when(here, value).otherwise(F.col(column)))
 
-    write_features(build_features({n: named(df) for n, df in before.items()}, G, effort=named(effort), wind_in_ms=False), path, by_day=True)
+    built = build_features({n: named(df) for n, df in before.items()}, G, effort=named(effort), wind_in_ms=False)
+    write_features(built, path, by_day=True)
     after = {
         "sst": changed("sst", "analysed_sst", "1996-03-01", F.col("analysed_sst") + 1), "chl": changed("chl", "CHL", "1997-02-01", F.col("CHL") * 2),
         "wav": changed("wav", "VHM0_max", "1998-09-01", F.col("VHM0_max") / 2), "wnd": named(before["wnd"]),
@@ -554,7 +555,8 @@ def incremental_build(spark, sf):
     update_features(after, moved, G, path, named(effort), wind_in_ms=False)
     numbers = ["sst", "sst_gradient", "chl", "chl_lag7", "wave_height", "wave_height_max"]
     ints = ["lat_idx", "lon_idx", "wave_estimated", "fished", "chl_age_days"]
-    return rounded(read_features(spark, path, columns=["date", *ints, *numbers]).drop("year"), *numbers)
+    back = read_features(spark, path, columns=["date", *ints, *numbers], schema=built.schema, by_day=True)
+    return rounded(back.drop("year"), *numbers)
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from seagrid.sources.schemas import READINGS, effort_payload_schema, effort_sche
 
 # Depths closer than this, in metres, are one level.
 LEVEL_M = 0.001
+# Fixed value: how Spark names the folder of no value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -66,16 +68,20 @@ def read_effort(spark: SparkSession, path: str, year: int | None = None) -> Data
 def read_features(
     spark: SparkSession, path: str, region: str | None = None,
     years: Sequence[int] | None = None, columns: Sequence[str] | None = None,
-    mode: str | None = None, schema: T.StructType | None = None,
+    mode: str | None = None, schema: T.StructType | None = None, by_day: bool = False,
 ) -> DataFrame:
     """Feature rows of some years with only the columns asked for.
 
     Region, mode and year are folders, so unwanted ones are not read. Columns
     that older files lack are null. With `schema` (folders included) no footer
-    is read to find the columns; without it all of them are.
+    is read to find the columns; without it all of them are. With `by_day` the
+    folders are those of `write_features(..., by_day=True)`, however many.
     """
-    read = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
-    df = read.parquet(path)
+    if by_day:
+        df = _day_folders(spark, path, schema)
+    else:
+        read = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+        df = read.parquet(path)
     for name, wanted in (("region", region), ("mode", mode)):
         if wanted is not None:
             df = df.where(F.col(name) == wanted)
@@ -89,6 +95,32 @@ def read_features(
     ])
 
 
+def _day_folders(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+    """All files below `path`, with the values that their folders' names stand for.
+
+    Finding folders of a table takes Spark a time that grows with the square of their
+    number, all of it on the driver, so here the names are read off the files' paths.
+    A region is a string where `schema` says nothing else.
+    """
+    kinds = {"region": T.StringType(), "mode": T.StringType(), "year": T.IntegerType(), "day": T.DateType()}
+    if schema is not None:
+        kinds |= {f.name: f.dataType for f in schema if f.name in kinds}
+        read = spark.read.schema(T.StructType([f for f in schema if f.name not in kinds]))
+    else:
+        read = spark.read.option("mergeSchema", "true")
+    df = read.option("recursiveFileLookup", "true").parquet(path)
+
+    def named(folder: str) -> Column:
+        text = F.substring_index(F.substring_index("_metadata.file_path", f"/{folder}=", -1), "/", 1)
+        # Escaped as a folder and then as part of an address, in which a plus is no blank.
+        plain = text
+        for _ in range(2):
+            plain = F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+        return F.nullif(F.when(F.contains(text, F.lit("%")), plain).otherwise(text), F.lit(NO_VALUE)).cast(kinds[folder])
+
+    return df.withColumns({folder: named(folder) for folder in kinds})
+
+
 def file_listing(df: DataFrame) -> DataFrame:
     """The files behind a file-based DataFrame: path, bytes and rows."""
     return df.groupBy(
